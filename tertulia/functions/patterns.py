@@ -16,7 +16,8 @@ from tertulia.fixed_values import EMOJI_RANGES
 
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"\p{L}\p{N}_"
-_s, _ns, _d = f"[{WS}]", f"[^{WS}]", r"\p{Nd}"
+# The two leading ranges hold no white space: most characters pass without the long test.
+_s, _ns, _d = f"[{WS}]", rf"[!-~\xa1-\u167f[^{WS}]]", r"\p{Nd}"
 
 BLANKS = f"{_s}+"
 NON_BLANK_RUN = f"{_ns}+"
@@ -26,16 +27,16 @@ NON_BLANK_RUN = f"{_ns}+"
 SLOT = "\ue000"
 
 # --- line sanitising and message headers ---------------------------------------------
-LINE_MARKS = "[\u200e\u200f\u202f\u2068\u2069]"
+LINE_MARKS = "\u200e\u200f\u202f\u2068\u2069"  # characters, not a pattern
 HYPHEN_PADDING = f"({_s}*-{_s}*)[{WS}~]+"
 HEADER = (
-    f"(?iud)^{_s}*[\u200e\u200f]?"
+    f"(?d)^{_s}*[\u200e\u200f]?"
     rf"({_d}{{1,2}}/{_d}{{1,2}}/{_d}{{2,4}},{_s}{_d}{{1,2}}:{_d}{{2}}(?::{_d}{{2}})?"
-    rf"{_s}*(?:[ap]\.?{_s}?m\.?)?){_s}*-{_s}*(?:([^:]+):{_s}*)?(.*)$"
+    rf"{_s}*(?:[aApP]\.?{_s}?[mM]\.?)?){_s}*-{_s}*(?:([^:]+):{_s}*)?(.*)$"
 )
 
 # --- redaction ------------------------------------------------------------------------
-TEXT_MARKS = "[\u200e\u200f]"
+TEXT_MARKS = "\u200e\u200f"  # characters, not a pattern
 BRACKETED = (
     rf"(?:\G|(?<![{WORD}]))(?:[{WORD}]*+\[(?!NOMBRE_OCULTO|NUMERO_OCULTO|CORREO_OCULTO)"
     rf"[^\]]++\][{WORD}]*+)++"
@@ -46,7 +47,7 @@ _LATIN = "[A-Za-zÁÉÍÓÚáéíóúÑñ]"
 TILDE_NAME = f"~{_s}*+{_LATIN}++(?:{_s}++{_LATIN}++)*+"
 URL_SPAN = rf"https?://{_ns}+|www\.{_ns}+"
 
-_TITLE = rf"(?<![{WORD}{SLOT}])(?:Dra?|Lic|Ing|Mtro?|Prof?)"
+_TITLE = rf"(?=[DLIMP])(?<![{WORD}{SLOT}])(?:Dra?|Lic|Ing|Mtro?|Prof?)"
 _CAP = "[A-ZÁÉÍÓÚÑ][a-záéíóúñ]++"
 SPEAKER = (
     rf"{_TITLE}\.?{_s}+{_CAP}"
@@ -57,15 +58,18 @@ SPEAKER_LEAD = rf"(?d)^((?s:.*?){_TITLE}\.?{_s}+.*?{_s}*-{_s}*)"
 TITLE_PREFIX = rf"{_TITLE}\.{_s}*"
 
 _NAME_WORD = r"(?:\p{Lu}\p{Ll}++)++"
-NAME_CANDIDATE = rf"(?<![{WORD}{SLOT}]){_NAME_WORD}(?: ++{_NAME_WORD})++"
+NAME_CANDIDATE = rf"(?=\p{{Lu}})(?<![{WORD}{SLOT}]){_NAME_WORD}(?: ++{_NAME_WORD})++"
 
 # --- text cleaning --------------------------------------------------------------------
-_TLD = "(?:com|org|net|edu|gob|mx|es)"
+# A web address always reaches to the end of its word, so one match per word is enough: the
+# whole word for host/path, else the part from the address on (group 1 is what stays).
+_TLD = "(?iu:com|org|net|edu|gob|mx|es)"
 WEB_ADDRESS = (
-    rf"(?iu)https?://{_ns}+|www\.{_ns}+"
-    rf"|(?<!{_ns}){_ns}[^{WS}.]*+\.{_ns}[^{WS}/]*+/{_ns}+"
+    rf"(?<!{_ns})(?={_ns}*[.:]{_ns})"
+    rf"(?:{_ns}[^{WS}.]*+\.{_ns}[^{WS}/]*+/{_ns}+"
+    rf"|({_ns}*?)(?:(?iu:https?)://{_ns}+|(?iu:www)\.{_ns}+"
     rf"|(?<![{WORD}])(?<![{WORD}]\.)[{WORD}]++\."
-    rf"(?:(?!{_TLD}(?![{WORD}]))[{WORD}]++\.)*+{_TLD}(?![{WORD}]){_ns}*"
+    rf"(?:(?!{_TLD}(?![{WORD}]))[{WORD}]++\.)*+{_TLD}(?![{WORD}]){_ns}*))"
 )
 SYMBOL = f"[^a-zA-ZáéíóúÁÉÍÓÚñÑ0-9{WS}]"
 
@@ -81,17 +85,19 @@ def _emoji_class() -> str:
 
 
 _UNIT = _emoji_class() + r"\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?"
+# The look-ahead is a cheap test that ordinary letters fail before the long class is tried.
 EMOJI = (
     r"[0-9#*]\x{FE0F}?\x{20E3}"
-    r"|[\x{1F1E6}-\x{1F1FF}]{2}"
+    r"|(?=[\xA9\xAE\x{203C}-\x{303D}\x{3297}\x{3299}\x{1F004}-\x{1FAFF}])"
+    r"(?:[\x{1F1E6}-\x{1F1FF}]{2}"
     r"|\x{1F3F4}[\x{E0020}-\x{E007E}]+\x{E007F}"
-    rf"|{_UNIT}(?:\x{{200D}}{_UNIT})*+"
+    rf"|{_UNIT}(?:\x{{200D}}{_UNIT})*+)"
 )
 PROTECTED = f"{URL_SPAN}|{EMOJI}|{SLOT}"
 
 # --- timestamps -----------------------------------------------------------------------
 CHAT_TIMESTAMP = (
-    rf"(?iu)^{_s}*({_d}{{1,2}})/({_d}{{1,2}})/({_d}{{2,4}}),?{_s}*"
-    rf"({_d}{{1,2}}):({_d}{{2}})(?::({_d}{{2}}))?{_s}*(?:([ap])\.?{_s}?m\.?)?{_s}*$"
+    rf"^{_s}*({_d}{{1,2}})/({_d}{{1,2}})/({_d}{{2,4}}),?{_s}*"
+    rf"({_d}{{1,2}}):({_d}{{2}})(?::({_d}{{2}}))?{_s}*(?:([aApP])\.?{_s}?[mM]\.?)?{_s}*$"
 )
 ISO_DATE_START = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"

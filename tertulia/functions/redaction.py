@@ -26,24 +26,22 @@ Detector = Callable[[Column], Column]
 MASKS = {"name": NAME_MASK, "number": NUMBER_MASK, "mail": MAIL_MASK}
 
 
-def redact_marks(text: Column) -> Column:
-    return F.regexp_replace(text, P.TEXT_MARKS, "")
-
-
-def redact_brackets(text: Column) -> Column:
-    return F.regexp_replace(text, P.BRACKETED, NAME_MASK)
-
-
-def redact_phones(text: Column) -> Column:
-    return F.regexp_replace(text, P.PHONE, NUMBER_MASK)
+def _replace_if(sign: str, pattern: str, mask: str) -> Callable[[Column], Column]:
+    """Replacement that looks for a pattern only in texts with the sign it needs."""
+    return lambda text: let(
+        text,
+        lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, mask)).otherwise(t),
+    )
 
 
-def redact_emails(text: Column) -> Column:
-    return F.regexp_replace(text, P.MAIL, MAIL_MASK)
+def redact_marks(text: Column) -> Column:
+    return F.translate(text, P.TEXT_MARKS, "")
 
 
-def redact_tilde_names(text: Column) -> Column:
-    return F.regexp_replace(text, P.TILDE_NAME, NAME_MASK)
+redact_brackets = _replace_if("[", P.BRACKETED, NAME_MASK)
+redact_phones = _replace_if("+", P.PHONE, NUMBER_MASK)
+redact_emails = _replace_if("@", P.MAIL, MAIL_MASK)
+redact_tilde_names = _replace_if("~", P.TILDE_NAME, NAME_MASK)
 
 
 # --- person names ---------------------------------------------------------------------
@@ -123,14 +121,16 @@ def _put_back(outcome: Column, found: Column) -> Column:
 
 def _with_protection(text: Column, work: Callable[[Column], Column]) -> Column:
     """Run ``work`` on the text with every URL and emoji replaced by a slot."""
-    split_off = F.struct(
-        F.regexp_replace(text, P.PROTECTED, P.SLOT).alias("open"),
-        F.regexp_extract_all(text, F.lit(P.PROTECTED), F.lit(0)).alias("found"),
-    )
-    return let(
-        split_off,
-        lambda s: let(work(s["open"]), lambda outcome: _put_back(outcome, s["found"])),
-    )
+
+    def run(found: Column) -> Column:
+        open_text = F.when(F.size(found) == 0, text).otherwise(
+            F.regexp_replace(text, P.PROTECTED, P.SLOT)
+        )
+        return let(
+            let(open_text, work), lambda outcome: _put_back(outcome, found)
+        )
+
+    return let(F.regexp_extract_all(text, F.lit(P.PROTECTED), F.lit(0)), run)
 
 
 def _speaker_or(open_text: Column, otherwise: Callable[[Column], Column]) -> Column:

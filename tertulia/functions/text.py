@@ -7,16 +7,20 @@ import unicodedata
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
 
+from tertulia.fixed_values import WHITE_SPACE
 from tertulia.functions import patterns as P
-from tertulia.functions.base import strip
+from tertulia.functions.base import let, strip
 
 
 def sanitize_line(line: Column) -> Column:
     """Direction marks to blanks, padding after hyphens removed, ends trimmed."""
-    plain = F.regexp_replace(line, P.LINE_MARKS, " ")
-    return F.when(line == "", F.lit("[Sistema]")).otherwise(
-        strip(F.regexp_replace(plain, P.HYPHEN_PADDING, "$1"))
-    )
+
+    def tidy(text: Column) -> Column:
+        padded = F.contains(text, F.lit("-"))
+        return strip(F.when(padded, F.regexp_replace(text, P.HYPHEN_PADDING, "$1")).otherwise(text))
+
+    plain = F.translate(line, P.LINE_MARKS, " " * len(P.LINE_MARKS))
+    return F.when(line == "", F.lit("[Sistema]")).otherwise(let(plain, tidy))
 
 
 def _accent_table() -> tuple[str, str]:
@@ -45,7 +49,7 @@ def remove_accents(text: Column) -> Column:
 
 def strip_urls(text: Column) -> Column:
     """Delete URLs, host/path words and bare domains of the usual top-level domains."""
-    return F.regexp_replace(text, P.WEB_ADDRESS, "")
+    return F.regexp_replace(text, P.WEB_ADDRESS, "$1")
 
 
 def normalize_text(text: Column) -> Column:
@@ -54,8 +58,12 @@ def normalize_text(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Underscores to blanks, web addresses out, lower case, symbols out, accents out."""
-    spaced = F.translate(text, "_", " ")
+    """Underscores to blanks, web addresses out, lower case, symbols out, accents out.
+
+    All white space comes out as blanks, so that the words are what lies between blanks.
+    """
+    gaps = "_" + WHITE_SPACE
+    spaced = F.translate(text, gaps, " " * len(gaps))
     # Only these five accented letters are left once symbols are gone.
     return F.translate(normalize_text(strip_urls(spaced)), "áéíóú", "aeiou")
 

@@ -7,7 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.fixed_values import CHAT_STOP_WORDS
-from tertulia.functions import patterns as P
 from tertulia.functions.base import as_text
 from tertulia.functions.text import clean_text, default_stop_words, remove_accents
 from tertulia.operators.ranking import top_rows
@@ -46,7 +45,7 @@ def tokenize(
         plain = df.sparkSession.createDataFrame([(w,) for w in stop], "w string")
         stop += [r.w for r in plain.select(remove_accents(F.col("w")).alias("w")).collect()]
     column = text or text_column(df)
-    words = F.split(clean_text(as_text(F.col(column), null_text)), P.BLANKS)
+    words = F.split(clean_text(as_text(F.col(column), null_text)), " ")
     drop = {"", *stop}
     return df.withColumn("words", F.filter(words, lambda w: ~w.isin(*drop)))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.fixed_values import SYSTEM_SENDER
+from tertulia.sources.readers import spread
 
 # What each tenth of the messages gets: text in front, text behind.
 DECORATIONS = [
@@ -35,7 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     sender = F.when(F.col("event_type") == "error", SYSTEM_SENDER).otherwise(
         F.concat(F.lit("user_"), F.col("user_id").cast("string"))

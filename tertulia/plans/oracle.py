@@ -364,9 +364,9 @@ v_safe AS (SELECT chat_id, seq, is_header, timestamp, sender, message AS text FR
                                 " q AS (SELECT sender, count(*) AS total_messages, quantile_cont(size, 0.25) AS q1,"
                                 " quantile_cont(size, 0.5) AS median, quantile_cont(size, 0.75) AS q3 FROM s GROUP BY sender)"
                                 " SELECT sender, total_messages, q1, median, q3,"
-                                " least(min(size) FILTER (size >= q1 - 1.5 * (q3 - q1)), q1) AS whisker_low,"
-                                " greatest(max(size) FILTER (size <= q3 + 1.5 * (q3 - q1)), q3) AS whisker_high"
-                                " FROM s JOIN q USING (sender) GROUP BY ALL",
+                                " least(min(CASE WHEN size >= q1 - 1.5 * (q3 - q1) THEN size END), q1) AS whisker_low,"
+                                " greatest(max(CASE WHEN size <= q3 + 1.5 * (q3 - q1) THEN size END), q3) AS whisker_high"
+                                " FROM s JOIN q USING (sender) GROUP BY sender, total_messages, q1, median, q3",
         "messages_of_top_members": f"WITH {STATS} SELECT msg_id, sender, message FROM v_messages WHERE sender IN ({top})",
         "participation_profile": f"WITH {STATS}, l AS (SELECT quantile_cont(total_messages, 0.75) AS v,"
                                  " quantile_cont(CAST(floor(avg_message_size) AS BIGINT), 0.75) AS s FROM stats)"

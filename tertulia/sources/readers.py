@@ -69,3 +69,12 @@ def read_messages_csv(
 
 def read_messages(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.parquet(*([path] if isinstance(path, str) else path))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads an input of fewer splits than cores; larger inputs are left as they are.
+
+    Text functions are bound by CPU, and a small file in one split would keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
