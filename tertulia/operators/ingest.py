@@ -51,7 +51,14 @@ def parse_chat_lines(lines: DataFrame, redact: Redactor | None = None) -> DataFr
         )
         .withColumn("text", F.when(F.col("is_header"), group(3)).otherwise(F.col("clean")))
         .withColumn("text", redact(F.col("text")))
-        .select(*BLOCK, "seq", "is_header", "timestamp", "sender", "text")
+        # Keys without NULLs: no reader of these lines adds a filter of its own, so readers of
+        # the same lines can share one shuffle.
+        .select(
+            F.coalesce("chat_id", F.lit("")).alias("chat_id"),
+            F.coalesce("part", F.lit("")).alias("part"),
+            F.coalesce("block", F.lit(0)).alias("block"),
+            "seq", "is_header", "timestamp", "sender", "text",
+        )
     )
 
 
@@ -67,7 +74,9 @@ def assemble_messages(parsed: DataFrame, keep_preamble: bool = False) -> DataFra
     ``msg_idx`` counts the headers of a chat from 1.  Lines before the first header belong
     to no message; ``keep_preamble`` returns them as one row with ``msg_idx`` 0.
     """
-    in_block = Window.partitionBy(*BLOCK).orderBy("seq")
+    in_block = (
+        Window.partitionBy(*BLOCK).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     pieces = (
         parsed.withColumn("local_idx", F.count_if("is_header").over(in_block))
         .groupBy(*BLOCK, "local_idx")
@@ -117,33 +126,47 @@ def pseudonyms(
 ) -> DataFrame:
     """``(chat_id, sender, pseudonym)``, numbered by first appearance in the chat.
 
-    The system sender keeps its name but uses up a number unless ``skip_system``.  A message
-    brings in at most one sender, so a bucket of message numbers bounds the window.
+    The system sender keeps its name but uses up a number unless ``skip_system``.
     """
-    if skip_system:
-        system = messages.where(F.col("sender") == SYSTEM_SENDER).select("chat_id", "sender").distinct()
-        messages = messages.where(F.col("sender") != SYSTEM_SENDER)
     first = (
-        messages.groupBy("chat_id", "sender")
-        .agg(F.min("msg_idx").alias("first_idx"))
-        .withColumn("bucket", F.floor(F.col("first_idx") / bucket_size))
+        messages.groupBy("chat_id", "sender").agg(F.min("msg_idx").alias("spot"))
+        .withColumn("bucket", F.floor(F.col("spot") / bucket_size))
+    )
+    return _numbered(first, ["bucket"], prefix, skip_system)
+
+
+def pseudonyms_of_lines(
+    parsed: DataFrame, prefix: str = PSEUDONYM_PREFIX, skip_system: bool = False
+) -> DataFrame:
+    """The same from parsed lines, before any message is assembled."""
+    first = (
+        parsed.where("is_header")
+        # Senders per block first, on plain numbers; few rows are left for the ordered minimum.
+        .groupBy(*BLOCK, "sender").agg(F.min("seq").alias("seq"))
+        .groupBy("chat_id", "sender").agg(F.min(F.struct("part", "block", "seq")).alias("first"))
+        .select("chat_id", "sender", "first.part", "first.block", F.col("first.seq").alias("spot"))
     )
+    return _numbered(first, ["part", "block"], prefix, skip_system)
+
+
+def _numbered(first: DataFrame, bucket: list[str], prefix: str, skip_system: bool) -> DataFrame:
+    """Numbers first appearances within buckets and adds the counts of earlier buckets.
+
+    A message brings in at most one sender, so a bucket of messages or lines bounds its window.
+    """
+    is_system = F.col("sender") == SYSTEM_SENDER
+    counted = first.where(~is_system) if skip_system else first
     offsets = running_offsets(
-        first.groupBy("chat_id", "bucket").agg(F.count("*").alias("n")),
-        ["chat_id"], ["bucket"], "n", "offset",
+        counted.groupBy("chat_id", *bucket).agg(F.count("*").alias("n")),
+        ["chat_id"], bucket, "n", "offset",
     ).drop("n")
-    in_bucket = Window.partitionBy("chat_id", "bucket").orderBy("first_idx")
-    number = F.col("offset") + F.col("rank_in_bucket")
-    name = F.when(F.col("sender") == SYSTEM_SENDER, F.lit(SYSTEM_SENDER)).otherwise(
-        F.concat(F.lit(prefix), number.cast("string"))
-    )
-    out = (
-        first.withColumn("rank_in_bucket", F.row_number().over(in_bucket))
-        .join(offsets, ["chat_id", "bucket"])
-        .select("chat_id", "sender", name.alias("pseudonym"))
-    )
+    in_bucket = Window.partitionBy("chat_id", *bucket).orderBy("spot")
+    number = F.col("offset") + F.row_number().over(in_bucket)
+    name = F.when(is_system, F.lit(SYSTEM_SENDER)).otherwise(F.concat(F.lit(prefix), number.cast("string")))
+    out = counted.join(offsets, ["chat_id", *bucket]).select("chat_id", "sender", name.alias("pseudonym"))
     if skip_system:
-        out = out.unionByName(system.withColumn("pseudonym", F.lit(SYSTEM_SENDER)))
+        system = first.where(is_system).select("chat_id", "sender", F.lit(SYSTEM_SENDER).alias("pseudonym"))
+        out = out.unionByName(system)
     return out
 
 
@@ -172,4 +195,4 @@ def render_anonymized(messages: DataFrame) -> DataFrame:
 def anonymize(lines: DataFrame, redact: Redactor = redact_text, **options) -> DataFrame:
     """Lines to anonymised messages: parse, mask line by line, assemble, pseudonymise."""
     parsed = parse_chat_lines(lines, redact)
-    return pseudonymize_senders(assemble_messages(parsed), **options)
+    return pseudonymize_senders(assemble_messages(parsed), pseudonyms_of_lines(parsed, **options))

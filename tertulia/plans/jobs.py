@@ -33,7 +33,7 @@ def run_anonymize(
     with writers.Staged(parsed, "lines") as lines:
         assembled = ingest.assemble_messages(lines, keep_preamble=True)
         with writers.Staged(assembled, "assembled") as rows:
-            aliases = ingest.pseudonyms(rows.where("msg_idx > 0"), **names)
+            aliases = ingest.pseudonyms_of_lines(lines, **names)
             named = ingest.pseudonymize_senders(rows.where("msg_idx > 0"), aliases)
             writers.write_messages(named, f"{target}/messages")
             messages = readers.read_messages(spark, f"{target}/messages")
