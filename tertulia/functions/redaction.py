@@ -77,14 +77,19 @@ def keep_name(
     return keep
 
 
+def without_titles(text: Column) -> Column:
+    """The text a detector sees: academic titles are left out for detection only."""
+    return F.regexp_replace(text, P.TITLE_PREFIX, "")
+
+
 def name_spans(
     text: Column,
-    detector: Detector | None = capitalised_names,
+    detector: Detector = capitalised_names,
     exceptions: Sequence[str] = NAME_EXCEPTIONS,
     blocked: Sequence[str] = BLOCKED_NAME_WORDS,
 ) -> Column:
-    """Spans to mask, in text order.  Academic titles are ignored for detection only."""
-    found = detector(F.regexp_replace(text, P.TITLE_PREFIX, ""))
+    """Spans to mask, in text order."""
+    found = detector(without_titles(text))
     return F.filter(found, lambda span: keep_name(span, exceptions, blocked))
 
 
@@ -119,30 +124,34 @@ def _put_back(outcome: Column, found: Column) -> Column:
     )
 
 
-def _with_protection(text: Column, work: Callable[[Column], Column]) -> Column:
-    """Run ``work`` on the text with every URL and emoji replaced by a slot."""
+def protected_spans(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(P.PROTECTED), F.lit(0))
+
+
+def open_text(text: Column, found: Column) -> Column:
+    """The text with a slot for each protected span."""
+    replaced = F.regexp_replace(text, P.PROTECTED, P.SLOT)
+    return F.when(F.size(found) == 0, text).otherwise(replaced)
 
-    def run(found: Column) -> Column:
-        open_text = F.when(F.size(found) == 0, text).otherwise(
-            F.regexp_replace(text, P.PROTECTED, P.SLOT)
-        )
-        return let(
-            let(open_text, work), lambda outcome: _put_back(outcome, found)
-        )
 
-    return let(F.regexp_extract_all(text, F.lit(P.PROTECTED), F.lit(0)), run)
+def _with_protection(text: Column, work: Callable[[Column], Column]) -> Column:
+    """Run ``work`` on the text with every URL and emoji replaced by a slot."""
+    return let(
+        protected_spans(text),
+        lambda found: let(let(open_text(text, found), work), lambda out: _put_back(out, found)),
+    )
 
 
-def _speaker_or(open_text: Column, otherwise: Callable[[Column], Column]) -> Column:
-    topic = F.concat(F.lit(f"{NAME_MASK} - "), F.regexp_extract(open_text, P.SPEAKER_TOPIC, 1))
-    lead = F.regexp_extract(open_text, P.SPEAKER_LEAD, 1)
+def _speaker_or(opened: Column, otherwise: Callable[[Column], Column]) -> Column:
+    topic = F.concat(F.lit(f"{NAME_MASK} - "), F.regexp_extract(opened, P.SPEAKER_TOPIC, 1))
+    lead = F.regexp_extract(opened, P.SPEAKER_LEAD, 1)
     return (
-        F.when(~open_text.rlike(P.SPEAKER), otherwise(open_text))
+        F.when(~opened.rlike(P.SPEAKER), otherwise(opened))
         .when(
-            open_text.rlike(P.SPEAKER_TOPIC),
+            opened.rlike(P.SPEAKER_TOPIC),
             _outcome(topic, F.regexp_count(lead, F.lit(P.SLOT))),
         )
-        .otherwise(_outcome(open_text))
+        .otherwise(_outcome(opened))
     )
 
 
@@ -164,6 +173,20 @@ def redact_person_names(
     )
 
 
+def plain_masks(text: Column, null_text: str | None = None) -> Column:
+    """The steps that need no protected spans: marks, mentions, numbers, mails, tilde names."""
+    masked = redact_marks(as_text(text, null_text))
+    for step in (redact_brackets, redact_phones, redact_emails, redact_tilde_names):
+        masked = step(masked)
+    return masked
+
+
+def speaker_or_names(opened: Column, spans: Column, found: Column) -> Column:
+    """Last step on opened text, with the accepted name spans given; URLs and emojis return."""
+    outcome = _speaker_or(opened, lambda t: _outcome(_mask_spans(t, spans)))
+    return let(outcome, lambda out: _put_back(out, found))
+
+
 def redact_text(
     text: Column,
     detector: Detector | None = capitalised_names,
@@ -171,14 +194,18 @@ def redact_text(
     blocked: Sequence[str] = BLOCKED_NAME_WORDS,
     null_text: str | None = None,
 ) -> Column:
-    """All masking steps in order; ``detector=None`` leaves person names alone."""
+    """All masking steps in order; ``detector=None`` leaves person names alone.
+
+    The detector must be a plain expression here; for a Python model see
+    ``operators.names.redact_with_model``.
+    """
 
-    def names(open_text: Column) -> Column:
+    def names(opened: Column) -> Column:
         if detector is None:
-            return _outcome(open_text)
-        return _outcome(_mask_spans(open_text, name_spans(open_text, detector, exceptions, blocked)))
+            return _outcome(opened)
+        return _outcome(_mask_spans(opened, name_spans(opened, detector, exceptions, blocked)))
 
-    masked = redact_marks(as_text(text, null_text))
-    for step in (redact_brackets, redact_phones, redact_emails, redact_tilde_names):
-        masked = step(masked)
-    return let(masked, lambda m: _with_protection(m, lambda t: _speaker_or(t, names)))
+    return let(
+        plain_masks(text, null_text),
+        lambda m: _with_protection(m, lambda t: _speaker_or(t, names)),
+    )

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tertulia.fixed_values import PSEUDONYM_PREFIX, SYSTEM_SENDER
 from tertulia.functions import patterns as P
 from tertulia.functions.base import let, strip
-from tertulia.functions.redaction import redact_text
+from tertulia.functions.redaction import Detector, redact_text
 from tertulia.functions.text import sanitize_line
+from tertulia.operators.names import redact_with_model
 from tertulia.operators.ranking import running_offsets
 
 BLOCK = ["chat_id", "part", "block"]
@@ -192,7 +193,18 @@ def render_anonymized(messages: DataFrame) -> DataFrame:
     )
 
 
-def anonymize(lines: DataFrame, redact: Redactor = redact_text, **options) -> DataFrame:
-    """Lines to anonymised messages: parse, mask line by line, assemble, pseudonymise."""
-    parsed = parse_chat_lines(lines, redact)
+def anonymize(
+    lines: DataFrame, redact: Redactor = redact_text, model: Detector | None = None, **options
+) -> DataFrame:
+    """Lines to anonymised messages: parse, mask line by line, assemble, pseudonymise.
+
+    With ``model``, a Python name detector, masking runs through it instead of ``redact``.
+    """
+    parsed = masked_lines(lines, redact, model)
     return pseudonymize_senders(assemble_messages(parsed), pseudonyms_of_lines(parsed, **options))
+
+
+def masked_lines(lines: DataFrame, redact: Redactor = redact_text, model: Detector | None = None) -> DataFrame:
+    if model is None:
+        return parse_chat_lines(lines, redact)
+    return redact_with_model(parse_chat_lines(lines), model, "text")

@@ -1,4 +1,4 @@
-"""Person-name candidates as rows, for gazetteers and exception lists of any size."""
+"""Person names: candidates as rows, gazetteers of any size, Python models."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tertulia.fixed_values import BLOCKED_NAME_WORDS, NAME_EXCEPTIONS
 from tertulia.functions import patterns as P
+from tertulia.functions import redaction as R
 from tertulia.functions.redaction import Detector, capitalised_names, keep_name
 
 
@@ -15,8 +16,8 @@ def name_candidates(
     messages: DataFrame, keys: Sequence[str], text: str = "message", detector: Detector = capitalised_names
 ) -> DataFrame:
     """One row per detected span, before any filter."""
-    plain = F.regexp_replace(F.col(text), P.TITLE_PREFIX, "")
-    return messages.select(*keys, F.explode(detector(plain)).alias("span"))
+    found = detector(R.without_titles(F.col(text)))
+    return messages.select(*keys, F.explode(found).alias("span"))
 
 
 def filter_name_candidates(
@@ -36,3 +37,26 @@ def match_gazetteer(candidates: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
     known = gazetteer.select(F.col("name").alias("word"))
     return words.join(known, "word", "left_semi").select(*keys).distinct()
+
+
+def redact_with_model(
+    df: DataFrame,
+    detector: Detector,
+    text: str = "message",
+    exceptions: Sequence[str] = NAME_EXCEPTIONS,
+    blocked: Sequence[str] = BLOCKED_NAME_WORDS,
+) -> DataFrame:
+    """``redact_text`` with a detector that is a Python function.
+
+    Such a function cannot stand inside an expression, so each step is a column of its own;
+    the model sees whole Arrow batches and one call of it per message.
+    """
+    staged = (
+        df.withColumn("_masked", R.plain_masks(F.col(text)))
+        .withColumn("_found", R.protected_spans(F.col("_masked")))
+        .withColumn("_open", R.open_text(F.col("_masked"), F.col("_found")))
+        .withColumn("_names", detector(R.without_titles(F.col("_open"))))
+    )
+    kept = F.filter("_names", lambda span: keep_name(span, exceptions, blocked))
+    whole = R.speaker_or_names(F.col("_open"), kept, F.col("_found"))
+    return staged.withColumn(text, whole).select(*df.columns)

@@ -21,7 +21,7 @@ log = logging.getLogger("tertulia")
 
 
 def run_anonymize(
-    spark: SparkSession, source, target: str, redact=redact_text, chat_id=None, part=None, **names
+    spark: SparkSession, source, target: str, redact=redact_text, model=None, chat_id=None, part=None, **names
 ) -> DataFrame:
     """Exports to ``target/messages`` (Parquet) and ``target/text``; returns the messages.
 
@@ -29,7 +29,7 @@ def run_anonymize(
     however often the rows are read; both stages are deleted at the end (they hold the
     senders' real names).
     """
-    parsed = ingest.parse_chat_lines(readers.read_chat_lines(spark, source, chat_id, part), redact)
+    parsed = ingest.masked_lines(readers.read_chat_lines(spark, source, chat_id, part), redact, model)
     with writers.Staged(parsed, "lines") as lines:
         assembled = ingest.assemble_messages(lines, keep_preamble=True)
         with writers.Staged(assembled, "assembled") as rows:
