@@ -40,7 +40,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; quotes doubled, as data-frame libraries read them."""
     (
         df.write.mode("overwrite").option("header", True)
-        .option("quote", '"').option("escape", '"').csv(path)
+        .option("quote", '"').option("escape", '"')
+        # Timestamps of messages may end in a blank, which counts.
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
     )
 
 
