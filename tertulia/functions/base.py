@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.fixed_values import WHITE_SPACE
 
@@ -23,6 +23,21 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(WHITE_SPACE))
 
 
+def blanks_only(text: Column) -> Column:
+    """All white space as blanks."""
+    return F.translate(text, WHITE_SPACE, " " * len(WHITE_SPACE))
+
+
+def exploded(df: DataFrame, keep: Sequence[str], array: Column, *names: str) -> DataFrame:
+    """One row per element (with its position, when two names are given).
+
+    Empty arrays are dropped after the explosion.  The plain form makes Spark test the array
+    for emptiness first, which evaluates its whole expression again.
+    """
+    explode = F.posexplode_outer(array) if len(names) == 2 else F.explode_outer(array)
+    return df.select(*keep, explode.alias(*names)).where(F.col(names[-1]).isNotNull())
+
+
 def as_text(col: Column, null_text: str | None = None) -> Column:
     """Cast to string; with ``null_text`` a NULL counts as that text instead of NULL."""
     text = col.cast("string")

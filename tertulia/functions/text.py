@@ -7,9 +7,8 @@ import unicodedata
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
 
-from tertulia.fixed_values import WHITE_SPACE
 from tertulia.functions import patterns as P
-from tertulia.functions.base import let, strip
+from tertulia.functions.base import blanks_only, let, strip
 
 
 def sanitize_line(line: Column) -> Column:
@@ -62,10 +61,11 @@ def clean_text(text: Column) -> Column:
 
     All white space comes out as blanks, so that the words are what lies between blanks.
     """
-    gaps = "_" + WHITE_SPACE
-    spaced = F.translate(text, gaps, " " * len(gaps))
+    spaced = blanks_only(F.translate(text, "_", " "))
+    bare = F.regexp_replace(spaced, P.WEB_ADDRESS_BLANKS, "$1")
+    plain = F.regexp_replace(F.lower(bare), P.SYMBOL_BLANKS, "")
     # Only these five accented letters are left once symbols are gone.
-    return F.translate(normalize_text(strip_urls(spaced)), "áéíóú", "aeiou")
+    return F.translate(plain, "áéíóú", "aeiou")
 
 
 def default_stop_words() -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tertulia.fixed_values import CLOUD_STOP_WORDS
-from tertulia.functions.base import as_text
+from tertulia.functions.base import as_text, exploded
 from tertulia.functions.content import extract_emojis, extract_links, url_domain
 from tertulia.functions.redaction import MASKS
 from tertulia.operators.ranking import top_rows
@@ -19,7 +19,7 @@ def emoji_frequency(
 ) -> DataFrame:
     """Most used emojis; every occurrence counts."""
     column = F.col(text or text_column(messages))
-    found = messages.select(*by, F.explode(extract_emojis(column)).alias("emoji"))
+    found = exploded(messages, by, extract_emojis(column), "emoji")
     counted = found.groupBy(*by, "emoji").agg(F.count("*").alias("count"))
     return top_rows(counted, top_n, [F.desc("count"), F.asc("emoji")], by)
 
@@ -27,7 +27,7 @@ def emoji_frequency(
 def shared_links(messages: DataFrame, keep: Sequence[str] = (), text: str | None = None) -> DataFrame:
     """One row per link with its domain."""
     column = as_text(F.col(text or text_column(messages)))
-    return messages.select(*keep, F.explode(extract_links(column)).alias("link"))
+    return exploded(messages, keep, extract_links(column), "link")
 
 
 def top_shared_domains(
@@ -81,7 +81,7 @@ def adjective_frequency_tagged(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """As ``adjective_frequency``, with a tagger of whole messages instead of a lexicon."""
-    tagged = messages.select(*by, F.explode(tagger(F.col(text))).alias("tag"))
+    tagged = exploded(messages, by, tagger(F.col(text)), "tag")
     adjectives = tagged.where(F.col("tag.pos") == "ADJ").select(*by, F.lower("tag.token").alias("token"))
     if stopwords:
         adjectives = adjectives.where(~F.col("token").isin(*stopwords))
@@ -124,7 +124,7 @@ def _merge_plurals(counted: DataFrame, *others: str) -> DataFrame:
 
 def _unigrams(words: DataFrame, stop: Sequence[str]) -> DataFrame:
     counted = (
-        words.select(F.explode("words").alias("word"))
+        exploded(words, [], F.col("words"), "word")
         .where(~F.col("word").isin(*stop))
         .groupBy("word")
         .agg(F.count("*").alias("n"))
@@ -143,8 +143,8 @@ def _pair_counts(words: DataFrame, stop: Sequence[str]) -> DataFrame:
         ),
     )
     counted = (
-        words.select(F.inline(pairs))
-        .toDF("first_word", "word")
+        exploded(words, [], pairs, "pair")
+        .select(F.col("pair.first_word"), F.col("pair.word"))
         .where(~F.col("first_word").isin(*stop) & ~F.col("word").isin(*stop))
         .groupBy("first_word", "word")
         .agg(F.count("*").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tertulia.fixed_values import BLOCKED_NAME_WORDS, NAME_EXCEPTIONS
 from tertulia.functions import patterns as P
 from tertulia.functions import redaction as R
+from tertulia.functions.base import exploded
 from tertulia.functions.redaction import Detector, capitalised_names, keep_name
 
 
@@ -17,7 +18,7 @@ def name_candidates(
 ) -> DataFrame:
     """One row per detected span, before any filter."""
     found = detector(R.without_titles(F.col(text)))
-    return messages.select(*keys, F.explode(found).alias("span"))
+    return exploded(messages, keys, found, "span")
 
 
 def filter_name_candidates(

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.fixed_values import CHAT_STOP_WORDS
-from tertulia.functions.base import as_text
+from tertulia.functions.base import as_text, exploded
 from tertulia.functions.text import clean_text, default_stop_words, remove_accents
 from tertulia.operators.ranking import top_rows
 
@@ -53,7 +53,7 @@ def tokenize(
 def explode_tokens(tokenized: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """One row per token with its position among the kept words of its message."""
     keys = [c for c in ("chat_id", "msg_idx", "sender") if c in tokenized.columns] if keep is None else keep
-    return tokenized.select(*keys, F.posexplode("words").alias("pos", "token"))
+    return exploded(tokenized, keys, F.col("words"), "pos", "token")
 
 
 def clean_tokens(df: DataFrame, keep: Sequence[str] | None = None, **options) -> DataFrame:
@@ -89,7 +89,7 @@ def clean_text_by_sender(
 
 
 def token_counts(tokenized: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    words = tokenized.select(*by, F.explode("words").alias("token"))
+    words = exploded(tokenized, by, F.col("words"), "token")
     return words.groupBy(*by, "token").agg(F.count("*").alias("count"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tertulia.functions.base import exploded
 from tertulia.functions import content as C, redaction as R, temporal as W, text as T
 from tertulia.operators import content, ingest, members, names, temporal, tokens
 from tertulia.plans import fixtures as fx
@@ -102,8 +103,8 @@ def adjective_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(extract, name: str) -> Query:
-    return lambda spark, d: fx.v_decorated(spark, d).select(
-        "msg_id", F.posexplode(extract(F.col("message"))).alias("pos", name)
+    return lambda spark, d: exploded(
+        fx.v_decorated(spark, d), ["msg_id"], extract(F.col("message")), "pos", name
     )
 
 
