@@ -122,34 +122,40 @@ def _merge_plurals(counted: DataFrame, *others: str) -> DataFrame:
     return merged.select(*others, word.alias("word"), "stem", "n")
 
 
-def _unigrams(words: DataFrame, stop: Sequence[str]) -> DataFrame:
-    counted = (
-        exploded(words, [], F.col("words"), "word")
-        .where(~F.col("word").isin(*stop))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-    )
-    return _merge_plurals(counted)
-
-
-def _pair_counts(words: DataFrame, stop: Sequence[str]) -> DataFrame:
-    """Neighbouring words of one message, without a window: two shifted slices, zipped."""
-    rest = F.size("words") - 1
-    pairs = F.when(
-        rest > 0,
-        F.arrays_zip(
-            F.slice("words", F.lit(1), rest).alias("first_word"),
-            F.slice("words", F.lit(2), rest).alias("word"),
-        ),
+def word_and_pair_counts(
+    tokenized: DataFrame, min_length: int = 2, stopwords: Sequence[str] = CLOUD_STOP_WORDS
+) -> DataFrame:
+    """Counts of words and of neighbouring words of a message: ``(word, next_word, n)``.
+
+    ``next_word`` is NULL for a single word.  Neighbours come from two shifted slices of the
+    word list, zipped, so no window is needed and both counts take one pass and one shuffle.
+    What follows joins this table with itself several times: stage it first (``Staged``), or
+    the text is read as often.
+    """
+    words = _cloud_words(tokenized, min_length)
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
+    singles = F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(None).cast("string").alias("next_word")))
+    pairs = F.zip_with(
+        F.slice("words", F.lit(1), rest), F.slice("words", F.lit(2), rest),
+        lambda a, b: F.struct(a.alias("word"), b.alias("next_word")),
     )
-    counted = (
-        exploded(words, [], pairs, "pair")
-        .select(F.col("pair.first_word"), F.col("pair.word"))
-        .where(~F.col("first_word").isin(*stop) & ~F.col("word").isin(*stop))
-        .groupBy("first_word", "word")
+    seen = exploded(words, [], F.concat(singles, pairs), "seen").select("seen.word", "seen.next_word")
+    return (
+        seen.where(~F.col("word").isin(*stopwords))
+        .where(F.col("next_word").isNull() | ~F.col("next_word").isin(*stopwords))
+        .groupBy("word", "next_word")
         .agg(F.count("*").alias("n"))
     )
-    return _merge_plurals(counted, "first_word").drop("stem")
+
+
+def _unigrams(counts: DataFrame) -> DataFrame:
+    return _merge_plurals(counts.where(F.col("next_word").isNull()).select("word", "n"))
+
+
+def _pair_counts(counts: DataFrame) -> DataFrame:
+    pairs = counts.where(F.col("next_word").isNotNull())
+    renamed = pairs.select(F.col("word").alias("first_word"), F.col("next_word").alias("word"), "n")
+    return _merge_plurals(renamed, "first_word").drop("stem")
 
 
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -170,13 +176,13 @@ def collocation_score(pair: Column, first: Column, second: Column, total: Column
     return F.when((total <= first) | (total <= second), F.lit(0.0)).otherwise(-2 * ratio)
 
 
-def _scored_pairs(words: DataFrame, unigrams: DataFrame, stop: Sequence[str]) -> DataFrame:
+def _scored_pairs(counts: DataFrame, unigrams: DataFrame) -> DataFrame:
     """Pairs with the counts of both words (plural forms counted with their singular)."""
     total = unigrams.select(F.sum("n").cast("double")).scalar()
     first = unigrams.select(F.col("stem").alias("first_stem"), F.col("word").alias("first_form"), F.col("n").alias("n_first"))
     second = unigrams.select(F.col("stem").alias("second_stem"), F.col("word").alias("second_form"), F.col("n").alias("n_second"))
     joined = (
-        _pair_counts(words, stop)
+        _pair_counts(counts)
         .withColumn("first_stem", _singular(F.col("first_word")))
         .withColumn("second_stem", _singular(F.col("word")))
         .join(first, "first_stem")
@@ -191,33 +197,24 @@ def _scored_pairs(words: DataFrame, unigrams: DataFrame, stop: Sequence[str]) ->
 
 
 def bigram_collocations(
-    tokenized: DataFrame,
-    top_n: int | None = None,
-    min_score: float = 30.0,
-    min_length: int = 2,
-    stopwords: Sequence[str] = CLOUD_STOP_WORDS,
+    counts: DataFrame, top_n: int | None = None, min_score: float = 30.0
 ) -> DataFrame:
-    """Neighbouring word pairs that occur together more often than chance explains."""
-    words = _cloud_words(tokenized, min_length)
-    pairs = _scored_pairs(words, _unigrams(words, stopwords), stopwords)
+    """Neighbouring word pairs that occur together more often than chance explains.
+
+    ``counts`` comes from ``word_and_pair_counts``.
+    """
+    pairs = _scored_pairs(counts, _unigrams(counts))
     kept = pairs.where(F.col("score") > min_score).select("bigram", F.col("n").alias("count"), "score")
     return top_rows(kept, top_n, [F.desc("score"), F.asc("bigram")])
 
 
-def term_weights(
-    tokenized: DataFrame,
-    max_terms: int = 200,
-    min_score: float = 30.0,
-    min_length: int = 2,
-    stopwords: Sequence[str] = CLOUD_STOP_WORDS,
-) -> DataFrame:
+def term_weights(counts: DataFrame, max_terms: int = 200, min_score: float = 30.0) -> DataFrame:
     """Word-cloud weights: words and collocations by count, relative to the largest.
 
     A collocation's count is taken off both of its words.
     """
-    words = _cloud_words(tokenized, min_length)
-    unigrams = _unigrams(words, stopwords)
-    collocations = _scored_pairs(words, unigrams, stopwords).where(F.col("score") > min_score)
+    unigrams = _unigrams(counts)
+    collocations = _scored_pairs(counts, unigrams).where(F.col("score") > min_score)
     changes = F.array(
         F.struct(F.col("bigram").alias("term"), F.col("n").alias("n")),
         F.struct(F.col("first_form").alias("term"), (-F.col("n")).alias("n")),

@@ -79,12 +79,13 @@ def clean_text_by_sender(
     many bounded rows, none of which is left out.
     """
     run = F.floor((F.col("msg_idx") - 1) / messages_per_text).alias("text_no")
-    said = F.array_sort(F.collect_list(F.struct("msg_idx", F.array_join("words", " ").alias("t"))))
+    cleaned = tokenized.select(*keys, run, "msg_idx", F.array_join("words", " ").alias("t"))
+    said = F.array_sort(F.collect_list(F.struct("msg_idx", "t")))
+    text = F.array_join(F.filter(F.col("said.t"), lambda t: t != ""), " ")
     return (
-        tokenized.where(F.size("words") > 0)
-        .groupBy(*keys, run)
-        .agg(said.alias("said"))
-        .select(*keys, "text_no", F.array_join(F.col("said.t"), " ").alias("clean_text"))
+        cleaned.groupBy(*keys, "text_no").agg(said.alias("said"))
+        .select(*keys, "text_no", text.alias("clean_text"))
+        .where(F.col("clean_text") != "")
     )
 
 

@@ -53,7 +53,8 @@ def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_events_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events alone as messages: the temporal metrics at the size of the event table."""
-    return _table(spark, sf_dir, "events").select(
+    events = spread(_table(spark, sf_dir, "events").select("ts", "event_type"))
+    return events.select(
         F.date_format("ts", "dd/MM/yyyy, HH:mm").alias("timestamp"),
         F.col("event_type").alias("message"),
     )

@@ -16,6 +16,7 @@ from tertulia.functions.redaction import redact_text
 from tertulia.operators import content, ingest, members, temporal, tokens
 from tertulia.plans.session import build_session
 from tertulia.sources import readers, writers
+from tertulia.sources.staging import Staged
 
 log = logging.getLogger("tertulia")
 
@@ -30,9 +31,9 @@ def run_anonymize(
     senders' real names).
     """
     parsed = ingest.masked_lines(readers.read_chat_lines(spark, source, chat_id, part), redact, model)
-    with writers.Staged(parsed, "lines") as lines:
+    with Staged(parsed, "lines") as lines:
         assembled = ingest.assemble_messages(lines, keep_preamble=True)
-        with writers.Staged(assembled, "assembled") as rows:
+        with Staged(assembled, "assembled") as rows:
             aliases = ingest.pseudonyms_of_lines(lines, **names)
             named = ingest.pseudonymize_senders(rows.where("msg_idx > 0"), aliases)
             writers.write_messages(named, f"{target}/messages")
@@ -75,16 +76,21 @@ def run_report(spark: SparkSession, source: str, target: str, lexicon: DataFrame
     texts = {
         "top_words": tokens.top_words(words, by=by),
         "top_words_per_member": tokens.top_words_per_member(words, by=by),
-        "term_weights": content.term_weights(words),
-        "bigram_collocations": content.bigram_collocations(words),
     }
     if lexicon is not None:
         texts["adjective_frequency"] = content.adjective_frequency(words, lexicon, by=by)
     for name, df in texts.items():
         df.write.mode("overwrite").parquet(f"{target}/{name}")
+    with Staged(content.word_and_pair_counts(words), "counts") as counts:
+        clouds = {
+            "term_weights": content.term_weights(counts),
+            "bigram_collocations": content.bigram_collocations(counts),
+        }
+        for name, df in clouds.items():
+            df.write.mode("overwrite").parquet(f"{target}/{name}")
     if spark.read.parquet(f"{target}/top_words").isEmpty():
         log.warning("no text is left after cleaning")
-    return [*tables, "words", *texts]
+    return [*tables, "words", *texts, *clouds]
 
 
 def main(argv: list[str]) -> int:

@@ -274,10 +274,10 @@ def _peaks() -> str:
 cells AS (SELECT {DAY_IDX} AS d, {HOUR} AS h, count(*) AS n FROM v_timed GROUP BY ALL),
 days AS (SELECT r.d, coalesce(sum(n), 0) AS n FROM (SELECT unnest(range(7)) AS d) r LEFT JOIN cells USING (d) GROUP BY r.d),
 hours AS (SELECT h, sum(n) AS n FROM cells GROUP BY h)
-SELECT 'busiest_day' AS peak, ([{_DAYS}])[d + 1] AS day_name, CAST(NULL AS INTEGER) AS hour, CAST(n AS BIGINT) AS count
+SELECT 'busiest_day' AS peak, ([{_DAYS}])[d + 1] AS day_name, -1 AS hour, CAST(n AS BIGINT) AS count
   FROM (SELECT * FROM days ORDER BY n DESC, d LIMIT 1)
-UNION ALL SELECT 'quietest_day', ([{_DAYS}])[d + 1], NULL, CAST(n AS BIGINT) FROM (SELECT * FROM days ORDER BY n, d LIMIT 1)
-UNION ALL SELECT 'busiest_hour', NULL, h, CAST(n AS BIGINT) FROM (SELECT * FROM hours ORDER BY n DESC, h LIMIT 1)
+UNION ALL SELECT 'quietest_day', ([{_DAYS}])[d + 1], -1, CAST(n AS BIGINT) FROM (SELECT * FROM days ORDER BY n, d LIMIT 1)
+UNION ALL SELECT 'busiest_hour', '', h, CAST(n AS BIGINT) FROM (SELECT * FROM hours ORDER BY n DESC, h LIMIT 1)
 UNION ALL SELECT 'busiest_cell', ([{_DAYS}])[d + 1], h, n FROM (SELECT * FROM cells ORDER BY n DESC, d, h LIMIT 1)"""
 
 
@@ -308,7 +308,8 @@ v_safe AS (SELECT chat_id, seq, is_header, timestamp, sender, message AS text FR
         "chat_line_scan": f"WITH {fx.V_LINES} SELECT chat_id, count(*) AS n_lines,"
                           " CAST(sum(length(value)) AS BIGINT) AS n_chars FROM v_lines GROUP BY chat_id",
         "sanitize_lines": f"WITH {PARSED} SELECT chat_id, seq, clean FROM v_clean",
-        "parse_chat_lines": f"WITH {PARSED} SELECT chat_id, seq, is_header, timestamp, sender, text FROM v_fields",
+        "parse_chat_lines": f"WITH {PARSED} SELECT chat_id, seq, is_header, coalesce(timestamp, '') AS timestamp,"
+                            " coalesce(sender, '') AS sender, text FROM v_fields",
         "assemble_messages": f"WITH {PARSED}, {_assembled('v_fields')} SELECT * FROM v_assembled",
         "pseudonymize_senders": f"WITH {PARSED}, {_assembled('v_fields')} SELECT * FROM v_pseudonymous",
         "render_anonymized": f"WITH {PARSED}, {_assembled('v_fields')},"
@@ -405,7 +406,7 @@ v_safe AS (SELECT chat_id, seq, is_header, timestamp, sender, message AS text FR
                               " ORDER BY count DESC, dominio LIMIT 10",
         "term_weights": f"WITH {_clouds()}, top AS (SELECT * FROM c_terms ORDER BY count DESC, term LIMIT 200)"
                         " SELECT term, count, count / (SELECT max(count) FROM top) AS weight FROM top",
-        "bigram_collocations": f"WITH {_clouds()} SELECT bigram, CAST(n AS BIGINT) AS count, round(score, 6) AS score FROM c_kept",
+        "bigram_collocations": f"WITH {_clouds()} SELECT bigram, CAST(n AS BIGINT) AS count, round(score, 4) AS score FROM c_kept",
         "top_words": f"WITH {_tokens(fx.V_MESSAGES, 'v_messages', 'msg_id')}, t AS (SELECT unnest(words) AS token FROM v_words)"
                      " SELECT token, count(*) AS count FROM t GROUP BY token ORDER BY count DESC, token LIMIT 10",
         "top_words_per_member": f"WITH {_tokens(fx.V_MESSAGES, 'v_messages', 'msg_id, sender')},"

@@ -12,8 +12,8 @@ from tertulia.functions import content as C, redaction as R, temporal as W, text
 from tertulia.operators import content, ingest, members, names, temporal, tokens
 from tertulia.plans import fixtures as fx
 from tertulia.schema import LEXICON
-from tertulia.sources.readers import read_chat_lines
-from tertulia.sources.writers import shared_folder
+from tertulia.sources.readers import read_chat_lines, spread
+from tertulia.sources.staging import Staged, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +45,15 @@ def _on_words(operator, view=fx.v_messages, **options) -> Query:
     return lambda spark, d: operator(tokens.tokenize(view(spark, d)), **options)
 
 
+def _on_counts(operator) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        words = tokens.tokenize(fx.v_messages(spark, sf_dir))
+        return operator(Staged(content.word_and_pair_counts(words), "counts").df)
+    return run
+
+
 def _events_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")).select(
         "event_id", F.date_format("ts", "dd/MM/yyyy, HH:mm").alias("timestamp")
     )
 
@@ -69,7 +76,8 @@ def chat_line_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_chat_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d).select("chat_id", "seq", "is_header", "timestamp", "sender", "text")
+    found = [F.coalesce(c, F.lit("")).alias(c) for c in ("timestamp", "sender")]
+    return _parsed(spark, d).select("chat_id", "seq", "is_header", *found, "text")
 
 
 def render_anonymized(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +110,11 @@ def adjective_frequency(spark: SparkSession, d: str) -> DataFrame:
     return content.adjective_frequency(tokens.tokenize(fx.v_decorated(spark, d)), lexicon)
 
 
+def activity_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks without NULLs: no day as an empty text, no hour as -1."""
+    return temporal.activity_peaks(fx.v_events_messages(spark, d)).na.fill({"day_name": "", "hour": -1})
+
+
 def _found(extract, name: str) -> Query:
     return lambda spark, d: exploded(
         fx.v_decorated(spark, d), ["msg_id"], extract(F.col("message")), "pos", name
@@ -161,7 +174,7 @@ QUERIES: dict[str, Query] = {
     "messages_by_hour": _on_messages(temporal.messages_by_hour),
     "messages_by_hour_dense": _on_events(temporal.messages_by_hour, dense=True),
     "activity_heatmap": _on_events(temporal.activity_heatmap),
-    "activity_peaks": _on_events(temporal.activity_peaks),
+    "activity_peaks": activity_peaks,
     "date_range": _on_messages(temporal.date_range),
     "adjective_frequency": adjective_frequency,
     "extract_emojis": _found(C.extract_emojis, "emoji"),
@@ -170,8 +183,9 @@ QUERIES: dict[str, Query] = {
     "url_domain": _url_domain(False),
     "url_domain_strict": _url_domain(True),
     "top_shared_domains": lambda s, d: content.top_shared_domains(fx.v_decorated(s, d)),
-    "term_weights": _on_words(content.term_weights),
-    "bigram_collocations": _on_words(content.bigram_collocations),
+    "term_weights": _on_counts(content.term_weights),
+    "bigram_collocations": lambda s, d: _on_counts(content.bigram_collocations)(s, d).withColumn(
+        "score", F.round("score", 4)),
     "top_words": _on_words(tokens.top_words),
     "top_words_per_member": _on_words(tokens.top_words_per_member),
 }

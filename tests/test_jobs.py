@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tertulia.functions.lexicon import spanish_adjectives
 from tertulia.plans import jobs
 from tertulia.sources import readers, writers
+from tertulia.sources.staging import shared_folder
 from tertulia.streaming.redaction import start_redaction
 from test_ingest import CHAT
 
@@ -21,7 +22,7 @@ def text_of(folder):
 def test_anonymize_and_report(spark, tmp_path):
     source = tmp_path / "chat.txt"
     source.write_text(CHAT, encoding="utf-8")
-    stages = set(glob.glob(writers.shared_folder(spark) + "/*"))
+    stages = set(glob.glob(shared_folder(spark) + "/*"))
     messages = jobs.run_anonymize(spark, str(source), str(tmp_path / "out"))
     assert [r.sender for r in messages.orderBy("msg_idx").collect()] == [
         "Sistema", "Miembro_GDG_2", "Miembro_GDG_3", "Miembro_GDG_2", "Miembro_GDG_4"]
@@ -34,7 +35,7 @@ def test_anonymize_and_report(spark, tmp_path):
         "[3/11/25, 20:08 ] Miembro_GDG_4: Ana cambió", "[NOMBRE_OCULTO] Ana: otro formato",
     ]
     # Staged tables hold real names and are gone.
-    assert set(glob.glob(writers.shared_folder(spark) + "/*")) == stages
+    assert set(glob.glob(shared_folder(spark) + "/*")) == stages
 
     names = jobs.run_report(spark, str(tmp_path / "out" / "messages"), str(tmp_path / "report"), spanish_adjectives(spark))
     assert "adjective_frequency" in names
