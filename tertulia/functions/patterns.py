@@ -39,7 +39,7 @@ SLOT = "\ue000"
 
 # --- line sanitising and message headers ---------------------------------------------
 LINE_MARKS = "\u200e\u200f\u202f\u2068\u2069"  # characters, not a pattern
-HYPHEN_PADDING = f"({_s}*-{_s}*)[{WS}~]+"
+HYPHEN_PADDING = rf"(?:\G|(?<!{_s}))({_s}*-{_s}*)[~{WS}]+"
 HEADER = (
     f"(?d)^{_s}*[\u200e\u200f]?"
     rf"({_d}{{1,2}}/{_d}{{1,2}}/{_d}{{2,4}},{_s}{_d}{{1,2}}:{_d}{{2}}(?::{_d}{{2}})?"
