@@ -125,31 +125,27 @@ def _merge_plurals(counted: DataFrame, *others: str) -> DataFrame:
 def word_and_pair_counts(
     tokenized: DataFrame, min_length: int = 2, stopwords: Sequence[str] = CLOUD_STOP_WORDS
 ) -> DataFrame:
-    """Counts of words and of neighbouring words of a message: ``(word, next_word, n)``.
+    """Counts of words by the word that follows in the message: ``(word, next_word, n)``.
 
-    ``next_word`` is NULL for a single word.  Neighbours come from two shifted slices of the
-    word list, zipped, so no window is needed and both counts take one pass and one shuffle.
-    What follows joins this table with itself several times: stage it first (``Staged``), or
-    the text is read as often.
+    ``next_word`` is NULL at the end of a message and before a stop word.  The word list is
+    zipped with itself, shifted by one, so no window is needed; single words and pairs both
+    come from this one pass and shuffle.  What follows joins the table with itself several
+    times: stage it first (``Staged``), or the text is read as often.
     """
     words = _cloud_words(tokenized, min_length)
-    rest = F.greatest(F.size("words") - 1, F.lit(0))
-    singles = F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(None).cast("string").alias("next_word")))
-    pairs = F.zip_with(
-        F.slice("words", F.lit(1), rest), F.slice("words", F.lit(2), rest),
-        lambda a, b: F.struct(a.alias("word"), b.alias("next_word")),
-    )
-    seen = exploded(words, [], F.concat(singles, pairs), "seen").select("seen.word", "seen.next_word")
+    shifted = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
+    steps = F.arrays_zip(F.col("words").alias("word"), shifted.alias("next_word"))
+    seen = exploded(words, [], steps, "step").select("step.word", "step.next_word")
+    follows = F.when(~F.col("next_word").isin(*stopwords), F.col("next_word"))
     return (
         seen.where(~F.col("word").isin(*stopwords))
-        .where(F.col("next_word").isNull() | ~F.col("next_word").isin(*stopwords))
-        .groupBy("word", "next_word")
+        .groupBy("word", follows.alias("next_word"))
         .agg(F.count("*").alias("n"))
     )
 
 
 def _unigrams(counts: DataFrame) -> DataFrame:
-    return _merge_plurals(counts.where(F.col("next_word").isNull()).select("word", "n"))
+    return _merge_plurals(counts.groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def _pair_counts(counts: DataFrame) -> DataFrame:
