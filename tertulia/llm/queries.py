@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tertulia.llm import external_shuffle, line_quality, scaled_sketch
+from tertulia.llm import external_shuffle, line_quality, scaled_sketch, simhash_pivots
 from tertulia.llm.common import documents, text_of
 
 
@@ -16,6 +16,12 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash_pivots.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", simhash_pivots.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and of its edited form, and how alike they are."""
     docs = documents(spark, sf_dir).select("doc_id", text_of("text").alias("text"))
@@ -48,6 +54,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_quality": op2_line_quality,
+    "op5_simhash_pivots": op5_simhash_pivots,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_external_shuffle": op10_external_shuffle,
 }
