@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tertulia.llm import external_shuffle, line_quality, scaled_sketch, simhash_pivots
+from tertulia.llm import (
+    entropy_mixing, external_shuffle, line_quality, pii_disclosure, scaled_sketch, simhash_pivots, vector_packing,
+)
 from tertulia.llm.common import documents, text_of
 
 
@@ -16,12 +18,40 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file that packing uses; installed beside its library on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    pieces = vector_packing.pack(documents(spark, sf_dir), tokenizer_path())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash_pivots.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", simhash_pivots.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    rated = entropy_mixing.with_copies(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return rated.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+
+
+def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document."""
+    found = pii_disclosure.find(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and of its edited form, and how alike they are."""
     docs = documents(spark, sf_dir).select("doc_id", text_of("text").alias("text"))
@@ -54,7 +84,10 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_quality": op2_line_quality,
+    "op3_vector_packing": op3_vector_packing,
     "op5_simhash_pivots": op5_simhash_pivots,
+    "op6_entropy_mixing": op6_entropy_mixing,
+    "op8_pii_disclosure": op8_pii_disclosure,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_external_shuffle": op10_external_shuffle,
 }
