@@ -9,7 +9,7 @@ exponential tilt in the document's size, bounded by the copies allowed,
 The multipliers are found by Newton steps, one aggregation over (source, size) counts each, for all sources at once
 and kept inside a shrinking bracket.  Sources at their limit have the rate ``MAX_COPIES``.  Rates are
 rounded into whole copies: per source, from large to small sizes, the words still owed are carried on, so that
-the total misses its target by less than a short document; within documents of one size the copies
+the total misses its target by less than a short document, and single copies are exchanged to close the rest; within documents of one size the copies
 go to the smallest seeded hashes.
 
 No task holds more than the distinct sizes of a source or a 64th of the documents of one size and source.
@@ -22,6 +22,7 @@ result are replaced.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -32,7 +33,8 @@ SHARE = 1.5
 MAX_COPIES = 2
 SEED = 71
 SALTS = 64
-STEPS, TOLERANCE, REACH = 60, 1e-7, 1e4
+SETTLE_STEPS = 20
+STEPS, TOLERANCE, REACH = 60, 1e-6, 1e4
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -70,40 +72,66 @@ def multipliers(cells: DataFrame, goals: DataFrame) -> DataFrame:
     """
     open_goals = goals.where(~F.col("full")).withColumn("mean", F.col("source_size") / F.col("n_docs"))
     state = checkpointed(open_goals.select(
-        "source", "mean", "target", F.lit(0.0).alias("lam"), F.lit(-REACH).alias("lo"), F.lit(REACH).alias("hi"), F.lit(1.0).alias("miss")))
+        "source", "mean", "target", (F.col("source_size") * F.lit(float(MAX_COPIES))).alias("cap"), F.lit(0.0).alias("lam"), F.lit(-REACH).alias("lo"), F.lit(REACH).alias("hi"), F.lit(1.0).alias("miss")))
     for _ in range(STEPS):
         x = F.col("c.size") / F.col("s.mean")
         rate = _sigma(F.col("lam") * x)
         words = F.col("c.n") * F.col("c.size") * MAX_COPIES
         sums = cells.alias("c").join(state.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).groupBy(
-            F.col("s.source").alias("source"), "mean", "target", "lam", "lo", "hi"
+            F.col("s.source").alias("source"), "mean", "target", "cap", "lam", "lo", "hi"
         ).agg(F.sum(words * rate).alias("got"), F.sum(words * x * rate * (1 - rate)).alias("slope"))
         over = F.col("got") > F.col("target")
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - (F.col("got") - F.col("target")) / F.nullif("slope", F.lit(0.0))
+        # a Newton step on the logarithm of what is taken or, above the source's size, of what is still left out
+        room, want = F.col("cap") - F.col("got"), F.col("cap") - F.col("target")
+        gap = F.when(F.col("target") * MAX_COPIES > F.col("cap"), F.log(room / want) * room).otherwise(
+            -F.log(F.col("got") / F.col("target")) * F.col("got"))
+        newton = F.col("lam") + gap / F.nullif("slope", F.lit(0.0))
         moved = sums.withColumn("miss", F.abs(F.col("got") - F.col("target")) / F.greatest("target", F.lit(1.0)))
         moved = moved.withColumn("lo2", lo).withColumn("hi2", hi).withColumn("next", newton)
         inside = (F.col("next") > F.col("lo2")) & (F.col("next") < F.col("hi2"))
         step = F.when(F.col("miss") <= TOLERANCE, F.col("lam")).when(inside, F.col("next")).otherwise(
             (F.col("lo2") + F.col("hi2")) / 2)
         state = checkpointed(moved.select(
-            "source", "mean", "target", step.alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "miss"))
+            "source", "mean", "target", "cap", step.alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "miss"))
         if (state.agg(F.max("miss")).first()[0] or 0) <= TOLERANCE:
             break
     return state.select("source", "mean", "lam")
 
 
+def _settle(size: np.ndarray, most: np.ndarray, copies: np.ndarray, owed: float) -> None:
+    """Change single copies, one more here and one less there, while that brings the words owed nearer to zero."""
+    for _ in range(SETTLE_STEPS):
+        more, less = np.flatnonzero((copies < most) & (size > 0)), np.flatnonzero((copies > 0) & (size > 0))
+        add = np.concatenate(([0], size[more][::-1]))  # ascending, as cells run from large to small
+        cut = np.concatenate(([0], size[less]))
+        near = np.searchsorted(add, owed + cut)
+        gaps = [np.abs(owed + cut - add[np.clip(near + d, 0, len(add) - 1)]) for d in (-1, 0)]
+        pick = int(np.argmin(np.minimum(*gaps)))
+        d = int(gaps[1][pick] < gaps[0][pick]) - 1
+        k = int(np.clip(near[pick] + d, 0, len(add) - 1))
+        if abs(owed + cut[pick] - add[k]) >= abs(owed) - 0.5:
+            return
+        owed += cut[pick] - add[k]
+        if k:
+            copies[more[::-1][k - 1]] += 1
+        if pick:
+            copies[less[pick - 1]] -= 1
+
+
 def _round(cells: pd.DataFrame) -> pd.DataFrame:
     """Whole copies of one source's cells; words owed are carried from large sizes to small ones."""
     cells = cells.sort_values("size", ascending=False)
-    owed, extra = 0.0, []
-    for size, n, rate in zip(cells["size"], cells["n"], cells["rate"], strict=True):
-        part = (rate - int(rate)) * n
-        owed += part * size
-        take = min(n, max(0, int(owed / size + 0.5))) if size else 0
-        owed -= take * size
-        extra.append(take)
-    return cells.assign(extra=extra)[["source", "size", "rate", "extra"]]
+    size, n, rate = (cells[c].to_numpy() for c in ("size", "n", "rate"))
+    owed, copies = 0.0, (np.floor(rate) * n).astype(np.int64)
+    for i, part in enumerate((rate - np.floor(rate)) * n):
+        if size[i]:
+            owed += part * size[i]
+            extra = min(n[i], max(0, int(owed / size[i] + 0.5)))
+            copies[i] += extra
+            owed -= extra * size[i]
+    _settle(size, MAX_COPIES * n, copies, owed)
+    return cells.assign(base=copies // n, extra=copies % n)[["source", "size", "rate", "base", "extra"]]
 
 
 def with_copies(
@@ -127,26 +155,26 @@ def with_copies(
     rate = F.when(F.col("c.size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(float(MAX_COPIES))).otherwise(
         MAX_COPIES * _sigma(F.col("lam") * F.col("c.size") / F.col("mean")))
     rated = rated.select("c.source", "c.size", "c.n", rate.alias("rate"), "source_size", "g.target")
-    whole = rated.groupBy("source").applyInPandas(_round, "source string, size long, rate double, extra long")
+    whole = rated.groupBy("source").applyInPandas(_round, "source string, size long, rate double, base long, extra long")
     cell = ["source", "size"]
     cells2 = checkpointed(rated.drop("rate").alias("a").join(
         whole.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))
-    ).select("a.*", "b.rate", "b.extra"))
+    ).select("a.*", "b.rate", "b.base", "b.extra"))
     # a cell's extra copies over its salts, in proportion and exactly
     before = Window.partitionBy(*cell).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     shares = groups.alias("p").join(
         cells2.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.size") == F.col("c.size"))
-    ).select("p.source", "p.size", "__salt", F.col("p.n").alias("part"), F.col("c.n").alias("n"), "rate", "extra", "source_size", "target")
+    ).select("p.source", "p.size", "__salt", F.col("p.n").alias("part"), F.col("c.n").alias("n"), "rate", "base", "extra", "source_size", "target")
     start = F.coalesce(F.sum("part").over(before), F.lit(0))
     cut = lambda x: F.floor(x * F.col("extra") / F.col("n"))
     shares = shares.withColumn("__extra", cut(start + F.col("part")) - cut(start))
     own = sized.withColumn("__source", F.col(source)).alias("d").join(
         shares.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("__salt").alias("__b"),
-                      "rate", "__extra", "source_size", "target").alias("t"),
+                      "rate", F.col("base").alias("__base"), "__extra", "source_size", "target").alias("t"),
         F.col("d.__source").eqNullSafe(F.col("t.__s")) & (F.col("d.size") == F.col("t.__z")) & (F.col("d.__salt") == F.col("t.__b")),
     )
     rank = F.row_number().over(Window.partitionBy("__source", "size", "__salt").orderBy("__h"))
-    copies = F.floor("rate") + (F.col("__rank") <= F.col("__extra")).cast("long")
+    copies = F.col("__base") + (F.col("__rank") <= F.col("__extra")).cast("long")
     return own.withColumn("__rank", rank).withColumn("copies", copies.cast("long")).select(*names, *results)
 
 
