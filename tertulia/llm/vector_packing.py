@@ -32,8 +32,9 @@ from tertulia.llm.common import in_chunks
 END = 2
 POOL_TOKENS = 1 << 20
 POOL_EXAMPLES = 4096
-CHUNK_CHARS = 1 << 21
-CACHE_WORDS = 300_000
+CHUNK_CHARS = 1 << 22
+CACHE_WORDS = 600_000
+NEVER = 1 << 60
 
 # A word of Latin letters with one end mark is the same tokens as the letters, then the mark.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
@@ -49,47 +50,102 @@ class Limits:
 class Encoder:
     """Token ids of whole texts by the tokenizer's own encoding of their distinct words.
 
-    The tokenizer normalises and splits inside words only (at white space it always splits), so a text's ids are those of its words, one after
-    another.  Words met before are kept, up to ``CACHE_WORDS``.
+    The tokenizer normalises and splits inside words only (at white space it always splits), so a text's ids are
+    those of its words, one after another.  Words met before are kept, up to ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.table = np.empty(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many each has.  Words of letters only are encoded as one text."""
+        plain = all(map(str.isalpha, words))
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words):
+                return ids, np.diff(ends, prepend=0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, words
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, np.uint32)
+        """Adds the ids of words: letters with or without an end mark by their letters, all others whole."""
+        stem_at: dict[str, int] = {}
+        names, at, marks, others = [], [], [], []
+        for w in words:
+            m = PLAIN.match(w)
+            if m:
+                names.append(w)
+                at.append(stem_at.setdefault(m[1].lower(), len(stem_at)))
+                marks.append(self.marks[m[2]] if m[2] else -1)
+            else:
+                others.append(w)
+        stems = list(stem_at)
+        if stems:
+            found = [self._encode(stems[i:i + 2048]) for i in range(0, len(stems), 2048)]
+            ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+            begins, own, mark = np.cumsum(sizes) - sizes, np.array(at), np.array(marks)
+            n = sizes[own] + (mark >= 0)
+            ends = np.cumsum(n)
+            last = ends[mark >= 0] - 1
+            take = np.arange(ends[-1]) + np.repeat(begins[own] - (ends - n), n)
+            take[last] = 0
+            out = ids[take]
+            out[last] = mark[mark >= 0]
+            self._add(names, out, n)
+        for i in range(0, len(others), 2048):
+            part = others[i:i + 2048]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(part, np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words)), strict=True))
+        self.parts.append(ids)
+        self.sizes.append(sizes)
+
+    def _settled(self) -> None:
+        if self.parts:
+            self.table = np.concatenate((self.table, *self.parts))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.concatenate(self.sizes))))
+            self.parts, self.sizes = [], []
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        blank = pa.array([re.sub(r"[\t\n\x0b\x0c\r]", " ", t) for t in texts], pa.large_string())
+        blank = pa.array(texts, pa.large_string())
+        for c in "\t\n\x0b\x0c\r":
+            blank = pc.replace_substring(blank, c, " ")
         lists = pc.split_pattern(blank, " ")
         flat = lists.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
-        parts = [(m[1].lower(), m[2]) if (m := PLAIN.match(w)) else (w, "") for w in words]
-        self._learn(list(dict.fromkeys(p for pair in parts for p in pair if p)))
-        none = np.empty(0, np.uint32)
-        ids = [
-            np.concatenate((self.known[a], self.known[b])) if b else self.known[a] if a else none for a, b in parts
-        ]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        table = np.concatenate(ids) if ids else none
-        begins = np.cumsum(sizes) - sizes
-        codes = flat.indices.to_numpy()
-        n = sizes[codes]
+        new = [w for w in words if w not in self.codes]
+        if len(self.codes) + len(new) > CACHE_WORDS:
+            self._forget()
+            new = words
+        self._learn(new)
+        self._settled()
+        code_of = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        code = code_of[flat.indices.to_numpy()]
+        begins = self.ends[code]
+        n = self.ends[code + 1] - begins
         ends = np.cumsum(n)
         # token k of the texts is token k - (start of its word) of that word
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[codes] - (ends - n), n)
-        tokens = table[at]
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - n), n)
+        tokens = self.table[at]
         bounds = np.concatenate(([0], ends))[np.asarray(lists.offsets)]
-        return [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [tokens[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -103,57 +159,76 @@ def encoder(path: str) -> Encoder:
 
 
 class Pool:
-    """Examples waiting, by demand vector: (tokens, loss tokens); each is (number, start, tokens)."""
+    """Examples waiting, by demand vector: (tokens, one segment, loss tokens)."""
 
     def __init__(self, limits: Limits):
-        self.limits = limits
-        self.scale = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
-        self.waiting: dict[tuple[int, int], list] = {}
-        self.tokens = self.examples = 0
-        self._vectors: np.ndarray | None = None
+        self.limits = np.array([limits.tokens, limits.segments, limits.loss_tokens])
+        self.rows: dict[tuple[int, int], int] = {}
+        self.waiting: list[list[tuple[int, int, int, int]]] = []
+        self.need, self.share = np.zeros((64, 3), np.int64), np.zeros((64, 3))
+        self.tokens = self.examples = self.empty = 0
 
     def add(self, number: int, start: int, length: int, free: int) -> None:
         """``free``: the example's first tokens that bear no loss."""
         vector = (length, length - min(length, max(0, free - start)))
-        if vector not in self.waiting:
-            self.waiting[vector] = []
-            self._vectors = None
-        self.waiting[vector].append((number, start, length, free))
+        row = self.rows.get(vector)
+        if row is None:
+            row = self.rows[vector] = len(self.waiting)
+            self.waiting.append([])
+            if row == len(self.need):
+                self.need = np.concatenate((self.need, np.zeros_like(self.need)))
+                self.share = np.concatenate((self.share, np.zeros_like(self.share)))
+            self.need[row] = (length, 1, vector[1])
+            self.share[row] = self.need[row] / self.limits
+        elif not self.waiting[row]:
+            self.need[row] = (length, 1, vector[1])
+            self.empty -= 1
+        self.waiting[row].append((number, start, length, free))
         self.tokens += length
         self.examples += 1
 
-    def _take(self, vector: tuple[int, int]) -> tuple:
-        kept = self.waiting[vector]
-        item = kept.pop()
-        if not kept:
-            del self.waiting[vector]
-            self._vectors = None
+    def _take(self, row: int) -> tuple[int, int, int, int]:
+        item = self.waiting[row].pop()
+        if not self.waiting[row]:
+            self.need[row] = NEVER
+            self.empty += 1
         self.tokens -= item[2]
         self.examples -= 1
         return item
 
+    def _tidy(self) -> None:
+        """Drops vectors without examples once they are most of the table."""
+        if self.empty > 64 and 2 * self.empty > len(self.waiting):
+            items = [x for w in self.waiting for x in w]
+            self.rows, self.waiting, self.tokens, self.examples, self.empty = {}, [], 0, 0, 0
+            for x in items:
+                self.add(*x)
+
     def sequence(self) -> list[tuple[int, int, int]]:
         """One sequence of pieces (number, start, length)."""
-        room, pieces = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens]), []
+        self._tidy()
+        room, pieces = self.limits.copy(), []
         while self.examples and room[0] > 0 and room[1] > 0:
-            if self._vectors is None:
-                found = np.array(list(self.waiting), np.int64)
-                self._vectors = np.column_stack((found[:, 0], np.ones(len(found), np.int64), found[:, 1]))
-            vectors = self._vectors
-            score = (vectors / self.scale) @ (room / self.scale)
-            fits = (vectors <= room).all(axis=1)
-            k = int(np.argmax(np.where(fits, score, -1.0))) if fits.any() else int(np.argmax(score))
-            number, start, length, free = self._take((int(vectors[k, 0]), int(vectors[k, 2])))
+            n = len(self.waiting)
+            need = self.need[:n]
+            score = self.share[:n] @ (room / self.limits)
+            fits = (need[:, 0] <= room[0]) & (need[:, 2] <= room[2])
+            score[~fits] = -1.0
+            row = int(np.argmax(score))
+            whole = bool(fits[row])
+            if not whole:  # none fits
+                score = np.where(need[:, 0] < NEVER, self.share[:n] @ (room / self.limits), -1.0)
+                row = int(np.argmax(score))
+            number, start, length, free = self._take(row)
             take = length
-            if not fits[k]:  # cut: as many tokens as the room for tokens and for loss allows
+            if not whole:  # cut: as many tokens as the room for tokens and for loss allows
                 silent = min(length, max(0, free - start))
                 take = min(length, int(room[0]), silent + int(room[2]))
                 if take < length:
                     self.add(number, start + take, length - take, free)
                 if take == 0:
                     break
-            loss = take - min(take, max(0, free - start))
-            room = room - (take, 1, loss)
+            room -= (take, 1, take - min(take, max(0, free - start)))
             pieces.append((number, start, take))
         return pieces
 
