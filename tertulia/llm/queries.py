@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.llm import (
-    chat_trees, entropy_mixing, external_shuffle, line_quality, pii_disclosure, scaled_sketch, simhash_pivots, vector_packing,
+    chat_trees, entropy_mixing, external_shuffle, line_quality, pii_disclosure, scaled_sketch, simhash_pivots, suffix_dedup,
+    vector_packing,
 )
 from tertulia.llm.common import documents, text_of
 
@@ -43,6 +44,12 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of a smaller document."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash_pivots.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
@@ -97,6 +104,7 @@ QUERIES = {
     "op1_chat_trees": op1_chat_trees,
     "op2_line_quality": op2_line_quality,
     "op3_vector_packing": op3_vector_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op6_entropy_mixing": op6_entropy_mixing,
     "op8_pii_disclosure": op8_pii_disclosure,
