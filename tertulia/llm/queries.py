@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.llm import (
-    chat_trees, entropy_mixing, external_shuffle, line_quality, pii_disclosure, scaled_sketch, simhash_pivots, suffix_dedup,
-    vector_packing,
+    chat_trees, entropy_mixing, external_shuffle, line_quality, pii_disclosure, scaled_sketch, secret_forest, simhash_pivots,
+    suffix_dedup, vector_packing,
 )
 from tertulia.llm.common import documents, text_of
 
@@ -63,6 +63,12 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
 
 
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret candidate of every document with the forest's verdict."""
+    found = secret_forest.scan(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return found.select("doc_id", "word_index", "candidate", F.round("score", 6).alias("score"), "is_secret")
+
+
 def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms of every document."""
     found = pii_disclosure.find(documents(spark, sf_dir).select("doc_id", "text"))
@@ -107,6 +113,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op6_entropy_mixing": op6_entropy_mixing,
+    "op7_secret_forest": op7_secret_forest,
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_external_shuffle": op10_external_shuffle,
