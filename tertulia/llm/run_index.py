@@ -13,7 +13,7 @@ import numpy as np
 
 def _dense(keys: np.ndarray) -> np.ndarray:
     """Ranks from 1 of equal-sized keys, equal keys sharing theirs."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     step = np.empty(len(keys), np.int64)
     step[:1] = 1
@@ -62,7 +62,7 @@ class RunIndex:
             ranks = np.zeros_like(ranks)
             ranks[inside] = _dense(pair[inside])
             reach *= 2
-        order = np.argsort(ranks[inside], kind="stable")  # equal suffixes stay in the order of their texts
+        order = np.argsort(ranks[inside] * n + self.text)  # equal suffixes in the order of their texts
         self.text, self.at = self.text[order], self.at[order]
         first, second, _ = alike
         a, b = first[self.text, self.at], second[self.text, self.at]

@@ -9,9 +9,12 @@ anchors.  So
 2. texts that hold such an anchor, one of each group of equal texts, are cut into segments: the bytes of all strings that
    share one occurrence of an anchor.  Equal segments are merged, and segments go to buckets by anchor;
 3. each bucket builds a run-compressed Burrows-Wheeler transform of its segments (``run_index``) and streams every segment
-   through it; the statistic at a position is the smallest document with the ``LENGTH`` bytes that start there;
+   through it; the statistic at a position is the smallest document with the ``LENGTH`` bytes that start there.  Where
+   all segments of an anchor are equal, they have merged into one and its smallest document is the statistic at once;
 4. marks return to their texts, which are cut.  Whole copies of a smaller document need no more than their hash.
 
+The text is shuffled once, by parts of equal size; steps 2 and 4 read the same shuffle.
+
 Buckets are sized by bytes, so their number grows with the corpus.  A passage in very many documents costs its bucket the segment
 once and 16 bytes for each document.
 
@@ -28,26 +31,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tertulia.llm.common import checkpointed, text_of
 from tertulia.llm.run_index import RunIndex
-from tertulia.sources.staging import Staged
 
 LENGTH, K = 50, 24
 WINDOWS = LENGTH - K + 1
 WIDEST = LENGTH + WINDOWS - 1  # bytes of a segment at most
 CHUNK = 1 << 21
-ANCHOR_BYTES, SEGMENT_BYTES, GROUP_BYTES = 48 << 20, 3 << 20, 6 << 20  # text bytes for each bucket or group
+ANCHOR_BYTES, SEGMENT_BYTES, GROUP_BYTES = 48 << 20, 12 << 20, 6 << 20  # text bytes for each bucket or group
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(arrays), *map(len, arrays)], np.int64).tobytes(), *[a.tobytes() for a in arrays]])
+    raw = b"".join([np.array([len(arrays), *map(len, arrays)], np.int64).tobytes(), *[a.tobytes() for a in arrays]])
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     sizes, at, out = np.frombuffer(blob, np.int64, n, 8), 8 + 8 * n, []
     for size, kind in zip(sizes.tolist(), kinds, strict=True):
@@ -203,124 +208,119 @@ def _shared_anchors(parts: int):
     return run
 
 
-def _texts_with_shared(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """Texts that stand for their group and hold shared anchors, with these anchors."""
-    wanted = np.concatenate([np.empty(0, np.int64), *[np.asarray(x, np.int64) for x in found["own"] if x is not None]])
-    texts = texts[texts["s"].isin(wanted)].drop_duplicates("s")
-    who, keys = [np.empty(0, np.int64)], [np.empty(0, U)]
-    for blob in found["blob"]:
-        if blob is not None:
-            s, n, k = _unpack(blob, np.int64, np.uint32, U)
-            who.append(np.repeat(s, n))
-            keys.append(k)
-    who, keys = np.concatenate(who), np.concatenate(keys)
-    order = np.argsort(who, kind="stable")
-    who, keys = who[order], keys[order]
-    a, b = (np.searchsorted(who, texts["s"].to_numpy(), side) for side in ("left", "right"))
-    blobs = [keys[i:j].tobytes() for i, j in zip(a, b, strict=True)]
-    return texts.assign(keys=blobs)[a < b][["part", "s", "id", "text", "keys"]]
+def _places(texts: pd.DataFrame) -> pd.DataFrame:
+    """The distinct texts of a part in the order of s; a text's place in it stands for it."""
+    return texts.drop_duplicates("s").sort_values("s", ignore_index=True)
 
 
 def _segments(anchor_buckets: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
     powers: list[np.ndarray] = []
 
-    def run(batches):
-        inverse = U(pow(int(ODD[0]), -1, 1 << 64))
-        for b in batches:
-            s, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            keys = [np.unique(np.frombuffer(x, U)) for x in b.column(3).to_pylist()]
-            for buf, rows, froms, starts, sizes in _chunks(b.column(2)):
-                first, last, h = _anchors(buf, np.repeat(starts + sizes, sizes))
-                piece = np.repeat(np.arange(len(rows)), sizes)[first]
-                key = ((h >> U(32)) % U(anchor_buckets)) << U(32) | (h & U(0xFFFFFFFF))
-                cuts = np.searchsorted(piece, np.arange(len(rows) + 1))
-                good = np.zeros(len(h), bool)
-                for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    own = keys[rows[i]]
-                    at = np.minimum(np.searchsorted(own, key[x:y]), len(own) - 1)
-                    good[x:y] = own[at] == key[x:y]
-                first, last, h, piece = first[good], last[good], h[good], piece[good]
-                if not len(h):
-                    continue
-                size = last + LENGTH - first
-                # equal bytes have equal hashes: a sum of bytes times powers, moved back to power zero
-                while not powers or len(powers[0]) < len(buf) + 1:
-                    m = max(CHUNK, len(buf)) + 1
-                    powers[:] = [np.cumprod(np.full(m, x, U)) for x in (ODD[0], inverse)]
-                sums = np.zeros(len(buf) + 1, U)
-                np.cumsum((buf.astype(U) + U(1)) * powers[0][:len(buf)], out=sums[1:])
-                hashed = (sums[last + LENGTH] - sums[first]) * powers[1][first] * ODD[1] + size.astype(U) * ODD[2]
-                _, one, kind = np.unique(hashed, return_index=True, return_inverse=True)
-                target = ((h[one] >> U(20)) % U(buckets)).astype(np.int64)
-                doc, start = rows[piece], first - starts[piece] + froms[piece]
-                out = []
-                by_kind = np.argsort(kind, kind="stable")
-                begin = np.searchsorted(kind[by_kind], np.arange(len(one) + 1))
-                for k, own in _split(target):
-                    n = size[one[own]]
-                    at = np.repeat(first[one[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    times = begin[own + 1] - begin[own]
-                    hits = by_kind[np.repeat(begin[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
-                    who, who_at = np.unique(doc[hits], return_inverse=True)
-                    out.append((k, _pack(
-                        n.astype(np.uint8), buf[at], times.astype(np.uint32), s[who], ids[who],
-                        who_at.astype(np.uint32), start[hits].astype(np.int64))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    def run(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """Segments of the texts that stand for their group and hold shared anchors."""
+        texts = _places(texts)
+        wanted = np.concatenate([np.empty(0, np.int64), *[np.asarray(x, np.int64) for x in found["own"] if x is not None]])
+        who, keys = [np.empty(0, np.int64)], [np.empty(0, U)]
+        for blob in found["blob"]:
+            if blob is not None:
+                s, n, k = _unpack(blob, np.int64, np.uint32, U)
+                who.append(np.repeat(s, n))
+                keys.append(k)
+        who, keys = np.concatenate(who), np.concatenate(keys)
+        order = np.lexsort((keys, who))
+        who, keys = who[order], keys[order]
+        left, right = (np.searchsorted(who, texts["s"].to_numpy(), side) for side in ("left", "right"))
+        places = np.flatnonzero((left < right) & texts["s"].isin(wanted).to_numpy())
+        if not len(places):
+            return pd.DataFrame({"bucket": [], "blob": []})
+        left, right, ids = left[places], right[places], texts["id"].to_numpy()[places]
+        column = pa.array(texts["text"].to_numpy()[places], pa.binary())
+        inverse, out = U(pow(int(ODD[0]), -1, 1 << 64)), []
+        for buf, rows, froms, starts, sizes in _chunks(column):
+            first, last, h = _anchors(buf, np.repeat(starts + sizes, sizes))
+            piece = np.repeat(np.arange(len(rows)), sizes)[first]
+            own_key = ((h >> U(32)) % U(anchor_buckets)) << U(32) | (h & U(0xFFFFFFFF))
+            cuts = np.searchsorted(piece, np.arange(len(rows) + 1))
+            good = np.zeros(len(h), bool)
+            for row, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True):
+                own = keys[left[row]:right[row]]
+                at = np.minimum(np.searchsorted(own, own_key[x:y]), len(own) - 1)
+                good[x:y] = own[at] == own_key[x:y]
+            first, last, h, piece = first[good], last[good], h[good], piece[good]
+            if not len(h):
+                continue
+            size = last + LENGTH - first
+            # equal bytes have equal hashes: a sum of bytes times powers, moved back to power zero
+            while not powers or len(powers[0]) < len(buf) + 1:
+                m = max(CHUNK, len(buf)) + 1
+                powers[:] = [np.cumprod(np.full(m, x, U)) for x in (ODD[0], inverse)]
+            sums = np.zeros(len(buf) + 1, U)
+            np.cumsum((buf.astype(U) + U(1)) * powers[0][:len(buf)], out=sums[1:])
+            hashed = (sums[last + LENGTH] - sums[first]) * powers[1][first] * ODD[1] + size.astype(U) * ODD[2]
+            _, one, kind = np.unique(hashed, return_index=True, return_inverse=True)
+            target = ((h[one] >> U(20)) % U(buckets)).astype(np.int64)
+            doc, start = rows[piece], first - starts[piece] + froms[piece]
+            by_kind = np.argsort(kind, kind="stable")
+            begin = np.searchsorted(kind[by_kind], np.arange(len(one) + 1))
+            for k, own in _split(target):
+                n = size[one[own]]
+                at = np.repeat(first[one[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                times = begin[own + 1] - begin[own]
+                hits = by_kind[np.repeat(begin[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+                docs, doc_at = np.unique(doc[hits], return_inverse=True)
+                out.append((k, _pack(
+                    np.array([key[0]], np.int64), h[one[own]], n.astype(np.uint8), buf[at], times.astype(np.uint32),
+                    places[docs].astype(np.uint32), ids[docs], doc_at.astype(np.uint32), start[hits].astype(np.uint32))))
+        return pd.DataFrame(out, columns=["bucket", "blob"])
     return run
 
 
-def _marks(parts: int):
-    """Index of a bucket's segments, and what it marks: byte ranges by part of the texts."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes, rows, kinds, s, ids, start = [], [], [], [], [], []
-        n_kinds = 0
-        for blob in pdf["blob"]:
-            n, data, times, own_s, own_ids, who, at = _unpack(
-                blob, np.uint8, np.uint8, np.uint32, np.int64, np.int64, np.uint32, np.int64)
-            n = n.astype(np.int64)
-            m = np.zeros((len(n), WIDEST), np.uint8)
-            m[np.arange(WIDEST) < n[:, None]] = data
-            sizes.append(n)
-            rows.append(m)
-            kinds.append(np.repeat(np.arange(n_kinds, n_kinds + len(n)), times))
-            n_kinds += len(n)
-            s.append(own_s[who])
-            ids.append(own_ids[who])
-            start.append(at)
-        sizes, rows = np.concatenate(sizes), np.concatenate(rows)
-        kinds, s, ids, start = (np.concatenate(x) for x in (kinds, s, ids, start))
-        # equal segments of several tasks are one text of the index
-        whole = np.ascontiguousarray(np.column_stack((rows, sizes.astype(np.uint8)))).view(f"V{WIDEST + 1}").ravel()
-        _, one, same = np.unique(whole, return_index=True, return_inverse=True)
-        sizes, rows, kinds = sizes[one], rows[one], same[kinds]
-        least = np.full(len(one), np.iinfo(np.int64).max)
-        np.minimum.at(least, kinds, ids)
-        index = RunIndex(rows, sizes, LENGTH)
-        low = np.full((len(one), WINDOWS), np.iinfo(np.int64).max)
-        for texts, at, statistic in index.stream(least):
-            low[texts, at] = statistic
-        inside = np.arange(WINDOWS) <= (sizes - LENGTH)[:, None]
-        highest = np.where(inside, low, np.iinfo(np.int64).min).max(axis=1)
-        lowest = low.min(axis=1)
-        full = highest[kinds] < ids
-        out_s, out_a, out_b = [s[full]], [start[full]], [start[full] + sizes[kinds[full]]]
-        some = np.flatnonzero(~full & (lowest[kinds] < ids))
-        for i in range(0, len(some), 1 << 16):
-            part = some[i:i + (1 << 16)]
-            hit = (low[kinds[part]] < ids[part][:, None]) & inside[kinds[part]]
-            row, col = np.nonzero(hit)
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], len(row)) - 1
-            out_s.append(s[part[row[a]]])
-            out_a.append(start[part[row[a]]] + col[a])
-            out_b.append(start[part[row[a]]] + col[b] + LENGTH)
-        out_s, out_a, out_b = (np.concatenate(x) for x in (out_s, out_a, out_b))
-        return pd.DataFrame(
-            [(p, _pack(out_s[at], out_a[at], out_b[at])) for p, at in _split(out_s % parts)], columns=["part", "blob"])
-    return run
+def _marks(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Index of a bucket's segments, and what it marks: byte ranges of the texts, by part."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+    n_kinds = 0
+    for blob in pdf["blob"]:
+        part, h, n, data, times, places, own_ids, who, at = _unpack(
+            blob, np.int64, U, np.uint8, np.uint8, np.uint32, np.uint32, np.int64, np.uint32, np.uint32)
+        n = n.astype(np.int64)
+        m = np.zeros((len(n), WIDEST), np.uint8)
+        m[np.arange(WIDEST) < n[:, None]] = data
+        of_kind = np.repeat(np.arange(n_kinds, n_kinds + len(n)), times)
+        n_kinds += len(n)
+        for col, x in zip(cols, (h, n, m, of_kind, np.full(len(who), part[0]), places[who], own_ids[who], at.astype(np.int64)), strict=True):
+            col.append(x)
+    h, sizes, rows, kinds, parts, places, ids, start = (np.concatenate(x) for x in cols)
+    # equal segments of several parts are one text of the index
+    whole = np.ascontiguousarray(np.column_stack((rows, sizes.astype(np.uint8)))).view(f"V{WIDEST + 1}").ravel()
+    _, one, same = np.unique(whole, return_index=True, return_inverse=True)
+    h, sizes, rows, kinds = h[one], sizes[one], rows[one], same[kinds]
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, kinds, ids)
+    inside = np.arange(WINDOWS) <= (sizes - LENGTH)[:, None]
+    low = np.where(inside, least[:, None], np.iinfo(np.int64).max)
+    # only segments that share their anchor with another one can share a string with it
+    _, group, members = np.unique(h, return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(members[group] > 1)
+    if len(mixed):
+        index = RunIndex(rows[mixed], sizes[mixed], LENGTH)
+        for texts, at, statistic in index.stream(least[mixed]):
+            low[mixed[texts], at] = statistic
+    highest = np.where(inside, low, np.iinfo(np.int64).min).max(axis=1)
+    full = highest[kinds] < ids
+    out = [(parts[full], places[full], start[full], start[full] + sizes[kinds[full]])]
+    some = np.flatnonzero(~full & (low.min(axis=1)[kinds] < ids))
+    for i in range(0, len(some), 1 << 16):
+        part = some[i:i + (1 << 16)]
+        row, col = np.nonzero((low[kinds[part]] < ids[part][:, None]) & inside[kinds[part]])
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(row)) - 1
+        own = part[row[a]]
+        out.append((parts[own], places[own], start[own] + col[a], start[own] + col[b] + LENGTH))
+    part, place, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pd.DataFrame(
+        [(p, _pack(place[at].astype(np.int64), a[at], b[at])) for p, at in _split(part)], columns=["part", "blob"])
 
 
 def _cut(key, texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
@@ -328,9 +328,9 @@ def _cut(key, texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
     s, a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ([], [], [])))
     order = np.lexsort((a, s))
     s, a, b = s[order], a[order], b[order]
-    out = []
-    for own, text in zip(texts["s"], texts["text"], strict=True):
-        i, j = np.searchsorted(s, own, "left"), np.searchsorted(s, own, "right")
+    texts, out = _places(texts), []
+    edges = np.searchsorted(s, np.arange(len(texts) + 1))
+    for own, text, i, j in zip(texts["s"], texts["text"], edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if i == j:
             continue
         reach = np.maximum.accumulate(b[i:j])
@@ -348,7 +348,6 @@ def _cut(key, texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 and ``spans`` (start, end, start, end, ...) of every row."""
-    spark = docs.sparkSession
     last = F.lit((1 << 63) - 1)
     raw = text_of(text)
     ident = F.coalesce(F.col(key).cast("long"), last)
@@ -371,12 +370,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         own.select("part", F.lit(None).cast("binary").alias("blob"), "own"))
     by_part = named.where(F.octet_length("text") >= LENGTH).select(
         (F.col("s") % parts).alias("part"), "s", "id", F.col("text").cast("binary").alias("text"))
-    texts = Staged(by_part.groupBy("part").cogroup(found.groupBy("part")).applyInPandas(
-        _texts_with_shared, "part long, s long, id long, text binary, keys binary"), "repeats").df
-
-    segments = texts.select("s", "id", "text", "keys").mapInArrow(_segments(anchor_buckets, buckets), "bucket long, blob binary")
-    marks = segments.groupBy("bucket").applyInPandas(_marks(parts), "part long, blob binary")
-    cut = texts.select("part", "s", "text").groupBy("part").cogroup(marks.groupBy("part")).applyInPandas(
+    segments = by_part.groupBy("part").cogroup(found.groupBy("part")).applyInPandas(
+        _segments(anchor_buckets, buckets), "bucket long, blob binary")
+    marks = segments.groupBy("bucket").applyInPandas(_marks, "part long, blob binary")
+    cut = by_part.groupBy("part").cogroup(marks.groupBy("part")).applyInPandas(
         _cut, "s long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>")
 
     joined = narrow.join(owners, ["h1", "h2"], "left").join(cut, "s", "left")
