@@ -69,10 +69,11 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
         "a.tree", "a.id", F.col("b.id").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("n")))]
     most = steps[0].groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     while (1 << (len(steps) - 1)) <= most and not steps[-1].where("up IS NOT NULL").isEmpty():
-        a, b = steps[-1].alias("a"), steps[-1].alias("b")
-        steps.append(checkpointed(a.join(b, _same("a", "b", ("up", "id")), "left").select(
-            "a.tree", "a.id", "b.up", (F.col("a.sum") + F.coalesce("b.sum", F.lit(0.0))).alias("sum"),
-            (F.col("a.n") + F.coalesce("b.n", F.lit(0))).alias("n"))))
+        # messages that know their root stand still
+        a, b = steps[-1].where("up IS NOT NULL").alias("a"), steps[-1].alias("b")
+        moved = a.join(b, _same("a", "b", ("up", "id"))).select(
+            "a.tree", "a.id", "b.up", (F.col("a.sum") + F.col("b.sum")).alias("sum"), (F.col("a.n") + F.col("b.n")).alias("n"))
+        steps.append(checkpointed(moved.unionByName(steps[-1].where("up IS NULL"))))
     parents = steps[0].where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
     leaves = steps[-1].where("up IS NULL").alias("a").join(parents.alias("b"), _same("a", "b", ("id", "id")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("n")), "id")
