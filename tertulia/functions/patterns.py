@@ -18,7 +18,7 @@ Four rules hold throughout:
 
 import string
 
-from tertulia.fixed_values import EMOJI_RANGES
+from tertulia.fixed_values import EMOJI_RANGES, MAIL_MASK, NAME_MASK, NUMBER_MASK
 
 _latin1 = [chr(i) for i in range(256)]
 _WS_BITS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
@@ -48,8 +48,9 @@ HEADER = (
 
 # --- redaction ------------------------------------------------------------------------
 TEXT_MARKS = "\u200e\u200f"  # characters, not a pattern
+_MASKS = "|".join(m.strip("[]") for m in (NAME_MASK, NUMBER_MASK, MAIL_MASK))
 BRACKETED = (
-    rf"(?:\G|(?<![{WORD}]))(?:[{WORD}]*+\[(?!NOMBRE_OCULTO|NUMERO_OCULTO|CORREO_OCULTO)"
+    rf"(?:\G|(?<![{WORD}]))(?:[{WORD}]*+\[(?!{_MASKS})"
     rf"[^\]]++\][{WORD}]*+)++"
 )
 PHONE = rf"\+{_d}{{1,3}}(?:[().\-{WS}]*+{_d}++)++"
@@ -62,7 +63,7 @@ _TITLE = rf"(?=[DLIMP])(?<![{WORD}{SLOT}])(?:Dra?|Lic|Ing|Mtro?|Prof?)"
 _CAP = "[A-ZÁÉÍÓÚÑ][a-záéíóúñ]++"
 SPEAKER = (
     rf"{_TITLE}\.?{_s}+{_CAP}"
-    rf"(?:{_s}++(?:de{_s}+la|del|de|la|Los|Las|{_CAP}))++{_s}*-"
+    rf"(?:{_s}++(?:de{_s}+la|del|de|la|{_CAP}))++{_s}*-"
 )
 SPEAKER_TOPIC = rf"(?d){_TITLE}\.?{_s}+.*?{_s}*-{_s}*(.*)"
 SPEAKER_LEAD = rf"(?d)^((?s:.*?){_TITLE}\.?{_s}+.*?{_s}*-{_s}*)"
@@ -116,8 +117,14 @@ EMOJI = (
 PROTECTED = f"{URL_SPAN}|{EMOJI}|{SLOT}"
 
 # --- timestamps -----------------------------------------------------------------------
-CHAT_TIMESTAMP = (
-    rf"^{_s}*({_d}{{1,2}})/({_d}{{1,2}})/({_d}{{2,4}}),?{_s}*"
-    rf"({_d}{{1,2}}):({_d}{{2}})(?::({_d}{{2}}))?{_s}*(?:([aApP])\.?{_s}?[mM]\.?)?{_s}*$"
+_TIME = (
+    rf"(?:,?(?:{_s}+|(?<=[0-9])[tT](?=[0-9])|(?<=,))({_d}{{1,2}}):({_d}{{2}})(?::({_d}{{2}}))?{_s}*"
+    rf"(?:([aApP])\.?{_s}?[mM]\.?)?)?{_s}*$"
 )
+_SEP = r"([/.\-])"
+CHAT_TIMESTAMP = rf"^{_s}*({_d}{{1,2}}){_SEP}({_d}{{1,2}})\2({_d}{{2,4}}){_TIME}"
+YEAR_FIRST = rf"^{_s}*({_d}{{4}}){_SEP}({_d}{{1,2}})\2({_d}{{1,2}}){_TIME}"
+_MONTH = r"([A-Za-z]{3,9})\.?"
+MONTH_FIRST = rf"^{_s}*{_MONTH}{_s}+({_d}{{1,2}}),?{_s}+({_d}{{4}}){_TIME}"
+DAY_MONTH = rf"^{_s}*({_d}{{1,2}})[{WS}\-]+{_MONTH}[{WS}\-]+({_d}{{4}}){_TIME}"
 ISO_DATE_START = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -11,13 +11,22 @@ from tertulia.fixed_values import WEEKDAYS_ES
 from tertulia.functions import patterns as P
 from tertulia.functions.base import let
 
-_FIELDS = ("p1", "p2", "year", "hour", "minute", "second")
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def _month_number(name: Column) -> Column:
+    """1 to 12 from an English month name or its first letters (three at least)."""
+    low = F.lower(name)
+    return F.coalesce(*[F.when(F.lit(m).startswith(low) | ((m == "september") & (low == "sept")), F.lit(i + 1)) for i, m in enumerate(_MONTHS)])
 
 
 def parse_chat_timestamp(
     text: Column, date_order: str = "mdy_fallback", pivot_year: int | None = None
 ) -> Column:
-    """Timestamp of a message header or an ISO text; NULL when it is no valid moment.
+    """Timestamp of a message header or of another common form; NULL when it is no valid moment.
+
+    Read are numbers with ``/``, ``-`` or ``.`` between them, year first or last; English month names
+    before or after the day; ISO texts.  The time may be missing (midnight) or have seconds and am/pm.
 
     ``mdy_fallback`` reads the month first and falls back to day first when the first
     number exceeds 12; ``dmy`` always reads the day first.  Two-digit years are placed
@@ -26,41 +35,50 @@ def parse_chat_timestamp(
     if date_order not in ("mdy_fallback", "dmy"):
         raise ValueError(f"unknown date_order: {date_order}")
     this_year = pivot_year or datetime.date.today().year
-    # One pass of the expression: groups become a comma list, which no header text is.
-    parts = F.split(F.regexp_replace(text, P.CHAT_TIMESTAMP, "$1,$2,$3,$4,$5,$6,$7"), ",", -1)
-
-    def moment(x: Column) -> Column:
-        day_first = F.lit(True) if date_order == "dmy" else x["p1"] > 12
-        month = F.when(day_first, x["p2"]).otherwise(x["p1"])
-        day = F.when(day_first, x["p1"]).otherwise(x["p2"])
-        century = this_year - this_year % 100
-        guess = x["year"] + century
-        year = (
-            F.when(F.length(x["year_text"]) != 2, x["year"])
-            .when(guess >= this_year + 50, guess - 100)
-            .when(guess < this_year - 50, guess + 100)
-            .otherwise(guess)
+    century = this_year - this_year % 100
+
+    def parts(pattern: str, groups: str) -> Column:
+        # One pass of the expression: groups become a list, which no matching text is.
+        return F.split(F.regexp_replace(text, pattern, groups), "\x01", -1)
+
+    def full_year(digits: Column) -> Column:
+        year = digits.try_cast("int")
+        guess = year + century
+        return (
+            F.when(F.length(digits) == 4, year)
+            .when(F.length(digits) == 2, F.when(guess >= this_year + 50, guess - 100)
+                  .when(guess < this_year - 50, guess + 100).otherwise(guess))
         )
-        half = F.lower(x["half"])
+
+    def moment(year: Column, month: Column, day: Column, p: Column, at: int) -> Column:
+        part = lambda i: F.when(p[at + i] == "", F.lit(0)).otherwise(p[at + i].try_cast("int"))
+        half, read, second = F.lower(p[at + 3]), part(0), part(2)
         hour = (
-            F.when(half == "", x["hour"])
-            .when(x["hour"] > 12, F.lit(None))
-            .otherwise(x["hour"] % 12 + F.when(half == "p", 12).otherwise(0))
+            F.when(half == "", read).when(read > 12, F.lit(None))
+            .otherwise(read % 12 + F.when(half == "p", 12).otherwise(0))
         )
-        valid = (F.length(x["year_text"]) != 3) & (x["second"] < 60)
-        return F.when(
-            valid,
-            F.try_make_timestamp_ntz(year, month, day, hour, x["minute"], x["second"].cast("decimal(8,6)")),
-        )
-
-    def fields(p: Column) -> Column:
-        number = [p[i].try_cast("int").alias(name) for i, name in enumerate(_FIELDS[:-1])]
-        second = F.when(p[5] == "", F.lit(0)).otherwise(p[5].try_cast("int")).alias("second")
-        return F.struct(*number, second, p[2].alias("year_text"), p[6].alias("half"))
-
-    chat = let(parts, lambda p: F.when(F.size(p) == 7, let(fields(p), moment)))
+        return F.when(second < 60, F.try_make_timestamp_ntz(
+            year, month, day, hour, part(1), second.cast("decimal(8,6)")))
+
+    def numbers(p: Column) -> Column:
+        first, second = p[0].try_cast("int"), p[1].try_cast("int")
+        day_first = F.lit(True) if date_order == "dmy" else first > 12
+        month, day = F.when(day_first, second).otherwise(first), F.when(day_first, first).otherwise(second)
+        return moment(full_year(p[2]), month, day, p, 3)
+
+    def form(pattern: str, groups: str, read: Callable[[Column], Column]) -> Column:
+        return let(parts(pattern, groups), lambda p: F.when(F.size(p) == 7, read(p)))
+
+    plain = lambda c: c.try_cast("int")
+    forms = [
+        (P.CHAT_TIMESTAMP, "$1\x01$3\x01$4\x01$5\x01$6\x01$7\x01$8", numbers),
+        (P.YEAR_FIRST, "$1\x01$3\x01$4\x01$5\x01$6\x01$7\x01$8", lambda p: moment(plain(p[0]), plain(p[1]), plain(p[2]), p, 3)),
+        (P.MONTH_FIRST, "$1\x01$2\x01$3\x01$4\x01$5\x01$6\x01$7", lambda p: moment(plain(p[2]), _month_number(p[0]), plain(p[1]), p, 3)),
+        (P.DAY_MONTH, "$1\x01$2\x01$3\x01$4\x01$5\x01$6\x01$7", lambda p: moment(plain(p[2]), _month_number(p[1]), plain(p[0]), p, 3)),
+    ]
+    found = [form(*f) for f in forms]
     iso = F.when(text.rlike(P.ISO_DATE_START), text.try_cast("timestamp_ntz"))
-    return F.coalesce(chat, iso)
+    return F.coalesce(found[0], iso, *found[1:])
 
 
 def message_hour(moment: Column) -> Column:

@@ -123,7 +123,7 @@ def _merge_plurals(counted: DataFrame, *others: str) -> DataFrame:
 
 
 def word_and_pair_counts(
-    tokenized: DataFrame, min_length: int = 2, stopwords: Sequence[str] = CLOUD_STOP_WORDS
+    tokenized: DataFrame, min_length: int = 1, stopwords: Sequence[str] = CLOUD_STOP_WORDS
 ) -> DataFrame:
     """Counts of words by the word that follows in the message: ``(word, next_word, n)``.
 
@@ -144,10 +144,14 @@ def word_and_pair_counts(
     )
 
 
-def _unigrams(counts: DataFrame) -> DataFrame:
+def unigrams(counts: DataFrame) -> DataFrame:
+    """(word, stem, n): the vocabulary of ``word_and_pair_counts``, plurals with their singular."""
     return _merge_plurals(counts.groupBy("word").agg(F.sum("n").alias("n")))
 
 
+_vocabulary = unigrams
+
+
 def _pair_counts(counts: DataFrame) -> DataFrame:
     pairs = counts.where(F.col("next_word").isNotNull())
     renamed = pairs.select(F.col("word").alias("first_word"), F.col("next_word").alias("word"), "n")
@@ -172,11 +176,11 @@ def collocation_score(pair: Column, first: Column, second: Column, total: Column
     return F.when((total <= first) | (total <= second), F.lit(0.0)).otherwise(-2 * ratio)
 
 
-def _scored_pairs(counts: DataFrame, unigrams: DataFrame) -> DataFrame:
+def _scored_pairs(counts: DataFrame, single: DataFrame) -> DataFrame:
     """Pairs with the counts of both words (plural forms counted with their singular)."""
-    total = unigrams.select(F.sum("n").cast("double")).scalar()
-    first = unigrams.select(F.col("stem").alias("first_stem"), F.col("word").alias("first_form"), F.col("n").alias("n_first"))
-    second = unigrams.select(F.col("stem").alias("second_stem"), F.col("word").alias("second_form"), F.col("n").alias("n_second"))
+    total = single.select(F.sum("n").cast("double")).scalar()
+    first = single.select(F.col("stem").alias("first_stem"), F.col("word").alias("first_form"), F.col("n").alias("n_first"))
+    second = single.select(F.col("stem").alias("second_stem"), F.col("word").alias("second_form"), F.col("n").alias("n_second"))
     joined = (
         _pair_counts(counts)
         .withColumn("first_stem", _singular(F.col("first_word")))
@@ -193,31 +197,33 @@ def _scored_pairs(counts: DataFrame, unigrams: DataFrame) -> DataFrame:
 
 
 def bigram_collocations(
-    counts: DataFrame, top_n: int | None = None, min_score: float = 30.0
+    counts: DataFrame, top_n: int | None = None, min_score: float = 30.0, unigrams: DataFrame | None = None
 ) -> DataFrame:
     """Neighbouring word pairs that occur together more often than chance explains.
 
-    ``counts`` comes from ``word_and_pair_counts``.
+    ``counts`` comes from ``word_and_pair_counts``, ``unigrams`` from ``unigrams(counts)``, staged when several results share it.
     """
-    pairs = _scored_pairs(counts, _unigrams(counts))
+    pairs = _scored_pairs(counts, _vocabulary(counts) if unigrams is None else unigrams)
     kept = pairs.where(F.col("score") > min_score).select("bigram", F.col("n").alias("count"), "score")
     return top_rows(kept, top_n, [F.desc("score"), F.asc("bigram")])
 
 
-def term_weights(counts: DataFrame, max_terms: int = 200, min_score: float = 30.0) -> DataFrame:
+def term_weights(
+    counts: DataFrame, max_terms: int = 200, min_score: float = 30.0, unigrams: DataFrame | None = None
+) -> DataFrame:
     """Word-cloud weights: words and collocations by count, relative to the largest.
 
     A collocation's count is taken off both of its words.
     """
-    unigrams = _unigrams(counts)
-    collocations = _scored_pairs(counts, unigrams).where(F.col("score") > min_score)
+    single = _vocabulary(counts) if unigrams is None else unigrams
+    collocations = _scored_pairs(counts, single).where(F.col("score") > min_score)
     changes = F.array(
         F.struct(F.col("bigram").alias("term"), F.col("n").alias("n")),
         F.struct(F.col("first_form").alias("term"), (-F.col("n")).alias("n")),
         F.struct(F.col("second_form").alias("term"), (-F.col("n")).alias("n")),
     )
     counts = (
-        unigrams.select(F.col("word").alias("term"), "n")
+        single.select(F.col("word").alias("term"), "n")
         .unionByName(collocations.select(F.inline(changes)))
         .groupBy("term")
         .agg(F.sum("n").alias("count"))

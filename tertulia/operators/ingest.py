@@ -64,16 +64,27 @@ def parse_chat_lines(lines: DataFrame, redact: Redactor | None = None) -> DataFr
 
 
 def _carried(parsed: DataFrame) -> DataFrame:
-    """Headers per block and headers before it in its chat: one row per block."""
-    per_block = parsed.groupBy(*BLOCK).agg(F.count_if("is_header").alias("headers"))
+    """Headers per block, the first one's place, and headers before it in its chat: one row per block."""
+    per_block = parsed.groupBy(*BLOCK).agg(
+        F.count_if("is_header").alias("headers"), F.min(F.when(F.col("is_header"), F.col("seq"))).alias("first_header"))
     return running_offsets(per_block, ["chat_id"], ["part", "block"], "headers", "before")
 
 
-def assemble_messages(parsed: DataFrame, keep_preamble: bool = False) -> DataFrame:
+def preamble_lines(parsed: DataFrame) -> DataFrame:
+    """Lines before the first header of their chat, one row each: ``chat_id, part, block, seq, text``.
+
+    An export whose lines no header matches consists of them, so they are never brought together.
+    """
+    blocks = _carried(parsed).where(F.col("before") == 0).select(*BLOCK, "first_header")
+    early = F.col("first_header").isNull() | (F.col("seq") < F.col("first_header"))
+    return parsed.join(blocks, BLOCK).where(early).select(*BLOCK, "seq", "text")
+
+
+def assemble_messages(parsed: DataFrame) -> DataFrame:
     """Joins continuation lines to their header: one row per message.
 
     ``msg_idx`` counts the headers of a chat from 1.  Lines before the first header belong
-    to no message; ``keep_preamble`` returns them as one row with ``msg_idx`` 0.
+    to no message; ``preamble_lines`` returns them.
     """
     in_block = (
         Window.partitionBy(*BLOCK).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -105,7 +116,7 @@ def assemble_messages(parsed: DataFrame, keep_preamble: bool = False) -> DataFra
     fields = ["chat_id", "msg_idx", "timestamp", "sender", "message"]
     inner = numbered.where(~F.col("at_edge")).select(*fields)
     edges = (
-        numbered.where("at_edge")
+        numbered.where("at_edge").where(F.col("msg_idx") > 0)
         .groupBy("chat_id", "msg_idx")
         .agg(
             F.max("timestamp").alias("timestamp"),
@@ -115,8 +126,7 @@ def assemble_messages(parsed: DataFrame, keep_preamble: bool = False) -> DataFra
         .withColumn("message", F.array_join(F.col("pieces.message"), "\n"))
         .select(*fields)
     )
-    out = inner.unionByName(edges)
-    return out if keep_preamble else out.where(F.col("msg_idx") > 0)
+    return inner.unionByName(edges)
 
 
 def pseudonyms(
@@ -156,15 +166,16 @@ def _numbered(first: DataFrame, bucket: list[str], prefix: str, skip_system: boo
     A message brings in at most one sender, so a bucket of messages or lines bounds its window.
     """
     is_system = F.col("sender") == SYSTEM_SENDER
-    counted = first.where(~is_system) if skip_system else first
+    counted = first.where(~F.coalesce(is_system, F.lit(False))) if skip_system else first
     offsets = running_offsets(
         counted.groupBy("chat_id", *bucket).agg(F.count("*").alias("n")),
         ["chat_id"], bucket, "n", "offset",
     ).drop("n")
-    in_bucket = Window.partitionBy("chat_id", *bucket).orderBy("spot")
+    in_bucket = Window.partitionBy("c.chat_id", *[f"c.{b}" for b in bucket]).orderBy("spot")
     number = F.col("offset") + F.row_number().over(in_bucket)
     name = F.when(is_system, F.lit(SYSTEM_SENDER)).otherwise(F.concat(F.lit(prefix), number.cast("string")))
-    out = counted.join(offsets, ["chat_id", *bucket]).select("chat_id", "sender", name.alias("pseudonym"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in ("chat_id", *bucket)]
+    out = counted.alias("c").join(offsets.alias("o"), same).select("c.chat_id", "sender", name.alias("pseudonym"))
     if skip_system:
         system = first.where(is_system).select("chat_id", "sender", F.lit(SYSTEM_SENDER).alias("pseudonym"))
         out = out.unionByName(system)
@@ -174,20 +185,19 @@ def _numbered(first: DataFrame, bucket: list[str], prefix: str, skip_system: boo
 def pseudonymize_senders(messages: DataFrame, names: DataFrame | None = None, **options) -> DataFrame:
     """Replaces senders by pseudonyms.
 
-    Not hinted: the name table grows with the data, so Spark broadcasts it only when its
+    NULL chats and senders count as a chat and a sender.  Not hinted: the name table grows with the data, so Spark broadcasts it only when its
     measured size allows and otherwise splits a hot sender's rows as a skewed join.
     """
     names = pseudonyms(messages, **options) if names is None else names
-    return messages.join(names, ["chat_id", "sender"]).select(
-        "chat_id", "msg_idx", "timestamp", F.col("pseudonym").alias("sender"), "message"
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"n.{k}")) for k in ("chat_id", "sender")]
+    return messages.alias("m").join(names.alias("n"), same).select(
+        "m.chat_id", "msg_idx", "timestamp", F.col("pseudonym").alias("sender"), "message"
     )
 
 
 def render_anonymized(messages: DataFrame) -> DataFrame:
     """Output text lines: ``[timestamp] sender: text``, continuation lines bare."""
-    text = F.when(F.col("msg_idx") == 0, F.col("message")).otherwise(
-        F.format_string("[%s] %s: %s", "timestamp", "sender", "message")
-    )
+    text = F.format_string("[%s] %s: %s", "timestamp", "sender", "message")
     return messages.select(
         "chat_id", "msg_idx", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "value")
     )

@@ -63,9 +63,10 @@ def _statistics(messages: DataFrame, by: Sequence[str], null_text: str | None, r
 
 
 def user_statistics(
-    messages: DataFrame, by: Sequence[str] = (), null_text: str | None = None, ordered: bool = True
+    messages: DataFrame, by: Sequence[str] = (), null_text: str | None = None, ordered: bool = True, reuse: bool = False
 ) -> DataFrame:
-    stats = _statistics(messages, by, null_text, reuse=False)
+    """Messages, characters and mean size per member; ``reuse`` takes sizes from a column message_size."""
+    stats = _statistics(messages, by, null_text, reuse)
     return top_rows(stats, None, [F.desc("total_messages"), F.asc("sender")], by) if ordered else stats
 
 
@@ -78,12 +79,14 @@ def users_short_messages(
     return top_rows(stats, top_n, [F.asc("avg_message_size"), F.asc("sender")], by)
 
 
-def size_histogram(messages: DataFrame, by: Sequence[str] = (), null_text: str | None = None) -> DataFrame:
+def size_histogram(
+    messages: DataFrame, by: Sequence[str] = (), null_text: str | None = None, reuse: bool = False
+) -> DataFrame:
     """Messages per (sender, size): small whatever the number of messages."""
     return (
         exclude_system(messages)
         .select(
-            *by, "sender", message_size(messages, null_text, reuse=False).alias("size"),
+            *by, "sender", message_size(messages, null_text, reuse).alias("size"),
             F.col("message").isNotNull().alias("present"),
         )
         .groupBy(*by, "sender", "size")
@@ -92,7 +95,7 @@ def size_histogram(messages: DataFrame, by: Sequence[str] = (), null_text: str |
 
 
 def message_size_boxplot(
-    messages: DataFrame, top_n: int = 10, by: Sequence[str] = (), null_text: str | None = None
+    messages: DataFrame, top_n: int = 10, by: Sequence[str] = (), null_text: str | None = None, reuse: bool = False
 ) -> DataFrame:
     """Box-plot numbers of the ``top_n`` most active members, in that order.
 
@@ -100,9 +103,13 @@ def message_size_boxplot(
     interquartile range.  Messages are read once, into a size histogram per member.
     """
     keys = [*by, "sender"]
+    sizes = size_histogram(messages, by, null_text, reuse)
+    # rank on sums first: only the members shown get quartiles
+    totals = sizes.groupBy(*keys).agg(F.sum("n_present").alias("total_messages"))
+    top = top_rows(totals, top_n, [F.desc("total_messages"), F.asc("sender")], by)
     quartile = lambda q: F.percentile("size", F.lit(q), F.col("n"))
     boxes = (
-        size_histogram(messages, by, null_text)
+        sizes.alias("a").join(top.alias("b"), _same(keys), "left_semi")
         .groupBy(*keys)
         .agg(
             F.sum("n_present").alias("total_messages"),
@@ -116,24 +123,27 @@ def message_size_boxplot(
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low = F.array_min(F.filter("sizes", lambda s: s >= F.col("q1") - reach))
     high = F.array_max(F.filter("sizes", lambda s: s <= F.col("q3") + reach))
-    top = top_rows(boxes, top_n, [F.desc("total_messages"), F.asc("sender")], by)
-    return top.select(
+    return top_rows(boxes, top_n, [F.desc("total_messages"), F.asc("sender")], by).select(
         *keys, "total_messages", "q1", "median", "q3",
         F.least(low, F.col("q1")).alias("whisker_low"),
         F.greatest(high, F.col("q3")).alias("whisker_high"),
     )
 
 
-def messages_of_top_members(messages: DataFrame, top_n: int = 10) -> DataFrame:
+def _same(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+
+
+def messages_of_top_members(messages: DataFrame, top_n: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """All messages of the ``top_n`` most active members."""
-    counts = exclude_system(messages).groupBy("sender").agg(F.count("message").alias("n"))
-    top = top_rows(counts, top_n, [F.desc("n"), F.asc("sender")]).select("sender")
-    # Broadcast: exactly top_n rows, whatever the data.
-    return messages.join(F.broadcast(top), "sender", "left_semi")
+    keys = [*by, "sender"]
+    counts = exclude_system(messages).groupBy(*keys).agg(F.count("message").alias("n"))
+    top = top_rows(counts, top_n, [F.desc("n"), F.asc("sender")], by).select(*keys)
+    return messages.alias("a").join(top.alias("b"), _same(keys), "left_semi")
 
 
 def participation_profile(
-    messages: DataFrame, quantile: float = 0.75, null_text: str | None = None
+    messages: DataFrame, quantile: float = 0.75, null_text: str | None = None, by: Sequence[str] = (), reuse: bool = False
 ) -> DataFrame:
     """Labels members by volume and length: few-but-long against many-but-short writers.
 
@@ -141,22 +151,21 @@ def participation_profile(
     members' message counts (whole-character mean sizes).  Both thresholds are exact; they
     come from value counts instead of an ordering of all members.
     """
-    stats = user_statistics(messages, null_text=null_text, ordered=False)
-    share = F.lit(quantile)
-    limits = stats.select(F.col("total_messages").alias("v"), F.floor("avg_message_size").alias("l"))
-    volume_limit = _value_quantile(limits, "v", share)
-    length_limit = _value_quantile(limits, "l", share)
-    many = F.col("total_messages") >= volume_limit
-    long = F.floor("avg_message_size") >= length_limit
+    stats = user_statistics(messages, by, null_text, ordered=False, reuse=reuse)
+    volume, length = F.col("total_messages"), F.floor("avg_message_size")
+    # members per (group, volume, length): both quantiles come from these counts
+    counted = stats.groupBy(*by, volume.alias("v"), length.alias("l")).agg(F.count("*").alias("n"))
+    limits = [F.percentile(c, F.lit(quantile), F.col("n")).alias(f"{c}_limit") for c in ("v", "l")]
+    if by:
+        found = stats.alias("a").join(counted.groupBy(*by).agg(*limits).alias("b"), _same(by)).select("a.*", "v_limit", "l_limit")
+        many, long = volume >= F.col("v_limit"), length >= F.col("l_limit")
+    else:
+        one = counted.agg(F.struct(*limits)).scalar()
+        found, many, long = stats, volume >= one["v_limit"], length >= one["l_limit"]
     label = (
         F.when(many & long, "many_long")
         .when(many, "many_short")
         .when(long, "few_long")
         .otherwise("few_short")
     )
-    return stats.select("sender", "total_messages", "avg_message_size", label.alias("profile"))
-
-
-def _value_quantile(df: DataFrame, column: str, share: Column) -> Column:
-    counted = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counted.select(F.percentile(column, share, F.col("n"))).scalar()
+    return found.select(*by, "sender", "total_messages", "avg_message_size", label.alias("profile"))

@@ -50,13 +50,13 @@ def redact_with_model(
     """``redact_text`` with a detector that is a Python function.
 
     Such a function cannot stand inside an expression, so each step is a column of its own;
-    the model sees whole Arrow batches and one call of it per message.
+    the model sees whole Arrow batches, without empty texts and presented speakers.
     """
     staged = (
         df.withColumn("_masked", R.plain_masks(F.col(text)))
         .withColumn("_found", R.protected_spans(F.col("_masked")))
         .withColumn("_open", R.open_text(F.col("_masked"), F.col("_found")))
-        .withColumn("_names", detector(R.without_titles(F.col("_open"))))
+        .withColumn("_names", detector(F.when(~F.col("_open").rlike(P.SPEAKER), R.without_titles(F.col("_open")))))
     )
     kept = F.filter("_names", lambda span: keep_name(span, exceptions, blocked))
     whole = R.speaker_or_names(F.col("_open"), kept, F.col("_found"))

@@ -24,9 +24,13 @@ def with_moment(messages: DataFrame, date_order: str = "mdy_fallback") -> DataFr
     return messages.withColumn("moment", parse_chat_timestamp(stamp, date_order))
 
 
-def _counted(messages: DataFrame, by: Sequence[str], date_order: str) -> DataFrame:
-    """Rows and non-null messages per (by, weekday, hour): at most 168 rows per group."""
-    timed = with_moment(messages, date_order).where(F.col("moment").isNotNull())
+def _counted(messages: DataFrame, by: Sequence[str], date_order: str, undated: bool = False) -> DataFrame:
+    """Rows and non-null messages per (by, weekday, hour): at most 168 rows per group.
+
+    With ``undated``, rows without a valid date stand in one more row without day and hour.
+    """
+    timed = with_moment(messages, date_order)
+    timed = timed if undated else timed.where(F.col("moment").isNotNull())
     value = "message" if "message" in messages.columns else messages.columns[0]
     return timed.groupBy(
         *by, F.weekday("moment").alias("day_idx"), F.hour("moment").alias("hour")
@@ -51,8 +55,8 @@ def messages_by_day(
     labels: Sequence[str] = WEEKDAYS_ES,
     date_order: str = "mdy_fallback",
 ) -> DataFrame:
-    """All seven weekdays in order, zeros kept; rows without a valid date do not count."""
-    dense = _dense(_counted(messages, by, date_order), "day_idx", 7, by)
+    """All seven weekdays in order, zeros kept, also for groups without any valid date."""
+    dense = _dense(_counted(messages, by, date_order, undated=True), "day_idx", 7, by)
     return dense.select(*by, "day_idx", _label(labels), "count").orderBy(*by, "day_idx")
 
 
@@ -60,9 +64,9 @@ def messages_by_hour(
     messages: DataFrame, by: Sequence[str] = (), dense: bool = False, date_order: str = "mdy_fallback"
 ) -> DataFrame:
     """Hours that occur, or all of 0..23 with ``dense``."""
-    counted = _counted(messages, by, date_order)
     if dense:
-        return _dense(counted, "hour", 24, by).orderBy(*by, "hour")
+        return _dense(_counted(messages, by, date_order, undated=True), "hour", 24, by).orderBy(*by, "hour")
+    counted = _counted(messages, by, date_order)
     return counted.groupBy(*by, "hour").agg(F.sum("n").alias("count")).orderBy(*by, "hour")
 
 

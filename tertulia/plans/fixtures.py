@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.fixed_values import SYSTEM_SENDER
-from tertulia.sources.readers import spread
 
 # What each tenth of the messages gets: text in front, text behind.
 DECORATIONS = [
@@ -24,6 +23,9 @@ DECORATIONS = [
     ("", " 🇲🇽 https://lnkd.in/x"),
     ("", " +52 662 123 4567 x@y.mx"),
     ("", ""),
+    ("Ing. Juan Lasso - tema ", ""),
+    ("Dra. Ana Losada Lastra-", " y +1 (555) 010-9999"),
+    ("Lic. Eva de la Cruz - ", " [Ana] a.b+c@d-e.org.mx"),
 ]
 # Lines of one message are numbered within this width.
 SEQ_WIDTH = 1_000_000
@@ -36,7 +38,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     sender = F.when(F.col("event_type") == "error", SYSTEM_SENDER).otherwise(
         F.concat(F.lit("user_"), F.col("user_id").cast("string"))
@@ -53,7 +55,7 @@ def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_events_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events alone as messages: the temporal metrics at the size of the event table."""
-    events = spread(_table(spark, sf_dir, "events").select("ts", "event_type"))
+    events = _table(spark, sf_dir, "events").select("ts", "event_type")
     return events.select(
         F.date_format("ts", "dd/MM/yyyy, HH:mm").alias("timestamp"),
         F.col("event_type").alias("message"),

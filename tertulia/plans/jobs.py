@@ -1,7 +1,7 @@
 """Jobs: anonymise exports, user statistics, full report.
 
     python -m tertulia.plans.jobs anonymize IN OUT
-    python -m tertulia.plans.jobs features IN.csv OUT
+    python -m tertulia.plans.jobs features IN OUT
     python -m tertulia.plans.jobs report MESSAGES OUT
 """
 
@@ -10,8 +10,9 @@ from __future__ import annotations
 import logging
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tertulia.functions.lexicon import spanish_adjectives
 from tertulia.functions.redaction import redact_text
 from tertulia.operators import content, ingest, members, temporal, tokens
 from tertulia.plans.session import build_session
@@ -21,76 +22,99 @@ from tertulia.sources.staging import Staged
 log = logging.getLogger("tertulia")
 
 
+def hidden_name(chat_id: Column) -> Column:
+    """A chat's name for output: exports are often named after a person."""
+    return F.concat(F.lit("chat_"), F.substring(F.sha2(F.coalesce(chat_id.cast("string"), F.lit("")), 256), 1, 16))
+
+
 def run_anonymize(
     spark: SparkSession, source, target: str, redact=redact_text, model=None, chat_id=None, part=None, **names
 ) -> DataFrame:
     """Exports to ``target/messages`` (Parquet) and ``target/text``; returns the messages.
 
-    Masked lines, then numbered messages, are staged so that masking and assembly run once
-    however often the rows are read; both stages are deleted at the end (they hold the
-    senders' real names).
+    Chats are named by a hash of what named them (the path by default).  Masked lines, then numbered messages, are
+    staged so that masking and assembly run once however often the rows are read; both stages
+    are deleted at the end (they hold the senders' real names).
     """
-    parsed = ingest.masked_lines(readers.read_chat_lines(spark, source, chat_id, part), redact, model)
-    with Staged(parsed, "lines") as lines:
-        assembled = ingest.assemble_messages(lines, keep_preamble=True)
-        with Staged(assembled, "assembled") as rows:
+    raw = readers.read_chat_lines(spark, source, chat_id, part).withColumn("chat_id", hidden_name(F.col("chat_id")))
+    with Staged(ingest.masked_lines(raw, redact, model), "lines") as lines:
+        with Staged(ingest.assemble_messages(lines), "assembled") as rows:
             aliases = ingest.pseudonyms_of_lines(lines, **names)
-            named = ingest.pseudonymize_senders(rows.where("msg_idx > 0"), aliases)
-            writers.write_messages(named, f"{target}/messages")
+            writers.write_messages(ingest.pseudonymize_senders(rows, aliases), f"{target}/messages")
             messages = readers.read_messages(spark, f"{target}/messages")
-            preamble = rows.where("msg_idx = 0").select(messages.columns)
-            writers.write_anonymized_text(messages.unionByName(preamble), f"{target}/text")
+            writers.write_anonymized_text(messages, f"{target}/text", preamble=ingest.preamble_lines(lines))
     return messages
 
 
-def run_features(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """User statistics of a CSV message table, written as CSV."""
-    stats = members.user_statistics(readers.read_messages_csv(spark, source), null_text="nan")
+def read_table(spark: SparkSession, source: str, multi_line: bool = True) -> DataFrame:
+    """A message table: CSV where the name ends so, else Parquet."""
+    if source.rstrip("/").lower().endswith(".csv"):
+        return readers.read_messages_csv(spark, source, multi_line=multi_line)
+    return readers.read_messages(spark, source)
+
+
+def run_features(spark: SparkSession, source: str, target: str, multi_line: bool = True) -> DataFrame:
+    """User statistics of a message table (CSV or Parquet), written as CSV.
+
+    CSV files are read in one task each unless ``multi_line`` is False.
+    """
+    stats = members.user_statistics(read_table(spark, source, multi_line), null_text="nan")
     writers.write_csv(stats, target)
     return stats
 
 
-def run_report(spark: SparkSession, source: str, target: str, lexicon: DataFrame | None = None, by=()) -> list[str]:
-    """Every metric of a Parquet message table as ``target/<name>`` (Parquet)."""
+def run_report(
+    spark: SparkSession, source: str, target: str, lexicon: DataFrame | None = None, by=("chat_id",)
+) -> list[str]:
+    """Every metric of a Parquet message table as ``target/<name>`` (Parquet).
+
+    Per chat by default, since pseudonyms start anew in each: two chats' first members are different people.
+    ``by=()`` reports over all chats.  The messages are read twice: once into a small table of sizes and
+    moments that the member and calendar metrics share, once into words, emojis and links.
+    """
     messages = readers.read_messages(spark, source)
-    tables = {
-        "top_active_members": members.top_active_members(messages, by=by),
-        "avg_user_word_count": members.avg_user_word_count(messages, by=by),
-        "user_statistics": members.user_statistics(messages, by=by, ordered=False),
-        "users_short_messages": members.users_short_messages(messages, 5, by=by),
-        "message_size_boxplot": members.message_size_boxplot(messages, by=by),
-        "participation_profile": members.participation_profile(messages),
-        "messages_by_day": temporal.messages_by_day(messages, by=by),
-        "messages_by_hour": temporal.messages_by_hour(messages, by=by),
-        "activity_heatmap": temporal.activity_heatmap(messages, by=by),
-        "activity_peaks": temporal.activity_peaks(messages, by=by),
-        "date_range": temporal.date_range(messages, by=by),
-        "emoji_frequency": content.emoji_frequency(messages, by=by),
-        "top_shared_domains": content.top_shared_domains(messages, by=by),
-    }
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{target}/{name}")
+    keys = list(dict.fromkeys([*by, "sender"]))
+    narrow = temporal.with_moment(messages).select(
+        *keys, F.col("moment").alias("timestamp"), F.when(F.col("message").isNotNull(), F.lit("")).alias("message"),
+        members.message_size(messages, reuse=False).alias("message_size"), members.word_count(messages).alias("word_count"))
+    with Staged(narrow, "sizes") as sizes:
+        tables = {
+            "top_active_members": members.top_active_members(sizes, by=by),
+            "avg_user_word_count": members.avg_user_word_count(sizes, by=by),
+            "user_statistics": members.user_statistics(sizes, by=by, ordered=False, reuse=True),
+            "users_short_messages": members.users_short_messages(sizes, 5, by=by),
+            "message_size_boxplot": members.message_size_boxplot(sizes, by=by, reuse=True),
+            "participation_profile": members.participation_profile(sizes, by=by, reuse=True),
+            "messages_by_day": temporal.messages_by_day(sizes, by=by),
+            "messages_by_hour": temporal.messages_by_hour(sizes, by=by),
+            "activity_heatmap": temporal.activity_heatmap(sizes, by=by),
+            "activity_peaks": temporal.activity_peaks(sizes, by=by),
+            "date_range": temporal.date_range(sizes, by=by),
+        }
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{target}/{name}")
+    for name, metric in (("emoji_frequency", content.emoji_frequency), ("top_shared_domains", content.top_shared_domains)):
+        metric(messages, by=by).write.mode("overwrite").parquet(f"{target}/{name}")
     # Cleaning is the costly part: the words are written once and every text metric reads them.
     tokens.tokenize(messages).drop("message", "timestamp").write.mode("overwrite").parquet(f"{target}/words")
     words = spark.read.parquet(f"{target}/words")
     texts = {
         "top_words": tokens.top_words(words, by=by),
         "top_words_per_member": tokens.top_words_per_member(words, by=by),
+        "adjective_frequency": content.adjective_frequency(words, spanish_adjectives(spark) if lexicon is None else lexicon, by=by),
     }
-    if lexicon is not None:
-        texts["adjective_frequency"] = content.adjective_frequency(words, lexicon, by=by)
     for name, df in texts.items():
         df.write.mode("overwrite").parquet(f"{target}/{name}")
-    with Staged(content.word_and_pair_counts(words), "counts") as counts:
+    with Staged(content.word_and_pair_counts(words), "counts") as counts, Staged(content.unigrams(counts), "unigrams") as single:
         clouds = {
-            "term_weights": content.term_weights(counts),
-            "bigram_collocations": content.bigram_collocations(counts),
+            "term_weights": content.term_weights(counts, unigrams=single),
+            "bigram_collocations": content.bigram_collocations(counts, unigrams=single),
         }
         for name, df in clouds.items():
             df.write.mode("overwrite").parquet(f"{target}/{name}")
     if spark.read.parquet(f"{target}/top_words").isEmpty():
         log.warning("no text is left after cleaning")
-    return [*tables, "words", *texts, *clouds]
+    return [*tables, "emoji_frequency", "top_shared_domains", "words", *texts, *clouds]
 
 
 def main(argv: list[str]) -> int:

@@ -15,7 +15,7 @@ import pyspark
 from tertulia import fixed_values as V
 from tertulia.functions.content import DOMAIN_GROUPS, DOMAIN_HOSTS
 from tertulia.plans import fixtures as fx
-from tertulia.plans.registry import FIXTURE_LEXICON, PARTIAL_STOP_TABLE
+from tertulia.plans.registry import FIXTURE_LEXICON, MIXED_FORMS, PARTIAL_STOP_TABLE
 
 _W = r"\p{L}\p{N}_"
 _TITLE = r"\b(?:Dra?|Lic|Ing|Mtro?|Prof?)"
@@ -231,7 +231,7 @@ def _clouds(score_floor: float = 30.0) -> str:
         f" - {ll('n', 'n1', 'n / n1')} - {ll('n2 - n', 't - n1', '(n2 - n) / (t - n1)')})"
     )
     return f"""{_tokens(fx.V_MESSAGES, "v_messages", "msg_id")},
-c_words AS (SELECT list_filter(words, lambda w: len(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+$')) AS words FROM v_words),
+c_words AS (SELECT list_filter(words, lambda w: len(w) >= 1 AND NOT regexp_matches(w, '^[0-9]+$')) AS words FROM v_words),
 c_one AS (
   SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM c_words)
   WHERE NOT list_contains({stop}, word) GROUP BY word),
@@ -294,6 +294,14 @@ def _ids(columns: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     lexicon = ", ".join(f"('{t}', '{p}')" for t, p in FIXTURE_LEXICON)
+    chat_stats = STATS.replace("SELECT sender,", "SELECT chat_id, sender,").replace("GROUP BY sender)", "GROUP BY chat_id, sender)")
+    # chats of even number begin with lines that no header matches
+    kept_lines = PARSED.replace("FROM v_lines WHERE", "FROM v_kept WHERE").replace("v_clean AS (", f"""v_kept AS (
+  SELECT chat_id, seq, CASE WHEN regexp_matches(chat_id, '[02468]$') AND seq % {7 * fx.SEQ_WIDTH} < {5 * fx.SEQ_WIDTH}
+    THEN '> ' || value ELSE value END AS value FROM v_lines),
+v_clean AS (""")
+    mixed = " ".join(
+        f"WHEN event_id % {len(MIXED_FORMS)} = {i} THEN date_trunc('{unit}', ts)" for i, (_, unit) in enumerate(MIXED_FORMS))
     stop_table = ", ".join(f"('{t}')" for (t,) in PARTIAL_STOP_TABLE)
     decorated = f"WITH {fx.V_DECORATED}"
     messages = f"WITH {fx.V_MESSAGES}"
@@ -353,6 +361,29 @@ v_safe AS (SELECT chat_id, seq, is_header, timestamp, sender, message AS text FR
         "message_word_count": f"{messages} SELECT msg_id, CAST(len(regexp_extract_all(message, '\\S+')) AS INTEGER)"
                               " AS word_count FROM v_messages",
         "message_size": f"{messages} SELECT msg_id, CAST(length(message) AS INTEGER) AS message_size FROM v_messages",
+        "export_scan_anonymize": f"WITH {PARSED}, {redacted_fields}, {_assembled('v_safe')} SELECT * FROM v_pseudonymous",
+        "preamble_lines": f"WITH {kept_lines}, first AS (SELECT chat_id, min(seq) FILTER (is_header) AS head FROM v_fields"
+                          " GROUP BY chat_id) SELECT chat_id, seq, text FROM v_fields JOIN first USING (chat_id)"
+                          " WHERE head IS NULL OR seq < head",
+        "features_csv": f"WITH {STATS} SELECT * FROM stats",
+        "redact_null_text": f"WITH {fx.V_DECORATED}, v_some AS (SELECT msg_id,"
+                            " CASE WHEN msg_id % 3 > 0 THEN message ELSE 'nan' END AS message FROM v_decorated),"
+                            f" {masked('v_some', 'msg_id')} SELECT msg_id, message FROM v_redacted",
+        "conversation_statistics": "SELECT conv_id, role AS sender, count(text) AS total_messages,"
+                                   " CAST(sum(length(text)) AS BIGINT) AS total_characters, avg(length(text)) AS avg_message_size"
+                                   f" FROM conversations WHERE role <> '{V.SYSTEM_SENDER}' GROUP BY ALL",
+        "parse_mixed_timestamps": f"SELECT event_id, CASE {mixed} END AS moment FROM events",
+        "top_active_members_by_chat": f"{messages} SELECT chat_id, sender, count(*) AS count FROM ({MEMBERS}) GROUP BY chat_id, sender"
+                                      " QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY count(*) DESC, sender) <= 10",
+        "participation_profile_by_chat": f"WITH {chat_stats}, l AS (SELECT chat_id, quantile_cont(total_messages, 0.75) AS v,"
+                                         " quantile_cont(CAST(floor(avg_message_size) AS BIGINT), 0.75) AS s FROM stats GROUP BY chat_id)"
+                                         " SELECT chat_id, sender, total_messages, avg_message_size,"
+                                         " CASE WHEN total_messages >= v THEN 'many' ELSE 'few' END || '_' ||"
+                                         " CASE WHEN floor(avg_message_size) >= s THEN 'long' ELSE 'short' END AS profile"
+                                         " FROM stats JOIN l USING (chat_id)",
+        "messages_of_top_members_by_chat": f"WITH {chat_stats}, top AS (SELECT chat_id, sender FROM stats QUALIFY row_number()"
+                                           " OVER (PARTITION BY chat_id ORDER BY total_messages DESC, sender) <= 3)"
+                                           " SELECT msg_id, chat_id, sender, message FROM v_messages JOIN top USING (chat_id, sender)",
         "top_active_members": f"{messages} SELECT sender, count(*) AS count FROM ({MEMBERS}) GROUP BY sender"
                               " ORDER BY count DESC, sender LIMIT 10",
         "avg_user_word_count": f"{messages} SELECT sender, avg(len(regexp_extract_all(message, '\\S+'))) AS word_count"
@@ -381,13 +412,13 @@ v_safe AS (SELECT chat_id, seq, is_header, timestamp, sender, message AS text FR
         "messages_by_day": f"{events}, c AS (SELECT {DAY_IDX} AS day_idx, count(*) AS n FROM v_timed GROUP BY 1)"
                            f" SELECT CAST(r.day_idx AS INTEGER) AS day_idx, ([{_DAYS}])[r.day_idx + 1] AS day_name,"
                            " coalesce(n, 0) AS count FROM (SELECT unnest(range(7)) AS day_idx) r LEFT JOIN c USING (day_idx)",
-        "messages_by_hour": f"WITH {_timed(fx.V_MESSAGES, 'v_messages')} SELECT {HOUR} AS hour, count(*) AS count FROM v_timed GROUP BY 1",
+        "messages_by_hour": f"{events} SELECT {HOUR} AS hour, count(*) AS count FROM v_timed GROUP BY 1",
         "messages_by_hour_dense": f"{events}, c AS (SELECT {HOUR} AS hour, count(*) AS n FROM v_timed GROUP BY 1)"
                                   " SELECT CAST(r.hour AS INTEGER) AS hour, coalesce(n, 0) AS count"
                                   " FROM (SELECT unnest(range(24)) AS hour) r LEFT JOIN c USING (hour)",
         "activity_heatmap": _heatmap(),
         "activity_peaks": _peaks(),
-        "date_range": f"WITH {_timed(fx.V_MESSAGES, 'v_messages')} SELECT min(moment) AS first_message,"
+        "date_range": f"{events} SELECT min(moment) AS first_message,"
                       " max(moment) AS last_message, count(moment) AS dated_messages FROM v_timed",
         "adjective_frequency": f"WITH {_tokens(fx.V_DECORATED, 'v_decorated', 'msg_id')},"
                                " t AS (SELECT unnest(words) AS token FROM v_words)"

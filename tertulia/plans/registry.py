@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,8 +13,9 @@ from tertulia.functions import content as C, redaction as R, temporal as W, text
 from tertulia.operators import content, ingest, members, names, temporal, tokens
 from tertulia.plans import fixtures as fx
 from tertulia.schema import LEXICON
-from tertulia.sources.readers import read_chat_lines, spread
-from tertulia.sources.staging import Staged, shared_folder
+from tertulia.sources import writers
+from tertulia.sources.readers import read_chat_lines, read_messages_csv
+from tertulia.sources.staging import checkpointed, remove, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,14 +48,16 @@ def _on_words(operator, view=fx.v_messages, **options) -> Query:
 
 
 def _on_counts(operator) -> Query:
+    """The counts and the vocabulary are checkpointed, so that Spark deletes them with the result's DataFrame."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = tokens.tokenize(fx.v_messages(spark, sf_dir))
-        return operator(Staged(content.word_and_pair_counts(words), "counts").df)
+        counts = checkpointed(content.word_and_pair_counts(words))
+        return operator(counts, unigrams=checkpointed(content.unigrams(counts)))
     return run
 
 
 def _events_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")).select(
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", F.date_format("ts", "dd/MM/yyyy, HH:mm").alias("timestamp")
     )
 
@@ -64,15 +68,76 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
 
 def chat_line_scan(spark: SparkSession, d: str) -> DataFrame:
     """Writes the export lines as text files and scans them with the chat reader."""
+    with _exported(spark, d) as lines:
+        return checkpointed(lines.groupBy("chat_id").agg(
+            F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("n_chars")
+        ))
+
+
+@contextmanager
+def _exported(spark: SparkSession, d: str):
+    """Lines that went through text files and ``read_chat_lines``; the files, real text, go at the end."""
     path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
     (
         fx.v_lines(spark, d).repartitionByRange("chat_id", "seq").sortWithinPartitions("chat_id", "seq")
         .select("chat_id", "value").write.partitionBy("chat_id").text(path)
     )
-    lines = read_chat_lines(spark, path, F.col("chat_id"), F.col("_metadata.file_name"))
-    return lines.groupBy("chat_id").agg(
-        F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("n_chars")
-    )
+    try:
+        yield read_chat_lines(spark, path, F.col("chat_id"), F.col("_metadata.file_name"))
+    finally:
+        remove(spark, path)
+
+
+def export_scan_anonymize(spark: SparkSession, d: str) -> DataFrame:
+    """Export lines as text files, read back in splits and anonymised: the order must survive."""
+    with _exported(spark, d) as lines:
+        return checkpointed(ingest.anonymize(lines))
+
+
+def preamble_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines before the first message, where chats of even number have only headerless lines at their start."""
+    lines = fx.v_lines(spark, d)
+    bare = F.when(F.pmod(F.col("seq"), F.lit(7 * fx.SEQ_WIDTH)) < 5 * fx.SEQ_WIDTH, F.concat(F.lit("> "), "value")).otherwise(F.col("value"))
+    kept = lines.withColumn("value", F.when(F.col("chat_id").rlike("[02468]$"), bare).otherwise(F.col("value")))
+    return ingest.preamble_lines(ingest.parse_chat_lines(kept)).select("chat_id", "seq", "text")
+
+
+def features_csv(spark: SparkSession, d: str) -> DataFrame:
+    """User statistics of a message table that went through CSV files."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    try:
+        writers.write_csv(fx.v_messages(spark, d).select("timestamp", "sender", "message"), path)
+        return checkpointed(members.user_statistics(read_messages_csv(spark, path), null_text="nan"))
+    finally:
+        remove(spark, path)
+
+
+def redact_null_text(spark: SparkSession, d: str) -> DataFrame:
+    """Missing texts masked as the text ``nan``."""
+    missing = F.when(F.col("msg_id") % 3 > 0, F.col("message"))
+    return fx.v_decorated(spark, d).select("msg_id", R.redact_text(missing, null_text="nan").alias("message"))
+
+
+def conversation_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the roles of each conversation."""
+    talks = spark.read.parquet(f"{d}/conversations.parquet")
+    messages = talks.select("conv_id", F.col("role").alias("sender"), F.col("text").alias("message"))
+    return members.user_statistics(messages, by=["conv_id"], ordered=False)
+
+
+# Forms of a written moment and the unit each keeps.
+MIXED_FORMS = (
+    ("MM/dd/yyyy", "day"), ("MM/dd/yy", "day"), ("MM-dd-yyyy HH:mm", "minute"), ("MM.dd.yyyy HH:mm", "minute"),
+    ("yyyy/MM/dd HH:mm:ss", "second"), ("MMM d yyyy HH:mm", "minute"), ("d MMMM yyyy, h:mm a", "minute"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "second"),
+)
+
+
+def parse_mixed_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    """Event times written in eight forms, one after another, and read again."""
+    forms = F.array(*[F.date_format("ts", form) for form, _ in MIXED_FORMS])
+    text = F.get(forms, (F.col("event_id") % len(MIXED_FORMS)).cast("int"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", W.parse_chat_timestamp(text).alias("moment"))
 
 
 def parse_chat_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +198,16 @@ def _marked(text):
 
 QUERIES: dict[str, Query] = {
     "chat_line_scan": chat_line_scan,
+    "export_scan_anonymize": export_scan_anonymize,
+    "preamble_lines": preamble_lines,
+    "features_csv": features_csv,
+    "redact_null_text": redact_null_text,
+    "conversation_statistics": conversation_statistics,
+    "parse_mixed_timestamps": parse_mixed_timestamps,
+    "top_active_members_by_chat": _on_messages(members.top_active_members, by=["chat_id"]),
+    "participation_profile_by_chat": _on_messages(members.participation_profile, by=["chat_id"]),
+    "messages_of_top_members_by_chat": lambda s, d: members.messages_of_top_members(
+        fx.v_messages(s, d), 3, ["chat_id"]).select("msg_id", "chat_id", "sender", "message"),
     "sanitize_lines": lambda s, d: ingest.sanitize_lines(fx.v_lines(s, d)).select("chat_id", "seq", "clean"),
     "parse_chat_lines": parse_chat_lines,
     "assemble_messages": lambda s, d: ingest.assemble_messages(_parsed(s, d)),
@@ -171,11 +246,11 @@ QUERIES: dict[str, Query] = {
     "message_hour": lambda s, d: temporal.with_calendar(_events_with_id(s, d)).select("event_id", "hour"),
     "message_weekday": lambda s, d: temporal.with_calendar(_events_with_id(s, d)).select("event_id", "day_idx", "day_name"),
     "messages_by_day": _on_events(temporal.messages_by_day),
-    "messages_by_hour": _on_messages(temporal.messages_by_hour),
+    "messages_by_hour": _on_events(temporal.messages_by_hour),
     "messages_by_hour_dense": _on_events(temporal.messages_by_hour, dense=True),
     "activity_heatmap": _on_events(temporal.activity_heatmap),
     "activity_peaks": activity_peaks,
-    "date_range": _on_messages(temporal.date_range),
+    "date_range": _on_events(temporal.date_range),
     "adjective_frequency": adjective_frequency,
     "extract_emojis": _found(C.extract_emojis, "emoji"),
     "emoji_frequency": lambda s, d: content.emoji_frequency(fx.v_decorated(s, d)),

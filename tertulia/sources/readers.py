@@ -25,11 +25,12 @@ def read_chat_lines(
     from ``_metadata`` or a partition column; when a chat then has several files, ``part``
     must name a column that orders them (for instance the file name).  Large files are
     read in splits; a block is a split, or a piece of one when the split has many lines.
+
+    Split sizes follow the session's settings and number of cores when a read is planned.  What reads these
+    lines more than once (``anonymize`` does) needs equal splits each time: keep ``spark.sql.files.minPartitionNum``
+    and the cores fixed, or stage the parsed lines as the anonymise job does.  Assembly fails rather than
+    number wrongly when they differ.
     """
-    # Split sizes follow the number of cores at planning time unless this is set; pinning it
-    # makes every read of the same files in this session see the same splits.
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
     meta = F.col("_metadata")
     return (
         spark.read.text(list(paths) if not isinstance(paths, str) else paths)
@@ -68,13 +69,5 @@ def read_messages_csv(
 
 
 def read_messages(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Message table from Parquet."""
     return spark.read.parquet(*([path] if isinstance(path, str) else path))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spreads an input of fewer splits than cores; larger inputs are left as they are.
-
-    Text functions are bound by CPU, and a small file in one split would keep one core busy.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -19,6 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder; cuts lineage.  Spark deletes them when nothing refers to them any more
+    and ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of this library."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Staged:
     """A DataFrame written once to the shared folder and read back.
 
@@ -36,6 +51,4 @@ class Staged:
         return self.df
 
     def __exit__(self, *exc) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tertulia.operators.ingest import render_anonymized
 
 
-def write_anonymized_text(messages: DataFrame, path: str, by_chat: bool = True) -> None:
+def write_anonymized_text(
+    messages: DataFrame, path: str, by_chat: bool = True, preamble: DataFrame | None = None
+) -> None:
     """Text lines ``[timestamp] sender: text`` in message order, one folder per chat.
 
+    ``preamble``: lines that stand before a chat's first message (``ingest.preamble_lines``).
+
     Range partitioning spreads a large chat over many part files; their names follow the
     order of the messages.
     """
-    lines = (
-        render_anonymized(messages)
-        .repartitionByRange("chat_id", "msg_idx")
-        .sortWithinPartitions("chat_id", "msg_idx", "line_no")
-    )
+    order = ["chat_id", "msg_idx", "part", "block", "line_no"]
+    lines = render_anonymized(messages).select(
+        "chat_id", "msg_idx", F.lit("").alias("part"), F.lit(0).cast("long").alias("block"),
+        F.col("line_no").cast("long").alias("line_no"), "value")
+    if preamble is not None:
+        lines = lines.unionByName(preamble.select(
+            "chat_id", F.lit(0).cast("long").alias("msg_idx"), "part", F.col("block").cast("long").alias("block"),
+            F.col("seq").cast("long").alias("line_no"), F.col("text").alias("value")))
+    lines = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     if by_chat:
         lines.select("chat_id", "value").write.mode("overwrite").partitionBy("chat_id").text(path)
     else:

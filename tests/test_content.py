@@ -69,7 +69,7 @@ def likelihood(c12, c1, c2, n):
 def test_collocations_and_weights(messages):
     texts = ["vibe engineering mola"] * 20 + ["sol luna"] * 3 + ["agente agentes agentes", "gas", "the sol", "x 77 sol"]
     counts = content.word_and_pair_counts(tokens.tokenize(messages(*[("t", "a", t) for t in texts])))
-    total = 20 * 3 + 3 * 2 + 3 + 1 + 1 + 1
+    total = 20 * 3 + 3 * 2 + 3 + 1 + 1 + 1 + 1
     pairs = {r.bigram: (r["count"], r.score) for r in content.bigram_collocations(counts).collect()}
     assert set(pairs) == {"vibe engineering", "engineering mola"}
     assert pairs["vibe engineering"] == (20, pytest.approx(likelihood(20, 20, 20, total)))
@@ -77,7 +77,7 @@ def test_collocations_and_weights(messages):
     # Each collocation takes its count off both words; "engineering" falls below zero.
     assert weights == {
         "vibe engineering": (20, 1.0), "engineering mola": (20, 1.0), "sol": (5, 0.25),
-        "luna": (3, 0.15), "agente": (3, 0.15), "gas": (1, 0.05),
+        "luna": (3, 0.15), "agente": (3, 0.15), "gas": (1, 0.05), "x": (1, 0.05),
     }
     top = content.term_weights(counts, max_terms=2).collect()
     assert [r.term for r in top] == ["engineering mola", "vibe engineering"]
@@ -86,8 +86,8 @@ def test_collocations_and_weights(messages):
 def test_single_letters_are_optional(messages):
     words = tokens.tokenize(messages(("t", "a", "z sol")))
     terms = lambda **o: {r.term for r in content.term_weights(content.word_and_pair_counts(words, **o)).collect()}
-    assert terms() == {"sol"}
-    assert terms(min_length=1) == {"z", "sol"}
+    assert terms(min_length=2) == {"sol"}
+    assert terms() == {"z", "sol"}
 
 
 def test_repeated_pair(messages):

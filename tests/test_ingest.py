@@ -71,9 +71,8 @@ def test_line_separators_inside_a_message_stay(spark):
 
 def test_assembly_and_pseudonyms(spark):
     parsed = ingest.parse_chat_lines(lines_of(spark, CHAT))
-    rows = ingest.assemble_messages(parsed, keep_preamble=True)
-    assert collect(rows)[0] == ("c", 0, None, None, "antes de todo")
-    messages = rows.where("msg_idx > 0")
+    messages = ingest.assemble_messages(parsed)
+    assert [tuple(r) for r in ingest.preamble_lines(parsed).collect()] == [("c", "", 0, 0, "antes de todo")]
     named = ingest.pseudonymize_senders(messages, ingest.pseudonyms_of_lines(parsed))
     assert [(m[3], m[4]) for m in collect(named)] == [
         ("Sistema", "Los mensajes están cifrados."),
@@ -173,3 +172,10 @@ def test_text_is_shuffled_once(spark):
     final = plan[: plan.find("== Initial Plan ==")]
     assert any("ReusedExchange" in line and "text" in line for line in final.split("\n"))
     assert "EvalPython" not in final
+
+
+def test_null_chats_and_senders_stay(spark):
+    rows = [("c", 1, "t", "a", "x"), ("c", 2, "t", None, "y"), (None, 1, "t", "a", "z")]
+    df = spark.createDataFrame(rows, "chat_id string, msg_idx long, timestamp string, sender string, message string")
+    named = {(r.chat_id, r.msg_idx): r.sender for r in ingest.pseudonymize_senders(df).collect()}
+    assert named == {("c", 1): "Miembro_GDG_1", ("c", 2): "Miembro_GDG_2", (None, 1): "Miembro_GDG_1"}

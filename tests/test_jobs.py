@@ -42,7 +42,7 @@ def test_anonymize_and_report(spark, tmp_path):
     for name in names:
         assert spark.read.parquet(str(tmp_path / "report" / name)).columns
     top = spark.read.parquet(str(tmp_path / "report" / "top_active_members")).orderBy("sender").collect()
-    assert [tuple(r) for r in top] == [("Miembro_GDG_2", 2), ("Miembro_GDG_3", 1), ("Miembro_GDG_4", 1)]
+    assert [(r.sender, r["count"]) for r in top] == [("Miembro_GDG_2", 2), ("Miembro_GDG_3", 1), ("Miembro_GDG_4", 1)]
 
 
 def test_features(spark, tmp_path):
@@ -83,8 +83,52 @@ def test_stream_equals_batch(spark, tmp_path, messages):
     assert streamed == batch and batch[0].message == "soy [NOMBRE_OCULTO] [NUMERO_OCULTO]"
 
 
-def test_spread(spark):
-    few = spark.range(10).coalesce(1)
-    assert readers.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(10).repartition(64)
-    assert readers.spread(many) is many
+
+def test_chats_keep_their_members_and_hide_their_names(spark, tmp_path):
+    for name, people in (("Chat con Ana Ruiz", ("Ana Ruiz", "Beto")), ("Chat con Eva Sol", ("Eva Sol", "Carla"))):
+        lines = [f"3/11/25, 20:0{i} - {p}: hola numero {i}" for i, p in enumerate(people * 2)]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    jobs.run_anonymize(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    jobs.run_report(spark, str(tmp_path / "out" / "messages"), str(tmp_path / "report"))
+    top = spark.read.parquet(str(tmp_path / "report" / "top_active_members")).collect()
+    assert len({(r.chat_id, r.sender) for r in top}) == 4 and {r["count"] for r in top} == {2}
+    profile = spark.read.parquet(str(tmp_path / "report" / "participation_profile"))
+    assert profile.count() == 4
+    for path in glob.glob(f"{tmp_path}/out/**/*", recursive=True):
+        assert not any(x in path for x in ("Ana", "Eva", "Chat"))
+    for r in spark.read.parquet(str(tmp_path / "out" / "messages")).collect():
+        assert not any(x in str(r) for x in ("Ana", "Eva", "Chat", "in/"))
+
+
+def test_export_without_headers(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("".join(f"3/11/25 20:05 line {i}\n" for i in range(20000)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        messages = jobs.run_anonymize(spark, str(tmp_path / "x.txt"), str(tmp_path / "out"))
+        assert messages.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert text_of(tmp_path / "out" / "text") == [f"3/11/25 20:05 line {i}" for i in range(20000)]
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    from tertulia.functions.detectors import model_detector
+
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import tempfile
+        tempfile.mkstemp(prefix=f"load-{os.getpid()}-", dir=folder)
+
+        def model(texts):
+            assert all(t.strip() for t in texts)
+            return [["Ana"] if "Ana" in t else [] for t in texts]
+        return model
+
+    found = spark.range(200).repartition(20).select(
+        F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.lit("soy Ana")).alias("t")).select(model_detector(load)(F.col("t")).alias("n"))
+    assert found.where("size(n) = 1").count() == 133
+    pids = [p.split("-")[-2] for p in glob.glob(f"{folder}/load-*")]
+    assert len(pids) == len(set(pids)) < 20

@@ -120,3 +120,14 @@ def test_detector_is_a_plain_expression(spark):
     rows = spark.createDataFrame([("x",)], "t string").select(R.redact_text(F.col("t")).alias("t"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
+
+
+@pytest.mark.parametrize("line, want", [
+    ("Ing. Juan Lasso - tema", "[NOMBRE_OCULTO] - tema"), ("Dra. Ana Losada - x", "[NOMBRE_OCULTO] - x"),
+    ("Lic. Eva de la Cruz - y", "[NOMBRE_OCULTO] - y"), ("Prof. Leo Lastra Ruiz - z", "[NOMBRE_OCULTO] - z"),
+    ("Dr. Luis de Los Rios - w", "[NOMBRE_OCULTO] - w"),
+])
+def test_speakers_whose_surname_starts_like_an_article(on_texts, line, want):
+    from tertulia.functions.redaction import redact_speaker_lines
+
+    assert on_texts(redact_speaker_lines, [line]) == [want]

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tertulia.fixed_values import WEEKDAYS_ES
 from tertulia.functions.temporal import parse_chat_timestamp
@@ -86,3 +87,10 @@ def test_calendar_and_real_timestamps(spark):
     assert (row.hour, row.day_idx, row.day_name) == (10, 0, "Lunes")
     span = temporal.date_range(df).first()
     assert span.first_message == span.last_message == dt.datetime(2025, 1, 6, 10)
+
+
+def test_groups_without_dates_show_zeros(spark, messages):
+    df = messages(("1/2/25, 10:00", "a", "x"), ("bad", "b", "y"))
+    found = temporal.messages_by_day(df, by=["sender"]).groupBy("sender").agg(F.sum("count").alias("n")).collect()
+    assert {(r.sender, r.n) for r in found} == {("a", 1), ("b", 0)}
+    assert temporal.messages_by_hour(df, by=["sender"], dense=True).count() == 48
