@@ -7,7 +7,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tertulia.functions.base import let
-from tertulia.sources.staging import shared_folder
+from tertulia.sources.staging import checkpointed
+
+__all__ = ["BLANKS", "checkpointed", "documents", "in_chunks", "text_of", "window_hashes", "words_of"]
 
 # White space of the word rule: blank and U+0009 to U+000D, nothing else.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -33,14 +35,6 @@ def window_hashes(words: Column, width: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder that ``spark.checkpoint.dir`` names; cuts lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
