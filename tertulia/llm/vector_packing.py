@@ -32,8 +32,9 @@ from tertulia.llm.common import in_chunks
 END = 2
 POOL_TOKENS = 1 << 20
 POOL_EXAMPLES = 4096
-CHUNK_CHARS = 1 << 22
-CACHE_WORDS = 600_000
+CHUNK_CHARS = 1 << 21
+CACHE_WORDS = 500_000
+SLICE_ROWS = 512
 NEVER = 1 << 60
 
 # A word of Latin letters with one end mark is the same tokens as the letters, then the mark.
@@ -284,7 +285,7 @@ def _packed(batches, path: str, limits: Limits, key_type: pa.DataType):
         rows, waiting = [], 0
         return out
 
-    for b in batches:
+    for b in (batch.slice(i, SLICE_ROWS) for batch in batches for i in range(0, batch.num_rows, SLICE_ROWS)):
         keys, texts, prompts = (b.column(i).to_pylist() for i in range(3))
         at = 0
         for chunk in in_chunks((p + t for p, t in zip(prompts, texts, strict=True)), CHUNK_CHARS):
@@ -293,7 +294,7 @@ def _packed(batches, path: str, limits: Limits, key_type: pa.DataType):
             frees = [len(x) for x in encode(prompts[own])] if any(prompts[own]) else [0] * len(chunk)
             heads = encode(prompts[own]) if any(frees) else [np.empty(0, np.uint32)] * len(chunk)
             for key, head, body, free in zip(keys[own], heads, encode(texts[own]), frees, strict=True):
-                ids = np.concatenate((head, body, np.array([END], np.uint32)))
+                ids = np.concatenate((head, body, np.array([END], np.uint32)))  # a copy: the chunk's tokens can go
                 held[number] = [key, ids, len(ids)]
                 pool.add(number, 0, len(ids), free)
                 number += 1
