@@ -34,24 +34,18 @@ def parse_chat_lines(lines: DataFrame, redact: Redactor | None = None) -> DataFr
     A header line holds a timestamp, a sender (the system sender when it names none) and
     the start of a message; any other line is text that continues a message.
     """
-    group = lambda i: F.regexp_extract("clean", P.HEADER, i)
     redact = redact or (lambda c: c)
+    # One pass of the expression: a header becomes its three groups, any other line stays as it is.
+    marked = F.regexp_replace("clean", P.HEADER, "$1\x01$2\x01$3")
+    groups = let(marked, lambda m: F.when(m != F.col("clean"), F.split(m, "\x01", 3)))
+    sender = let(F.col("groups")[1], lambda s: F.when(s == "", F.lit(SYSTEM_SENDER)).otherwise(strip(s)))
     return (
         sanitize_lines(lines)
-        .withColumn("timestamp", F.nullif(group(1), F.lit("")))
-        .withColumn("is_header", F.col("timestamp").isNotNull())
-        .withColumn(
-            "sender",
-            F.when(
-                F.col("is_header"),
-                let(
-                    group(2),
-                    lambda s: F.when(s == "", F.lit(SYSTEM_SENDER)).otherwise(strip(s)),
-                ),
-            ),
-        )
-        .withColumn("text", F.when(F.col("is_header"), group(3)).otherwise(F.col("clean")))
-        .withColumn("text", redact(F.col("text")))
+        .withColumn("groups", groups)
+        .withColumn("is_header", F.col("groups").isNotNull())
+        .withColumn("timestamp", F.col("groups")[0])
+        .withColumn("sender", F.when(F.col("is_header"), sender))
+        .withColumn("text", redact(F.when(F.col("is_header"), F.col("groups")[2]).otherwise(F.col("clean"))))
         # Keys without NULLs: no reader of these lines adds a filter of its own, so readers of
         # the same lines can share one shuffle.
         .select(
