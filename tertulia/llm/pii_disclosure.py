@@ -168,6 +168,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", rule: Disclosure = Dis
         return docs.sparkSession.createDataFrame([], schema)
     texts = docs.select(text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("h"))
     n_texts = max(2, texts.select("h").distinct().count())
+    texts = texts.dropDuplicates(["h"])  # n_term counts distinct texts, as n_texts does
     edge = r"^[\W\d_]+|[\W\d_]+$"
     terms = F.transform(words_of(F.lower("text")), lambda w: F.regexp_replace(w, f"(?U){edge}", ""))
     # only terms that are candidates matter; they are met before anything is shuffled when few enough to broadcast

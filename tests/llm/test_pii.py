@@ -99,3 +99,18 @@ def test_masking_overlaps(spark):
     df = documents_of(spark, [(1, "mail 1.2.3.4@x.yz, card 4111-1111-1111-1111 now")])
     assert P.sanitise(df).first().text == "mail [EMAIL], card [CARD] now"
     assert P.sanitise(df.limit(0)).count() == 0 and P.find(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_hide_disclosing_terms(spark):
+    """An entity and its term in three distinct texts, each copied, among texts without copies."""
+    rng = random.Random(9)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=30))) for i in range(200)]
+    for i in range(3):
+        a, b = " ".join(rng.choices(words, k=12)), " ".join(rng.choices(words, k=12))
+        rows += [(1000 + 100 * i + k, f"{a} Zorblax, write to z.o@rb.org now {b}") for k in range(40)]
+    terms = {(r.value, r.term): r for r in P.disclosing_terms(documents_of(spark, rows)).collect()}
+    r = terms["email:z.o@rb.org", "zorblax"]
+    assert (r.n_both, r.n_value, r.n_term) == (3, 3, 3) and abs(r.share - 1) < 1e-9
+    clean = [r.text for r in P.sanitise(documents_of(spark, rows)).where("doc_id >= 1000").collect()]
+    assert len(clean) == 120 and all("[TERM]" in t and "Zorblax" not in t for t in clean)
