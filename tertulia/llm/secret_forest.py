@@ -4,9 +4,11 @@ Candidates are runs of at least ``MIN_LENGTH`` letters, digits and ``+/_.-`` tha
 to upper case inside.  The forest sees a candidate's length, its composition and entropy, how usual its character
 transitions are in the corpus' own vocabulary, how much of it dictionary words cover, the path of its document and the
 neighbouring words.  It is trained on labelled findings: the caller's, or those that ``labelled`` decides by shape and
-context alone; at most ``MAX_TRAIN`` of them, those with the smallest hashes.
+context alone; at most ``MAX_TRAIN`` distinct ones, those with the smallest hashes, half of them of each label where there are
+as many.  Equal findings count once.
 
-Vocabulary and transitions count every word of every document.  The transition table has at most 29 x 29
+Transitions count every word of every document; the dictionary holds the words of at least ``DICTIONARY_SHARE`` of the
+distinct texts, and of two.  The transition table has at most 29 x 29
 entries and is the only thing sent through the driver besides the forest.  No Python runs on the executors.
 
 Defined results: NULL text has no candidate, NULL path counts as empty; repeated rows give their findings again; without
@@ -27,7 +29,7 @@ from tertulia.sources.staging import Staged
 
 MIN_LENGTH = 12
 MAX_TRAIN = 20_000
-DICTIONARY_TEXTS = 5  # texts a word stands in to be in the dictionary
+DICTIONARY_SHARE = 0.001  # of the distinct texts, two at least: texts a word stands in to be in the dictionary
 TREES, DEPTH, SEED = 40, 6, 7
 RUN = r"[A-Za-z0-9+/_.-]{12,}+"
 MIXED = r"[0-9]|[a-z][A-Z]"
@@ -59,10 +61,14 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): words of three letters or more, lower case, and the number of texts that hold them."""
-    words = F.split(F.lower(text_of(text)), r"[^\p{L}]+")
-    return docs.select(F.explode(F.array_distinct(words)).alias("word")).where(
-        (F.length("word") >= 3) & (F.length("word") <= 40)).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n, distinct_n): words of three letters or more, lower case, and the number of texts and of distinct texts
+    that hold them; the empty word stands for every text."""
+    texts = docs.select(text_of(text).alias("text")).groupBy(F.xxhash64("text").alias("h")).agg(
+        F.first("text").alias("text"), F.count("*").alias("copies"))
+    words = F.array_union(F.array(F.lit("")), F.split(F.lower("text"), r"[^\p{L}]+"))
+    return texts.select("copies", F.explode(words).alias("word")).where(
+        (F.col("word") == "") | (F.length("word") >= 3) & (F.length("word") <= 40)).groupBy("word").agg(
+        F.sum("copies").alias("n"), F.count("*").alias("distinct_n"))
 
 
 def _classes(text: Column) -> Column:
@@ -76,7 +82,7 @@ def _pairs(text: Column) -> Column:
 
 def transition_table(words: DataFrame) -> dict[str, float]:
     """Log probability of the second of two signs after the first, over the vocabulary; at most 29 x 29 entries."""
-    pairs = words.select("n", F.explode(_pairs(F.concat(_classes(F.col("word")), F.lit("*")))).alias("pair"))
+    pairs = words.where("word <> ''").select("n", F.explode(_pairs(F.concat(_classes(F.col("word")), F.lit("*")))).alias("pair"))
     counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     first = F.substring("pair", 1, 1)
     total = counts.groupBy(first.alias("first")).agg(F.sum("n").alias("all"))
@@ -111,7 +117,8 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     # letters of the candidate inside dictionary words; distinct pieces only meet the dictionary
     pieces = F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) >= 3)
     flat = base.select("candidate").distinct().select("candidate", F.explode(pieces).alias("word"))
-    known = words.where(F.col("n") >= DICTIONARY_TEXTS).select("word")
+    texts = words.where("word = ''").agg(F.max("distinct_n")).first()[0] or 0
+    known = words.where((F.col("distinct_n") >= max(2, DICTIONARY_SHARE * texts)) & (F.col("word") != "")).select("word")
     covered = flat.join(known, "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("in_words"))
     return base.join(covered, "candidate", "left").withColumn(
         "covered", F.coalesce("in_words", F.lit(0)) / n).drop("in_words")
@@ -135,10 +142,18 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 def train(examples: DataFrame, max_train: int = MAX_TRAIN) -> RandomForestClassificationModel | None:
     """A forest from examples with features and ``label``; None unless both labels occur."""
-    order = F.xxhash64("candidate", "word", "before", "before2", "after")
-    part = checkpointed(examples.select(*FEATURES, "label", order.alias("h")).orderBy("h").limit(max_train))
-    if part.select("label").distinct().count() < 2:
+    content = ["candidate", "word", "before", "before2", "after"]
+    order = F.xxhash64(*content)
+    findings = checkpointed(examples.select(*content, *FEATURES, "label").distinct().select(*FEATURES, "label", order.alias("h")))
+    sizes = {r.label: r["count"] for r in findings.groupBy("label").count().collect()}
+    part = None
+    for label, size in sorted(sizes.items()):
+        share = max(max_train // 2, max_train - (sum(sizes.values()) - size))
+        rows = findings.where(F.col("label") == label).orderBy("h", *FEATURES).limit(share)
+        part = rows if part is None else part.unionByName(rows)
+    if len(sizes) < 2:
         return None
+    part = checkpointed(part)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
     return forest.fit(_assembled(part))
 

@@ -65,3 +65,29 @@ def test_edges(spark):
 def test_no_python_on_the_executors(spark, sf_dir):
     plan = QUERIES["op7_secret_forest"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_equal_findings_train_once(spark):
+    """One finding in many rows must not fill the sample, whichever label it has."""
+    rows = [(i, f'x token = "a1b2c3d4e5f6a7b8c9d{i:03d}" end') for i in range(20)]
+    rows += [(100 + i, f"on 2024-01-02-{i:04d} it was") for i in range(20)]
+    df = documents_of(spark, rows)
+    found = S.labelled(S.with_features(S.candidates(df), S.vocabulary(df))).cache()
+    assert {r.label for r in found.select("label").distinct().collect()} == {0.0, 1.0} and found.count() == 40
+    least = found.orderBy(F.xxhash64("candidate", "word", "before", "before2", "after")).limit(1)
+    copied = found.unionByName(least.crossJoin(spark.range(50)).drop("id"))
+    model = S.train(copied, 20)
+    assert model is not None
+    assert all(r.is_secret == (r.label == 1.0) for r in S.scored(found, model).collect())
+    found.unpersist()
+
+
+def test_dictionary_counts_distinct_texts(spark):
+    copies = [(10 + i, "quuxword stands here") for i in range(9)]
+    df = documents_of(spark, [(1, "a thehouse-quuxword99 b"), (2, "thehouse is"), (3, "thehouse was"), *copies])
+    words = {r.word: (r.n, r.distinct_n) for r in S.vocabulary(df).collect()}
+    assert words["thehouse"] == (3, 3) and words["quuxword"] == (10, 2) and words["stands"] == (9, 1) and words[""] == (12, 4)
+    # three of some 3000 distinct texts are too few, however often they are copied
+    few = [(1, "a copiedword-copiedword99 b"), *[(10 + i, f"copiedword {'ab'[i % 2]}") for i in range(6)]]
+    many = documents_of(spark, few + [(100 + i, f"text {i}") for i in range(3000)])
+    assert S.with_features(S.candidates(many), S.vocabulary(many)).first().covered == 0.0
