@@ -97,10 +97,10 @@ def _ranked_adjectives(counted: DataFrame, top_n: int | None, by: Sequence[str])
 # --- word cloud -----------------------------------------------------------------------
 
 
-def _cloud_words(tokenized: DataFrame, min_length: int) -> DataFrame:
+def _cloud_words(tokenized: DataFrame, min_length: int, by: Sequence[str] = ()) -> DataFrame:
     """Words a cloud looks at: numbers and shorter words never take part in a pair."""
     return tokenized.select(
-        F.filter("words", lambda w: (F.length(w) >= min_length) & ~is_number(w)).alias("words")
+        *by, F.filter("words", lambda w: (F.length(w) >= min_length) & ~is_number(w)).alias("words")
     )
 
 
@@ -123,39 +123,48 @@ def _merge_plurals(counted: DataFrame, *others: str) -> DataFrame:
 
 
 def word_and_pair_counts(
-    tokenized: DataFrame, min_length: int = 1, stopwords: Sequence[str] = CLOUD_STOP_WORDS
+    tokenized: DataFrame, min_length: int = 1, stopwords: Sequence[str] = CLOUD_STOP_WORDS, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Counts of words by the word that follows in the message: ``(word, next_word, n)``.
+    """Counts of words by the word that follows in the message: ``(*by, word, next_word, n)``.
 
     ``next_word`` is NULL at the end of a message and before a stop word.  The word list is
     zipped with itself, shifted by one, so no window is needed; single words and pairs both
     come from this one pass and shuffle.  What follows joins the table with itself several
     times: stage it first (``Staged``), or the text is read as often.
     """
-    words = _cloud_words(tokenized, min_length)
+    words = _cloud_words(tokenized, min_length, by)
     shifted = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
     steps = F.arrays_zip(F.col("words").alias("word"), shifted.alias("next_word"))
-    seen = exploded(words, [], steps, "step").select("step.word", "step.next_word")
+    seen = exploded(words, by, steps, "step").select(*by, "step.word", "step.next_word")
     follows = F.when(~F.col("next_word").isin(*stopwords), F.col("next_word"))
     return (
         seen.where(~F.col("word").isin(*stopwords))
-        .groupBy("word", follows.alias("next_word"))
+        .groupBy(*by, "word", follows.alias("next_word"))
         .agg(F.count("*").alias("n"))
     )
 
 
-def unigrams(counts: DataFrame) -> DataFrame:
-    """(word, stem, n): the vocabulary of ``word_and_pair_counts``, plurals with their singular."""
-    return _merge_plurals(counts.groupBy("word").agg(F.sum("n").alias("n")))
+def unigrams(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, word, stem, n): the vocabulary of ``word_and_pair_counts``, plurals with their singular."""
+    return _merge_plurals(counts.groupBy(*by, "word").agg(F.sum("n").alias("n")), *by)
 
 
 _vocabulary = unigrams
 
 
-def _pair_counts(counts: DataFrame) -> DataFrame:
+def _within(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Join on ``on`` inside each group; NULL groups match each other."""
+    if not by:
+        return left.join(right, list(on))
+    other = right.withColumnsRenamed({c: f"__{c}" for c in [*by, *on]})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col(c) == F.col(f"__{c}") for c in on]
+    return left.join(other, same).drop(*[f"__{c}" for c in [*by, *on]])
+
+
+def _pair_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     pairs = counts.where(F.col("next_word").isNotNull())
-    renamed = pairs.select(F.col("word").alias("first_word"), F.col("next_word").alias("word"), "n")
-    return _merge_plurals(renamed, "first_word").drop("stem")
+    renamed = pairs.select(*by, F.col("word").alias("first_word"), F.col("next_word").alias("word"), "n")
+    return _merge_plurals(renamed, *by, "first_word").drop("stem")
 
 
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -176,60 +185,66 @@ def collocation_score(pair: Column, first: Column, second: Column, total: Column
     return F.when((total <= first) | (total <= second), F.lit(0.0)).otherwise(-2 * ratio)
 
 
-def _scored_pairs(counts: DataFrame, single: DataFrame) -> DataFrame:
+def _scored_pairs(counts: DataFrame, single: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Pairs with the counts of both words (plural forms counted with their singular)."""
-    total = single.select(F.sum("n").cast("double")).scalar()
-    first = single.select(F.col("stem").alias("first_stem"), F.col("word").alias("first_form"), F.col("n").alias("n_first"))
-    second = single.select(F.col("stem").alias("second_stem"), F.col("word").alias("second_form"), F.col("n").alias("n_second"))
-    joined = (
-        _pair_counts(counts)
+    first = single.select(*by, F.col("stem").alias("first_stem"), F.col("word").alias("first_form"), F.col("n").alias("n_first"))
+    second = single.select(*by, F.col("stem").alias("second_stem"), F.col("word").alias("second_form"), F.col("n").alias("n_second"))
+    pairs = (
+        _pair_counts(counts, by)
         .withColumn("first_stem", _singular(F.col("first_word")))
         .withColumn("second_stem", _singular(F.col("word")))
-        .join(first, "first_stem")
-        .join(second, "second_stem")
     )
+    joined = _within(_within(pairs, first, ["first_stem"], by), second, ["second_stem"], by)
+    if by:
+        joined = _within(joined, single.groupBy(*by).agg(F.sum("n").cast("double").alias("total")), [], by)
+        total = F.col("total")
+    else:
+        total = single.select(F.sum("n").cast("double")).scalar()
     double = lambda c: F.col(c).cast("double")
     return joined.select(
-        F.concat_ws(" ", "first_word", "word").alias("bigram"),
+        *by, F.concat_ws(" ", "first_word", "word").alias("bigram"),
         "first_form", "second_form", "n", "n_first", "n_second",
         collocation_score(double("n"), double("n_first"), double("n_second"), total).alias("score"),
     )
 
 
 def bigram_collocations(
-    counts: DataFrame, top_n: int | None = None, min_score: float = 30.0, unigrams: DataFrame | None = None
+    counts: DataFrame, top_n: int | None = None, min_score: float = 30.0, unigrams: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Neighbouring word pairs that occur together more often than chance explains.
 
-    ``counts`` comes from ``word_and_pair_counts``, ``unigrams`` from ``unigrams(counts)``, staged when several results share it.
+    ``counts`` comes from ``word_and_pair_counts``, ``unigrams`` from ``unigrams(counts)``, staged when several results share it;
+    both with the same ``by``.
     """
-    pairs = _scored_pairs(counts, _vocabulary(counts) if unigrams is None else unigrams)
-    kept = pairs.where(F.col("score") > min_score).select("bigram", F.col("n").alias("count"), "score")
-    return top_rows(kept, top_n, [F.desc("score"), F.asc("bigram")])
+    pairs = _scored_pairs(counts, _vocabulary(counts, by) if unigrams is None else unigrams, by)
+    kept = pairs.where(F.col("score") > min_score).select(*by, "bigram", F.col("n").alias("count"), "score")
+    return top_rows(kept, top_n, [F.desc("score"), F.asc("bigram")], by)
 
 
 def term_weights(
-    counts: DataFrame, max_terms: int = 200, min_score: float = 30.0, unigrams: DataFrame | None = None
+    counts: DataFrame, max_terms: int = 200, min_score: float = 30.0, unigrams: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Word-cloud weights: words and collocations by count, relative to the largest.
+    """Word-cloud weights: words and collocations by count, relative to the largest; ``max_terms`` per group.
 
     A collocation's count is taken off both of its words.
     """
-    single = _vocabulary(counts) if unigrams is None else unigrams
-    collocations = _scored_pairs(counts, single).where(F.col("score") > min_score)
+    single = _vocabulary(counts, by) if unigrams is None else unigrams
+    collocations = _scored_pairs(counts, single, by).where(F.col("score") > min_score)
     changes = F.array(
         F.struct(F.col("bigram").alias("term"), F.col("n").alias("n")),
         F.struct(F.col("first_form").alias("term"), (-F.col("n")).alias("n")),
         F.struct(F.col("second_form").alias("term"), (-F.col("n")).alias("n")),
     )
     counts = (
-        single.select(F.col("word").alias("term"), "n")
-        .unionByName(collocations.select(F.inline(changes)))
-        .groupBy("term")
+        single.select(*by, F.col("word").alias("term"), "n")
+        .unionByName(collocations.select(*by, F.inline(changes)))
+        .groupBy(*by, "term")
         .agg(F.sum("n").alias("count"))
         .where(F.col("count") > 0)
     )
-    top = top_rows(counts, max_terms, [F.desc("count"), F.asc("term")])
-    # At most max_terms rows reach this window.
-    largest = F.max("count").over(Window.partitionBy(F.lit(0)))
-    return top.select("term", "count", (F.col("count") / largest).alias("weight"))
+    top = top_rows(counts, max_terms, [F.desc("count"), F.asc("term")], by)
+    # At most max_terms rows of each group reach this window.
+    largest = F.max("count").over(Window.partitionBy(*by or [F.lit(0)]))
+    return top.select(*by, "term", "count", (F.col("count") / largest).alias("weight"))

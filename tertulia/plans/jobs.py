@@ -105,10 +105,10 @@ def run_report(
     }
     for name, df in texts.items():
         df.write.mode("overwrite").parquet(f"{target}/{name}")
-    with Staged(content.word_and_pair_counts(words), "counts") as counts, Staged(content.unigrams(counts), "unigrams") as single:
+    with Staged(content.word_and_pair_counts(words, by=by), "counts") as counts, Staged(content.unigrams(counts, by), "unigrams") as single:
         clouds = {
-            "term_weights": content.term_weights(counts, unigrams=single),
-            "bigram_collocations": content.bigram_collocations(counts, unigrams=single),
+            "term_weights": content.term_weights(counts, unigrams=single, by=by),
+            "bigram_collocations": content.bigram_collocations(counts, unigrams=single, by=by),
         }
         for name, df in clouds.items():
             df.write.mode("overwrite").parquet(f"{target}/{name}")

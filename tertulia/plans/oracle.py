@@ -261,6 +261,30 @@ c_terms AS (
   GROUP BY term HAVING sum(n) > 0)"""
 
 
+def _clouds_by_chat() -> str:
+    """The statement of ``_clouds`` with every count, total and join inside one chat."""
+    sql = _clouds()
+    for old, new in (
+        ("SELECT msg_id, ", "SELECT chat_id, "), ("SELECT list_filter", "SELECT chat_id, list_filter"),
+        ("SELECT word, count(*) AS n FROM (SELECT unnest", "SELECT chat_id, word, count(*) AS n FROM (SELECT chat_id, unnest"),
+        ("GROUP BY word)", "GROUP BY chat_id, word)"), ("c_stems AS (SELECT", "c_stems AS (SELECT chat_id,"),
+        ("SELECT stem, CASE", "SELECT chat_id, stem, CASE"), ("GROUP BY stem)", "GROUP BY chat_id, stem)"),
+        ("SELECT a, b, count", "SELECT chat_id, a, b, count"), ("SELECT words[i]", "SELECT chat_id, words[i]"),
+        ("SELECT words, unnest", "SELECT chat_id, words, unnest"), ("GROUP BY a, b)", "GROUP BY chat_id, a, b)"),
+        ("c_pair_stems AS (SELECT", "c_pair_stems AS (SELECT chat_id,"), ("SELECT a, CASE", "SELECT chat_id, a, CASE"),
+        ("GROUP BY a, stem)", "GROUP BY chat_id, a, stem)"), ("SELECT p.a ||", "SELECT p.chat_id, p.a ||"),
+        ("(SELECT sum(n) FROM c_uni)", "(SELECT sum(c.n) FROM c_uni c WHERE c.chat_id = p.chat_id)"),
+        ("JOIN c_uni u ON", "JOIN c_uni u ON u.chat_id = p.chat_id AND"),
+        ("JOIN c_uni v ON", "JOIN c_uni v ON v.chat_id = p.chat_id AND"),
+        ("SELECT term, CAST", "SELECT chat_id, term, CAST"), ("SELECT word AS term", "SELECT chat_id, word AS term"),
+        ("SELECT bigram, n FROM", "SELECT chat_id, bigram, n FROM"), ("SELECT w1,", "SELECT chat_id, w1,"),
+        ("SELECT w2,", "SELECT chat_id, w2,"), ("GROUP BY term HAVING", "GROUP BY chat_id, term HAVING"),
+    ):
+        assert sql.count(old) == 1, old
+        sql = sql.replace(old, new)
+    return sql
+
+
 def _masked_query(expression: str) -> str:
     return f"WITH {fx.V_DECORATED} SELECT msg_id, {expression} AS message FROM v_decorated"
 
@@ -437,6 +461,9 @@ v_safe AS (SELECT chat_id, seq, is_header, timestamp, sender, message AS text FR
                               " ORDER BY count DESC, dominio LIMIT 10",
         "term_weights": f"WITH {_clouds()}, top AS (SELECT * FROM c_terms ORDER BY count DESC, term LIMIT 200)"
                         " SELECT term, count, count / (SELECT max(count) FROM top) AS weight FROM top",
+        "term_weights_by_chat": f"WITH {_clouds_by_chat()}, top AS (SELECT * FROM c_terms"
+                                " QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY count DESC, term) <= 200)"
+                                " SELECT chat_id, term, count, count / max(count) OVER (PARTITION BY chat_id) AS weight FROM top",
         "bigram_collocations": f"WITH {_clouds()} SELECT bigram, CAST(n AS BIGINT) AS count, round(score, 4) AS score FROM c_kept",
         "top_words": f"WITH {_tokens(fx.V_MESSAGES, 'v_messages', 'msg_id')}, t AS (SELECT unnest(words) AS token FROM v_words)"
                      " SELECT token, count(*) AS count FROM t GROUP BY token ORDER BY count DESC, token LIMIT 10",

@@ -47,12 +47,12 @@ def _on_words(operator, view=fx.v_messages, **options) -> Query:
     return lambda spark, d: operator(tokens.tokenize(view(spark, d)), **options)
 
 
-def _on_counts(operator) -> Query:
+def _on_counts(operator, by=()) -> Query:
     """The counts and the vocabulary are checkpointed, so that Spark deletes them with the result's DataFrame."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = tokens.tokenize(fx.v_messages(spark, sf_dir))
-        counts = checkpointed(content.word_and_pair_counts(words))
-        return operator(counts, unigrams=checkpointed(content.unigrams(counts)))
+        counts = checkpointed(content.word_and_pair_counts(words, by=by))
+        return operator(counts, unigrams=checkpointed(content.unigrams(counts, by)), by=by)
     return run
 
 
@@ -259,6 +259,7 @@ QUERIES: dict[str, Query] = {
     "url_domain_strict": _url_domain(True),
     "top_shared_domains": lambda s, d: content.top_shared_domains(fx.v_decorated(s, d)),
     "term_weights": _on_counts(content.term_weights),
+    "term_weights_by_chat": _on_counts(content.term_weights, by=["chat_id"]),
     "bigram_collocations": lambda s, d: _on_counts(content.bigram_collocations)(s, d).withColumn(
         "score", F.round("score", 4)),
     "top_words": _on_words(tokens.top_words),

@@ -94,3 +94,20 @@ def test_repeated_pair(messages):
     words = tokens.tokenize(messages(*[("t", "a", "bip bip")] * 30, *[("t", "a", "mar")] * 30))
     rows = content.term_weights(content.word_and_pair_counts(words)).collect()
     assert {r.term: r["count"] for r in rows} == {"mar": 30, "bip bip": 30}
+
+
+def test_clouds_by_chat(spark):
+    """A small chat keeps its terms, a NULL chat too; each group's scores are those of the group alone."""
+    texts = {"big": ["vibe engineering mola"] * 300 + ["gas"], "small": ["sol luna"] * 20 + ["mar"] * 20, None: ["bip bop"] * 20 + ["mar"] * 20}
+    rows = [(c, "t", "a", x) for c, xs in texts.items() for x in xs]
+    words = tokens.tokenize(spark.createDataFrame(rows, "chat_id string, timestamp string, sender string, message string")).localCheckpoint()
+    counts = content.word_and_pair_counts(words, by=["chat_id"]).localCheckpoint()
+    found = content.term_weights(counts, max_terms=2, by=["chat_id"]).collect()
+    pairs = content.bigram_collocations(counts, by=["chat_id"]).collect()
+    assert {r.chat_id for r in found} == set(texts)
+    for chat in texts:
+        alone = content.word_and_pair_counts(words.where(words.chat_id.eqNullSafe(chat))).localCheckpoint()
+        want = [tuple(r) for r in content.term_weights(alone, max_terms=2).collect()]
+        assert sorted(tuple(r)[1:] for r in found if r.chat_id == chat) == sorted(want)
+        own = {r.bigram: (r["count"], pytest.approx(r.score)) for r in content.bigram_collocations(alone).collect()}
+        assert {r.bigram: (r["count"], r.score) for r in pairs if r.chat_id == chat} == own

@@ -101,6 +101,15 @@ def test_chats_keep_their_members_and_hide_their_names(spark, tmp_path):
         assert not any(x in str(r) for x in ("Ana", "Eva", "Chat", "in/"))
 
 
+def test_report_keeps_word_clouds_per_chat(spark, tmp_path, messages):
+    rows = messages(*[("t", "a", "sol")] * 3).unionByName(messages(("t", "b", "luna")).selectExpr("'d' AS chat_id", "* EXCEPT (chat_id)"))
+    rows.write.parquet(str(tmp_path / "messages"))
+    jobs.run_report(spark, str(tmp_path / "messages"), str(tmp_path / "report"))
+    terms = spark.read.parquet(str(tmp_path / "report" / "term_weights")).collect()
+    assert {(r.chat_id, r.term, r.weight) for r in terms} == {("c", "sol", 1.0), ("d", "luna", 1.0)}
+    assert "chat_id" in spark.read.parquet(str(tmp_path / "report" / "bigram_collocations")).columns
+
+
 def test_export_without_headers(spark, tmp_path):
     (tmp_path / "x.txt").write_text("".join(f"3/11/25 20:05 line {i}\n" for i in range(20000)), encoding="utf-8")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
