@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.llm import (
-    chat_trees, entropy_mixing, external_shuffle, line_quality, pii_disclosure, scaled_sketch, secret_forest, simhash_pivots,
-    suffix_dedup, vector_packing,
+    chat_trees, entropy_mixing, external_shuffle, line_quality, periodic_runs, pii_disclosure, scaled_sketch, secret_forest,
+    simhash_pivots, suffix_dedup, vector_packing,
 )
 from tertulia.llm.common import documents, text_of
 
@@ -106,6 +106,12 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them with a repeated tail, and what collapsing them leaves."""
+    found = periodic_runs.find_runs(documents(spark, sf_dir).select("doc_id", "text"), change=periodic_runs.repeated_tail)
+    return periodic_runs.digests(found)
+
+
 QUERIES = {
     "op1_chat_trees": op1_chat_trees,
     "op2_line_quality": op2_line_quality,
@@ -117,6 +123,7 @@ QUERIES = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_external_shuffle": op10_external_shuffle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _ESCAPED = r"regexp_replace({}, '<(!*)\|', '<!\1|', 'g')"
