@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.llm import (
-    chat_trees, entropy_mixing, external_shuffle, line_quality, periodic_runs, pii_disclosure, scaled_sketch, secret_forest,
-    simhash_pivots, suffix_dedup, vector_packing,
+    chat_trees, entropy_mixing, external_shuffle, line_quality, merkle_manifest, periodic_runs, pii_disclosure, scaled_sketch,
+    secret_forest, simhash_pivots, suffix_dedup, vector_packing,
 )
 from tertulia.llm.common import documents, text_of
 
@@ -106,6 +106,22 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof, and whether a copy tampered with is found out."""
+    docs = documents(spark, sf_dir)
+    fields = [F.col(c) for c in merkle_manifest.FIELDS]
+    bare = [F.replace(c, F.lit("\n"), F.lit("")) if name == "text" else c for name, c in zip(merkle_manifest.FIELDS, fields, strict=True)]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    leaves = docs.select(
+        "doc_id", "source", merkle_manifest.leaf_hash(fields).alias("leaf"),
+        F.when(tampered & F.contains("text", F.lit("\n")), merkle_manifest.leaf_hash(bare)).alias("changed"))
+    rows = merkle_manifest.manifest(leaves).withColumn(
+        "folded_root", merkle_manifest.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle_manifest.proof_hash(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, a tenth of them with a repeated tail, and what collapsing them leaves."""
     found = periodic_runs.find_runs(documents(spark, sf_dir).select("doc_id", "text"), change=periodic_runs.repeated_tail)
@@ -123,9 +139,25 @@ QUERIES = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_external_shuffle": op10_external_shuffle,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
+
+def _told(x: str) -> str:
+    """A field as it is hashed."""
+    return f"coalesce(CAST(octet_length(encode(CAST({x} AS VARCHAR))) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+def _crc32(x: str) -> str:
+    """CRC-32 of an ASCII text, which DuckDB has no function for."""
+    codes = f"[CAST(ascii(b) AS BIGINT) FOR b IN string_split({x}, '')]"
+    shifted = "xor(c // 2, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce(list_prepend(xor(crc, b), [CAST(i AS BIGINT) FOR i IN range(8)]), lambda c, i: {shifted})"
+    whole = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda crc, b: {byte})"
+    return f"xor({whole}, 4294967295)"
+
+
 _ESCAPED = r"regexp_replace({}, '<(!*)\|', '<!\1|', 'g')"
 
 ORACLE = {
@@ -182,4 +214,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed, n_bad_lines, lost_chars,
        NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND lost_chars * 100 <= word_chars * 30 AS kept
 FROM base""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE rows AS (
+    SELECT doc_id, source,
+           {_told("doc_id")} || {_told("source")} || {_told("lang")} || {_told("n_chars")} AS head, text,
+           doc_id IS NOT NULL AND {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 AS tampered
+    FROM documents
+), leaves AS (
+    SELECT doc_id, source, sha256(head || {_told("text")}) AS leaf,
+           CASE WHEN tampered THEN sha256(head || {_told("replace(text, chr(10), '')")}) ELSE sha256(head || {_told("text")}) END AS changed
+    FROM rows
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM leaves
+), nodes AS (
+    SELECT source, 0 AS level, CAST(idx AS BIGINT) AS idx, CAST(n AS BIGINT) AS n, leaf AS h FROM placed
+    UNION ALL
+    SELECT source, level + 1, idx // 3, CAST(any_value((n + 2) // 3) AS BIGINT), sha256(string_agg(h, '' ORDER BY idx))
+    FROM nodes WHERE n > 1 GROUP BY source, level, idx // 3
+), subroots AS (
+    SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+    FROM nodes WHERE n = 1
+), tops AS (
+    SELECT 0 AS level, CAST(idx AS BIGINT) AS idx, CAST(n AS BIGINT) AS n, subroot AS h FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 3, CAST(any_value((n + 2) // 3) AS BIGINT), sha256(string_agg(h, '' ORDER BY idx))
+    FROM tops WHERE n > 1 GROUP BY level, idx // 3
+), runs AS (
+    SELECT source, level, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM nodes WHERE n > 1 GROUP BY ALL
+), top_runs AS (
+    SELECT level, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM tops WHERE n > 1 GROUP BY ALL
+), heights AS (
+    SELECT source, CAST(max(level) AS INTEGER) AS height FROM nodes GROUP BY source
+), climbs AS (
+    SELECT p.source, p.idx, unnest(range(h.height)) AS level
+    FROM placed p JOIN heights h ON h.source IS NOT DISTINCT FROM p.source
+), own AS (
+    SELECT c.source, c.idx, list(array_to_string(list_slice(r.hs, 1, spot - 1), '') || '|'
+           || array_to_string(list_slice(r.hs, spot + 1, 3), '') ORDER BY c.level) AS path
+    FROM (SELECT *, (idx // CAST(pow(3, level) AS BIGINT)) % 3 + 1 AS spot FROM climbs) c
+    JOIN runs r ON r.source IS NOT DISTINCT FROM c.source AND r.level = c.level AND r.run = c.idx // CAST(pow(3, c.level + 1) AS BIGINT)
+    GROUP BY c.source, c.idx
+), above AS (
+    SELECT s.source, list(array_to_string(list_slice(r.hs, 1, spot - 1), '') || '|'
+           || array_to_string(list_slice(r.hs, spot + 1, 3), '') ORDER BY s.level) AS path
+    FROM (SELECT *, (idx // CAST(pow(3, level) AS BIGINT)) % 3 + 1 AS spot
+          FROM (SELECT source, idx, unnest(range(CAST((SELECT max(level) FROM tops) AS INTEGER))) AS level FROM subroots)) s
+    JOIN top_runs r ON r.level = s.level AND r.run = s.idx // CAST(pow(3, s.level + 1) AS BIGINT)
+    GROUP BY s.source
+), paths AS (
+    SELECT p.doc_id, p.leaf, p.changed, s.subroot, (SELECT h FROM tops WHERE n = 1) AS root,
+           list_concat(coalesce(o.path, []), coalesce(a.path, [])) AS path
+    FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
+    LEFT JOIN own o ON o.source IS NOT DISTINCT FROM p.source AND o.idx = p.idx
+    LEFT JOIN above a ON a.source IS NOT DISTINCT FROM p.source
+), checked AS (
+    SELECT *, list_reduce(list_prepend(changed, path), lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2))) AS folded_root
+    FROM paths
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM checked""",
 }
