@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.llm import (
-    chat_trees, entropy_mixing, external_shuffle, line_quality, merkle_manifest, periodic_runs, pii_disclosure, scaled_sketch,
-    secret_forest, simhash_pivots, suffix_dedup, vector_packing,
+    chat_trees, entropy_mixing, external_shuffle, html_extraction, line_quality, merkle_manifest, periodic_runs, pii_disclosure,
+    scaled_sketch, secret_forest, simhash_pivots, suffix_dedup, vector_packing,
 )
 from tertulia.llm.common import documents, text_of
 
@@ -106,6 +106,12 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_extraction.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, subroot, root and proof, and whether a copy tampered with is found out."""
     docs = documents(spark, sf_dir)
@@ -139,6 +145,7 @@ QUERIES = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_external_shuffle": op10_external_shuffle,
+    "op11_html_extraction": op11_html_extraction,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
