@@ -123,6 +123,62 @@ def assemble_messages(parsed: DataFrame) -> DataFrame:
     return inner.unionByName(edges)
 
 
+def message_pieces(parsed: DataFrame, max_chars: int = 1 << 20) -> DataFrame:
+    """Messages of any length as ordered pieces: ``chat_id, msg_idx, at, timestamp, sender, text``.
+
+    A piece is a run of whole lines of one message, at most ``max_chars`` characters together (a single longer line is a
+    piece of its own).  ``at`` is where it starts in the message, in characters; the pieces by ``at``, joined by
+    line breaks, are the message.  Timestamp and sender stand with the first piece (``at`` 0) and are NULL behind it.
+
+    No row and no group grows with a message.  A line's place in its message is its place since the block's last header, or
+    for lines before the first header of their block what earlier blocks carry over: a scan over one row per block
+    of the characters since the last header.  Only pieces that a block's edge cuts are shuffled a second time.
+    """
+    if max_chars < 1:
+        raise ValueError("max_chars must be positive")
+    so_far = Window.partitionBy(*BLOCK).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def placed(lines: DataFrame, *more: str) -> DataFrame:
+        sized = lines.select(*BLOCK, "seq", "is_header", *more, (F.length("text") + F.when(F.col("is_header"), 0).otherwise(1)).cast("long").alias("n"))
+        return (
+            sized.withColumn("local_idx", F.count_if("is_header").over(so_far)).withColumn("upto", F.sum("n").over(so_far))
+            .withColumn("since", F.coalesce(F.max(F.when(F.col("is_header"), F.col("upto") - F.col("n"))).over(so_far), F.lit(0).cast("long")))
+        )
+
+    per_block = placed(parsed).groupBy(*BLOCK).agg(
+        F.count_if("is_header").alias("headers"), (F.max("upto") - F.max("since")).alias("open"))
+    blocks = running_offsets(running_offsets(per_block, ["chat_id"], ["part", "block"], "headers", "before"), ["chat_id"], ["part", "block"], "open", "total")
+    # What is open at a block's start: all since the last block with a header, that block's own rest included.
+    earlier = Window.partitionBy("chat_id").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.coalesce(F.max(F.when(F.col("headers") > 0, F.col("total"))).over(earlier), F.lit(0).cast("long"))
+    blocks = blocks.withColumn("carried", F.col("total") - last).drop("total", "open")
+    missing = F.raise_error(F.lit("blocks of the line scan changed between two reads")).cast("long")
+    start = F.col("upto") - F.col("n") - F.col("since") + F.when(F.col("local_idx") == 0, F.col("carried")).otherwise(0)
+    bucket = lambda at: F.floor(at / max_chars)
+    lines = (
+        placed(parsed, "timestamp", "sender", "text").join(blocks, BLOCK, "left")
+        .withColumn("msg_idx", F.when(F.col("headers").isNull() | (F.col("local_idx") > F.col("headers")), missing)
+                    .otherwise(F.col("before") + F.col("local_idx")))
+        .where(F.col("msg_idx") > 0).withColumn("at", start)
+        # A line that crosses a multiple of the limit stands alone; between two multiples lines share a piece.
+        .withColumn("piece", bucket(F.col("at")) + bucket(F.col("at") + F.greatest(F.col("n"), F.lit(1)) - 1))
+    )
+    told = [F.min("at").alias("at"), F.max("timestamp").alias("timestamp"), F.max("sender").alias("sender")]
+    pieces = (
+        lines.groupBy(*BLOCK, "local_idx", "headers", "msg_idx", "piece")
+        .agg(*told, F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("lines"))
+        .withColumn("text", F.array_join(F.col("lines.text"), "\n"))
+    )
+    at_edge = (F.col("local_idx") == 0) | (F.col("local_idx") == F.col("headers"))
+    fields = ["chat_id", "msg_idx", "at", "timestamp", "sender", "text"]
+    edges = (
+        pieces.where(at_edge).groupBy("chat_id", "msg_idx", "piece")
+        .agg(*told, F.array_sort(F.collect_list(F.struct("part", "block", "text"))).alias("runs"))
+        .withColumn("text", F.array_join(F.col("runs.text"), "\n"))
+    )
+    return pieces.where(~at_edge).select(*fields).unionByName(edges.select(*fields))
+
+
 def pseudonyms(
     messages: DataFrame,
     prefix: str = PSEUDONYM_PREFIX,

@@ -28,21 +28,32 @@ def hidden_name(chat_id: Column) -> Column:
 
 
 def run_anonymize(
-    spark: SparkSession, source, target: str, redact=redact_text, model=None, chat_id=None, part=None, **names
+    spark: SparkSession, source, target: str, redact=redact_text, model=None, chat_id=None, part=None,
+    max_chars: int = 1 << 24, hide: bool = True, **names
 ) -> DataFrame:
     """Exports to ``target/messages`` (Parquet) and ``target/text``; returns the messages.
 
-    Chats are named by a hash of what named them (the path by default).  Masked lines, then numbered messages, are
+    A message of more than ``max_chars`` characters (an export whose header form changes is one) has its first piece in
+    ``messages`` and the others, in order, in ``target/continued``; the text output holds all of it.
+
+    Chats are named by a hash of what named them (the path by default), unless ``hide`` is False.  Masked lines, then numbered messages, are
     staged so that masking and assembly run once however often the rows are read; both stages
     are deleted at the end (they hold the senders' real names).
     """
-    raw = readers.read_chat_lines(spark, source, chat_id, part).withColumn("chat_id", hidden_name(F.col("chat_id")))
+    raw = readers.read_chat_lines(spark, source, chat_id, part)
+    if hide:
+        raw = raw.withColumn("chat_id", hidden_name(F.col("chat_id")))
     with Staged(ingest.masked_lines(raw, redact, model), "lines") as lines:
-        with Staged(ingest.assemble_messages(lines), "assembled") as rows:
+        with Staged(ingest.message_pieces(lines, max_chars), "assembled") as pieces:
             aliases = ingest.pseudonyms_of_lines(lines, **names)
-            writers.write_messages(ingest.pseudonymize_senders(rows, aliases), f"{target}/messages")
+            first = pieces.where(F.col("at") == 0).select("chat_id", "msg_idx", "timestamp", "sender", F.col("text").alias("message"))
+            writers.write_messages(ingest.pseudonymize_senders(first, aliases), f"{target}/messages")
+            rest = pieces.where(F.col("at") > 0).select("chat_id", "msg_idx", "at", "text")
+            rest.repartitionByRange("chat_id", "msg_idx", "at").sortWithinPartitions("chat_id", "msg_idx", "at").write.mode(
+                "overwrite").parquet(f"{target}/continued")
             messages = readers.read_messages(spark, f"{target}/messages")
-            writers.write_anonymized_text(messages, f"{target}/text", preamble=ingest.preamble_lines(lines))
+            writers.write_anonymized_text(
+                messages, f"{target}/text", preamble=ingest.preamble_lines(lines), continued=spark.read.parquet(f"{target}/continued"))
     return messages
 
 
@@ -56,7 +67,7 @@ def read_table(spark: SparkSession, source: str, multi_line: bool = True) -> Dat
 def run_features(spark: SparkSession, source: str, target: str, multi_line: bool = True) -> DataFrame:
     """User statistics of a message table (CSV or Parquet), written as CSV.
 
-    CSV files are read in one task each unless ``multi_line`` is False.
+    ``multi_line``: quoted fields may hold line breaks.
     """
     stats = members.user_statistics(read_table(spark, source, multi_line), null_text="nan")
     writers.write_csv(stats, target)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -11,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tertulia.functions.base import exploded
 from tertulia.functions import content as C, redaction as R, temporal as W, text as T
 from tertulia.operators import content, ingest, members, names, temporal, tokens
-from tertulia.plans import fixtures as fx
+from tertulia.plans import fixtures as fx, round_trips
 from tertulia.schema import LEXICON
 from tertulia.sources import writers
 from tertulia.sources.readers import read_chat_lines, read_messages_csv
-from tertulia.sources.staging import checkpointed, remove, shared_folder
+from tertulia.sources.staging import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,15 +76,9 @@ def chat_line_scan(spark: SparkSession, d: str) -> DataFrame:
 @contextmanager
 def _exported(spark: SparkSession, d: str):
     """Lines that went through text files and ``read_chat_lines``; the files, real text, go at the end."""
-    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
-    (
-        fx.v_lines(spark, d).repartitionByRange("chat_id", "seq").sortWithinPartitions("chat_id", "seq")
-        .select("chat_id", "value").write.partitionBy("chat_id").text(path)
-    )
-    try:
+    with round_trips.folder(spark, "export") as path:
+        round_trips.write_export(spark, d, path)
         yield read_chat_lines(spark, path, F.col("chat_id"), F.col("_metadata.file_name"))
-    finally:
-        remove(spark, path)
 
 
 def export_scan_anonymize(spark: SparkSession, d: str) -> DataFrame:
@@ -104,12 +97,9 @@ def preamble_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def features_csv(spark: SparkSession, d: str) -> DataFrame:
     """User statistics of a message table that went through CSV files."""
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    try:
+    with round_trips.folder(spark, "csv") as path:
         writers.write_csv(fx.v_messages(spark, d).select("timestamp", "sender", "message"), path)
         return checkpointed(members.user_statistics(read_messages_csv(spark, path), null_text="nan"))
-    finally:
-        remove(spark, path)
 
 
 def redact_null_text(spark: SparkSession, d: str) -> DataFrame:
@@ -264,4 +254,5 @@ QUERIES: dict[str, Query] = {
         "score", F.round("score", 4)),
     "top_words": _on_words(tokens.top_words),
     "top_words_per_member": _on_words(tokens.top_words_per_member),
+    **round_trips.QUERIES,
 }
