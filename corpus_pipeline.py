@@ -10,9 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tertulia.llm import entropy_mixing, line_quality, near_copies, pii_disclosure, vector_packing
+from tertulia.llm import entropy_mixing, line_quality, pii_disclosure, simhash_pivots, vector_packing
 from tertulia.llm.queries import tokenizer_path
-from tertulia.sources.staging import shared_folder
+from tertulia.sources.staging import remove, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, the smallest doc_id."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies (fingerprints of three-word shingles, 3 bits apart at most) stays, the smallest doc_id."""
+    return simhash_pivots.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what stands between them is written to the shared folder."""
+    """All stages over documents; what stands between them is written to the shared folder.
+
+    The result is read from the last of these tables, so the folder stays until the caller deletes it: all tables but
+    the last are removed here, and the last holds documents whose personal data is masked.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+    done: list[str] = []
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+            done.append(f"{base}/{name}")
+            docs = spark.read.parquet(done[-1])
+    finally:
+        for path in done[: len(STAGES) - 2]:
+            remove(spark, path)
     return STAGES[-1][1](spark, docs, sf_dir)
