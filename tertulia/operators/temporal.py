@@ -11,16 +11,22 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tertulia.fixed_values import WEEKDAYS_ES
 from tertulia.functions.temporal import message_weekday, parse_chat_timestamp
+from tertulia.operators.date_order import with_inferred_moment
 
 _DAYS_AND_HOURS = 7 * 24
 
 
 def with_moment(messages: DataFrame, date_order: str = "mdy_fallback") -> DataFrame:
-    """Adds ``moment`` from the timestamp column, which may be text or already a timestamp."""
+    """Adds ``moment`` from the timestamp column, which may be text or already a timestamp.
+
+    ``date_order="infer"`` finds the order of each chat (columns chat_id and msg_idx) from its messages' order.
+    """
     stamp = F.col("timestamp")
     kind = messages.schema["timestamp"].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return messages.withColumn("moment", stamp.cast("timestamp_ntz"))
+    if date_order == "infer":
+        return with_inferred_moment(messages)
     return messages.withColumn("moment", parse_chat_timestamp(stamp, date_order))
 
 

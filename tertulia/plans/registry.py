@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tertulia.functions.base import exploded
 from tertulia.functions import content as C, redaction as R, temporal as W, text as T
 from tertulia.operators import content, ingest, members, names, temporal, tokens
-from tertulia.plans import fixtures as fx, round_trips
+from tertulia.plans import fixtures as fx, learned, round_trips
 from tertulia.schema import LEXICON
 from tertulia.sources import writers
 from tertulia.sources.readers import read_chat_lines, read_messages_csv
@@ -255,4 +255,5 @@ QUERIES: dict[str, Query] = {
     "top_words": _on_words(tokens.top_words),
     "top_words_per_member": _on_words(tokens.top_words_per_member),
     **round_trips.QUERIES,
+    **learned.QUERIES,
 }
