@@ -5,7 +5,7 @@ Each line of a text is held against three rules.
 * punctuation: at least ``min_marks`` characters that are neither letter, digit nor white space, and
   more than ``max_marks_percent`` of the line's visible characters;
 * navigation: at least ``min_separators`` menu separators, with few words between them;
-* boilerplate: a short line with a phrase of ``BOILERPLATE``.
+* boilerplate: a short line with one of ``phrases``, as whole words, case aside.
 
 Failing lines are removed.  A document is rejected when the removed lines held more than
 ``max_loss_percent`` of its word characters, or when it fails the base rules (too few words, or too
@@ -19,6 +19,8 @@ table; input columns named like a result are replaced by it, all others stay.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,10 +29,24 @@ from tertulia.functions.base import let
 from tertulia.llm.common import BLANKS, text_of, window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = (
-    "all rights reserved|terms of use|terms of service|privacy policy|cookie policy|accept cookies|"
-    "enable javascript|lorem ipsum|click here|read more|sign up|log in|powered by|subscribe to"
+# In lower case, by language: English, Spanish, French, German.
+PHRASES = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies",
+    "enable javascript", "lorem ipsum", "click here", "read more", "sign up", "log in", "powered by", "subscribe to",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "aceptar cookies", "haz clic aquí", "leer más",
+    "iniciar sesión", "aviso legal",
+    "tous droits réservés", "politique de confidentialité", "accepter les cookies", "cliquez ici", "lire la suite", "mentions légales",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "hier klicken", "weiterlesen",
 )
+
+
+def boilerplate_pattern(phrases: Sequence[str]) -> str:
+    """Any of the phrases as whole words; the same in Java's, DuckDB's and Python's expressions."""
+    plain = "|".join(re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", p) for p in phrases)
+    return f"(?:^|[^a-zà-öø-ÿ0-9_])(?:{plain})(?:$|[^a-zà-öø-ÿ0-9_])"
+
+
+BOILERPLATE = boilerplate_pattern(PHRASES)
 NOT_MARKS = r"[\p{L}\p{M}\p{N}\s]+"
 SEPARATORS = r"[|»›·•]"
 
@@ -45,6 +61,7 @@ class Rules:
     min_separators: int = 2
     words_per_separator: int = 4
     boilerplate_words: int = 25
+    phrases: tuple[str, ...] = PHRASES
     max_loss_percent: int = 30
 
 
@@ -82,7 +99,9 @@ def line_fails(line: Column, rules: Rules) -> Column:
     n_words = F.size(words_of(line))
     punctuation = (marks >= rules.min_marks) & (marks * 100 > visible(line) * rules.max_marks_percent)
     navigation = (separators >= rules.min_separators) & (n_words <= separators * (rules.words_per_separator + 1))
-    boilerplate = F.lower(line).rlike(BOILERPLATE) & (n_words <= rules.boilerplate_words)
+    boilerplate = F.lit(False)
+    if rules.phrases:
+        boilerplate = F.lower(line).rlike(boilerplate_pattern(rules.phrases)) & (n_words <= rules.boilerplate_words)
     return punctuation | navigation | boilerplate
 
 

@@ -169,3 +169,15 @@ def test_shards_with_many_buckets(spark, tmp_path):
     external_shuffle.write_shards(go(), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5000
     assert external_shuffle.shuffle_into_shards(df.limit(0), 4, "doc_id", F.lit(100)).count() == 0
+
+
+def test_phrases_are_whole_words(spark):
+    """A phrase inside other words is no boilerplate; phrases of other languages and of the caller are."""
+    clean = "The catalog in our shop lists many fine books and every dialog input was spread more widely than design uppers could tell us"
+    lines = [clean, "Log in", "LOG IN!", "blog in", "x log in_", "Leer más", "Datenschutzerklärung", "Mentions légales | x", "own phrase here"]
+    df = documents_of(spark, list(enumerate(lines)))
+    bad = {r.doc_id: r.n_bad_lines for r in line_quality.apply_rules(df).collect()}
+    assert [bad[i] for i in range(len(lines))] == [0, 1, 1, 0, 0, 1, 1, 1, 0]
+    own = line_quality.apply_rules(df, line_quality.Rules(phrases=("own phrase (here)", "own phrase"))).collect()
+    assert {r.doc_id for r in own if r.n_bad_lines} == {8}
+    assert line_quality.apply_rules(df).where("doc_id = 0").first().kept
