@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tertulia.llm.common import checkpointed
 from tertulia.llm.graph import components
-from tertulia.sources.staging import Staged
 
 WIDTH, SEED, MAX_BITS = 3, 42, 3
 N_PIVOTS = 16
@@ -120,14 +119,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: the smallest key (NULL last), then the smallest fingerprint and text."""
     names = docs.columns
-    held = Staged(docs.select(F.struct(*names).alias("doc"), fingerprint(text).alias("fp")), "simhash").df
-    return first_of_each(held, classes(held.select(F.col(f"doc.{key}").alias("id"), "fp"), "id"), names, key, text)
-
-
-def first_of_each(held: DataFrame, classes: DataFrame, names: list[str], key: str, text: str) -> DataFrame:
-    """Of ``held`` (doc, fp) the row of each root in ``classes`` (fp, root) that ``keep_one`` keeps."""
-    ids = held.select(F.col(f"doc.{key}").alias("id"), "fp")
-    owners = ids.join(classes.select("fp", "root"), "fp").groupBy("root").agg(
+    held = docs.select(F.struct(*names).alias("doc"), fingerprint(text).alias("fp"))
+    ids = checkpointed(held.select(F.col(f"doc.{key}").alias("id"), "fp"))
+    owners = ids.join(classes(ids, "id").select("fp", "root"), "fp").groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "fp")).alias("w"))
     owners = owners.select("w.none", "w.id", "w.fp")
     keyed = held.select("doc", F.col(f"doc.{key}").isNull().alias("none"), F.coalesce(f"doc.{key}", F.lit(0)).alias("id"), "fp")
