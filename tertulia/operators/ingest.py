@@ -200,20 +200,39 @@ def pseudonyms_of_lines(
     parsed: DataFrame, prefix: str = PSEUDONYM_PREFIX, skip_system: bool = False
 ) -> DataFrame:
     """The same from parsed lines, before any message is assembled."""
-    first = (
+    return _numbered(_first_in_lines(parsed), ["part", "block"], prefix, skip_system)
+
+
+def _first_in_lines(parsed: DataFrame) -> DataFrame:
+    return (
         parsed.where("is_header")
         # Senders per block first, on plain numbers; few rows are left for the ordered minimum.
         .groupBy(*BLOCK, "sender").agg(F.min("seq").alias("seq"))
         .groupBy("chat_id", "sender").agg(F.min(F.struct("part", "block", "seq")).alias("first"))
         .select("chat_id", "sender", "first.part", "first.block", F.col("first.seq").alias("spot"))
     )
-    return _numbered(first, ["part", "block"], prefix, skip_system)
 
 
-def _numbered(first: DataFrame, bucket: list[str], prefix: str, skip_system: bool) -> DataFrame:
+def new_pseudonyms(
+    parsed: DataFrame, known: DataFrame, prefix: str = PSEUDONYM_PREFIX, skip_system: bool = False
+) -> DataFrame:
+    """``(chat_id, sender, pseudonym, number)`` of the senders that ``known``, a table of the same form, lacks.
+
+    Numbers go on after the chat's largest known one, by first appearance, so no sender that has a pseudonym gets another.
+    """
+    first, old = _first_in_lines(parsed).alias("f"), known.alias("k")
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("chat_id", "sender")]
+    taken = known.groupBy(F.col("chat_id").alias("_chat")).agg(F.max("number").alias("_taken"))
+    return _numbered(first.join(old, same, "left_anti"), ["part", "block"], prefix, skip_system, taken)
+
+
+def _numbered(
+    first: DataFrame, bucket: list[str], prefix: str, skip_system: bool, taken: DataFrame | None = None
+) -> DataFrame:
     """Numbers first appearances within buckets and adds the counts of earlier buckets.
 
-    A message brings in at most one sender, so a bucket of messages or lines bounds its window.
+    A message brings in at most one sender, so a bucket of messages or lines bounds its window.  With ``taken`` (_chat,
+    _taken) numbers start behind it and are returned, too.
     """
     is_system = F.col("sender") == SYSTEM_SENDER
     counted = first.where(~F.coalesce(is_system, F.lit(False))) if skip_system else first
@@ -221,15 +240,20 @@ def _numbered(first: DataFrame, bucket: list[str], prefix: str, skip_system: boo
         counted.groupBy("chat_id", *bucket).agg(F.count("*").alias("n")),
         ["chat_id"], bucket, "n", "offset",
     ).drop("n")
+    if taken is not None:
+        offsets = offsets.join(taken, F.col("chat_id").eqNullSafe(F.col("_chat")), "left").withColumn(
+            "offset", F.col("offset") + F.coalesce("_taken", F.lit(0))).drop("_chat", "_taken")
     in_bucket = Window.partitionBy("c.chat_id", *[f"c.{b}" for b in bucket]).orderBy("spot")
     number = F.col("offset") + F.row_number().over(in_bucket)
-    name = F.when(is_system, F.lit(SYSTEM_SENDER)).otherwise(F.concat(F.lit(prefix), number.cast("string")))
+    name = F.when(is_system, F.lit(SYSTEM_SENDER)).otherwise(F.concat(F.lit(prefix), F.col("number").cast("string")))
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in ("chat_id", *bucket)]
-    out = counted.alias("c").join(offsets.alias("o"), same).select("c.chat_id", "sender", name.alias("pseudonym"))
+    out = counted.alias("c").join(offsets.alias("o"), same).select("c.chat_id", "sender", number.cast("long").alias("number"))
+    out = out.select("chat_id", "sender", name.alias("pseudonym"), "number")
     if skip_system:
-        system = first.where(is_system).select("chat_id", "sender", F.lit(SYSTEM_SENDER).alias("pseudonym"))
+        system = first.where(is_system).select(
+            "chat_id", "sender", F.lit(SYSTEM_SENDER).alias("pseudonym"), F.lit(None).cast("long").alias("number"))
         out = out.unionByName(system)
-    return out
+    return out if taken is not None else out.drop("number")
 
 
 def pseudonymize_senders(messages: DataFrame, names: DataFrame | None = None, **options) -> DataFrame:

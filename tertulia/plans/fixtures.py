@@ -50,7 +50,7 @@ def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         F.date_format("ts", "dd/MM/yy, HH:mm").alias("timestamp"),
         F.col("text").alias("message"),
-    )
+    ).repartition("msg_id")  # the tables are few row groups, which as many tasks would read
 
 
 def v_events_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

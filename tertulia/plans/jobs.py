@@ -29,13 +29,16 @@ def hidden_name(chat_id: Column) -> Column:
 
 def run_anonymize(
     spark: SparkSession, source, target: str, redact=redact_text, model=None, chat_id=None, part=None,
-    max_chars: int = 1 << 24, hide: bool = True, **names
+    max_chars: int = 1 << 24, hide: bool = True, names_table: str | None = None, **names
 ) -> DataFrame:
     """Exports to ``target/messages`` (Parquet) and ``target/text``; returns the messages.
 
     A message of more than ``max_chars`` characters (an export whose header form changes is one) has its first piece in
     ``messages`` and the others, in order, in ``target/continued``; the text output holds all of it.
 
+    ``names_table``: a folder that keeps (chat_id, sender, pseudonym, number) between runs; it holds real names.  Senders
+    in it keep their pseudonyms, new ones are numbered behind them and appended.
+
     Chats are named by a hash of what named them (the path by default), unless ``hide`` is False.  Masked lines, then numbered messages, are
     staged so that masking and assembly run once however often the rows are read; both stages
     are deleted at the end (they hold the senders' real names).
@@ -45,7 +48,7 @@ def run_anonymize(
         raw = raw.withColumn("chat_id", hidden_name(F.col("chat_id")))
     with Staged(ingest.masked_lines(raw, redact, model), "lines") as lines:
         with Staged(ingest.message_pieces(lines, max_chars), "assembled") as pieces:
-            aliases = ingest.pseudonyms_of_lines(lines, **names)
+            aliases = ingest.pseudonyms_of_lines(lines, **names) if names_table is None else _kept_names(spark, lines, names_table, names)
             first = pieces.where(F.col("at") == 0).select("chat_id", "msg_idx", "timestamp", "sender", F.col("text").alias("message"))
             writers.write_messages(ingest.pseudonymize_senders(first, aliases), f"{target}/messages")
             rest = pieces.where(F.col("at") > 0).select("chat_id", "msg_idx", "at", "text")
@@ -57,6 +60,19 @@ def run_anonymize(
     return messages
 
 
+NAMES = "chat_id string, sender string, pseudonym string, number long"
+
+
+def _kept_names(spark: SparkSession, lines: DataFrame, path: str, options: dict) -> DataFrame:
+    """The kept name table after the senders it lacks were appended."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    known = spark.read.schema(NAMES).parquet(path) if there else spark.createDataFrame([], NAMES)
+    # Appended in one commit: a run that fails later finds its names again.
+    ingest.new_pseudonyms(lines, known, **options).write.mode("append").parquet(path)
+    return spark.read.schema(NAMES).parquet(path)
+
+
 def read_table(spark: SparkSession, source: str, multi_line: bool = True) -> DataFrame:
     """A message table: CSV where the name ends so, else Parquet."""
     if source.rstrip("/").lower().endswith(".csv"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tertulia import fixed_values as V
 from tertulia.plans import fixtures as fx, oracle as o
 from tertulia.plans.round_trips import PIECE_CHARS
 
@@ -55,6 +56,11 @@ r AS (SELECT chat_id, msg_idx, string_split('[' || timestamp || '] ' || sender |
 s AS (SELECT chat_id, msg_idx, i, parts[i] AS value FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM r))
 SELECT chat_id, CAST(sum(strlen(value) + 1) OVER (PARTITION BY chat_id ORDER BY msg_idx, i ROWS UNBOUNDED PRECEDING) - strlen(value) - 1 AS BIGINT)
        AS byte_offset, value FROM s""",
+        "kept_pseudonyms": f"""WITH {o.PARSED},
+senders AS (
+  SELECT chat_id, sender, min(seq) FILTER (seq // {fx.SEQ_WIDTH} % 2 = 0) AS early, min(seq) AS spot FROM v_fields WHERE is_header GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY early IS NULL, coalesce(early, spot)) AS number FROM senders)
+SELECT chat_id, sender, CASE WHEN sender = '{V.SYSTEM_SENDER}' THEN sender ELSE '{V.PSEUDONYM_PREFIX}' || number END AS pseudonym, number FROM numbered""",
         "features_job": f"WITH {o.STATS} SELECT * FROM stats",
         "report_job": _report(),
     }

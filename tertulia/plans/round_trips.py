@@ -82,6 +82,15 @@ def anonymized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         return checkpointed(lines.select("chat_id", (F.col("offset") + inside).alias("byte_offset"), "value"))
 
 
+def kept_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name tables of two runs: first the messages of even number, then all of them; the first run's numbers stay."""
+    parsed = ingest.parse_chat_lines(fx.v_lines(spark, sf_dir))
+    none = spark.createDataFrame([], jobs.NAMES)
+    even = F.floor(F.col("seq") / fx.SEQ_WIDTH) % 2 == 0
+    first = checkpointed(ingest.new_pseudonyms(parsed.where(even), none))
+    return first.unionByName(ingest.new_pseudonyms(parsed, first))
+
+
 def features_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features job from CSV to CSV."""
     with folder(spark, "features") as path:
@@ -117,6 +126,7 @@ QUERIES = {
     "csv_in_splits": csv_in_splits,
     "anonymize_job": anonymize_job,
     "anonymized_text": anonymized_text,
+    "kept_pseudonyms": kept_pseudonyms,
     "features_job": features_job,
     "report_job": report_job,
 }

@@ -97,6 +97,22 @@ def test_job_with_a_long_message(spark, tmp_path):
     assert text("whole") == text("cut") and text("cut").count("\n") == 9 + 200
 
 
+def test_second_run_keeps_pseudonyms(spark, tmp_path):
+    """A file of earlier lines and new senders joins the chat; nobody's pseudonym changes."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "b.txt").write_text("3/11/25, 20:06 - Ana: hola\n3/11/25, 20:07 - Beto: x\n3/11/25, 20:08 - cambio\n", encoding="utf-8")
+    run = lambda name, **more: jobs.run_anonymize(
+        spark, str(folder), str(tmp_path / name), chat_id=F.lit("c"), part=F.col("_metadata.file_name"), names_table=str(tmp_path / "names"), **more)
+    first = [r.sender for r in run("one").orderBy("msg_idx").collect()]
+    assert first == ["Miembro_GDG_1", "Miembro_GDG_2", "Sistema"]
+    (folder / "a.txt").write_text("3/11/25, 20:01 - Carla: antes\n3/11/25, 20:02 - Beto: y\n3/11/25, 20:03 - Dora: z\n", encoding="utf-8")
+    second = [r.sender for r in run("two").orderBy("msg_idx").collect()]
+    assert second == ["Miembro_GDG_4", "Miembro_GDG_2", "Miembro_GDG_5", "Miembro_GDG_1", "Miembro_GDG_2", "Sistema"]
+    assert [r.sender for r in run("three").orderBy("msg_idx").collect()] == second
+    assert spark.read.parquet(str(tmp_path / "names")).count() == 5
+
+
 def test_manifest_of_odd_chat_names(spark, tmp_path):
     names = ["a b", "a/b", "100%", "c=d", "e+f", "ñ👍", "x:y"]
     rows = spark.createDataFrame([(n, i, "t", "s", f"text {n}") for n in [*names, None] for i in (1, 2)], "chat_id string, msg_idx long, timestamp string, sender string, message string")
