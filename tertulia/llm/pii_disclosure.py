@@ -19,6 +19,7 @@ spans, base_spans or values are replaced in ``find``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pandas as pd
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tertulia.llm.common import checkpointed, text_of, words_of
 
+BROADCAST_TERMS = 200_000
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,8 +37,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+WORD = re.compile(r"\S+")
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-REACH_CHARS = 400
 
 
 @dataclass(frozen=True)
@@ -96,24 +98,20 @@ def _term(word: str, least: int) -> str | None:
 
 
 def _contexts(text: str, found: list, rule: Disclosure) -> list[tuple[str, list[str]]]:
-    """For each finding the terms around it, in order, other findings left out."""
-    spans = sorted((a, b) for _, a, b, _ in found)
-
-    def terms(a: int, b: int) -> list[str]:
-        parts, at = [], a
-        for s, e in spans:
-            if e > a and s < b:
-                parts.append(text[at:max(at, s)])
-                at = max(at, e)
-        parts.append(text[at:b])
-        return " ".join(parts).split()
-
+    """For each finding the terms among ``reach`` words on each side, in order, other findings left out."""
+    words, begins, ends, at = [], [], [], 0
+    # The words between findings, in page order, however long they or the texts are.
+    for a, b in [*sorted((a, b) for _, a, b, _ in found), (len(text), len(text))]:
+        for m in WORD.finditer(text, at, max(at, a)):
+            words.append(m[0])
+            begins.append(m.start())
+            ends.append(m.end())
+        at = max(at, b)
     out = []
     for kind, a, b, value in found:
-        before = terms(max(0, a - REACH_CHARS), a)[-rule.reach:]
-        after = terms(b, b + REACH_CHARS)[:rule.reach]
-        near = [t for t in (_term(w, rule.min_letters) for w in before + after) if t]
-        out.append((f"{kind}:{value}", near))
+        i, j = bisect_right(ends, a), bisect_left(begins, b)
+        around = words[max(0, i - rule.reach):i] + words[j:j + rule.reach]
+        out.append((f"{kind}:{value}", [t for t in (_term(w, rule.min_letters) for w in around) if t]))
     return out
 
 
@@ -139,7 +137,7 @@ def _scanner():
 
 
 def contexts(docs: DataFrame, text: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
-    """Distinct (value, context): the terms around each occurrence of each entity."""
+    """Distinct (h, value, context): hashes of texts and the terms around each occurrence of each entity."""
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def near(texts: pd.Series) -> pd.Series:
         out = []
@@ -148,35 +146,45 @@ def contexts(docs: DataFrame, text: str = "text", rule: Disclosure = Disclosure(
             out.append([f"{v}\n{' '.join(terms)}" for v, terms in _contexts(t, found, rule)] if found else [])
         return pd.Series(out)
 
-    each = docs.select(F.explode(near(text)).alias("c"))
+    each = docs.select(F.xxhash64(text_of(text)).alias("h"), F.explode(near(text)).alias("c"))
     return each.select(
-        F.substring_index("c", "\n", 1).alias("value"), F.substring_index("c", "\n", -1).alias("context")
-    ).distinct()
+        "h", F.substring_index("c", "\n", 1).alias("value"), F.substring_index("c", "\n", -1).alias("context")).distinct()
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
     """(value, term, n_both, n_value, n_term, share): terms that reveal an entity, by corpus co-occurrence."""
-    seen = checkpointed(contexts(docs, text, rule))
+    found = checkpointed(contexts(docs, text, rule))
+    seen = found.select("value", "context").distinct()
+    words = F.explode(F.array_distinct(F.split("context", " "))).alias("term")
     entities = seen.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= rule.min_support)
     pairs = (
-        seen.select("value", F.explode(F.array_distinct(F.split("context", " "))).alias("term")).where("term <> ''")
+        seen.select("value", words).where("term <> ''")
         .groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= rule.min_support)
     )
-    pairs = checkpointed(pairs.join(entities, "value"))
+    texts = docs.select(text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("h"))
+    n_texts = max(2, texts.select("h").distinct().count())
+
+    def share(n_term: str) -> Column:
+        pmi = F.log(F.lit(float(n_texts)) * F.col("n_both") / (F.col("n_value") * F.col(n_term)))
+        return pmi / F.log(F.greatest(F.lit(float(n_texts)) / F.col("n_value"), F.lit(1.000001)))
+
+    # A term stands in at least the texts that have it near an entity; what fails by that number fails by the true one.
+    near = found.select("h", words).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = pairs.join(entities, "value").join(near, "term").where(share("n_near") >= rule.threshold).drop("n_near")
+    pairs = checkpointed(pairs)
     schema = "value string, term string, n_both long, n_value long, n_term long, share double"
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
-    texts = docs.select(text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("h"))
-    n_texts = max(2, texts.select("h").distinct().count())
-    texts = texts.dropDuplicates(["h"])  # n_term counts distinct texts, as n_texts does
     edge = r"^[\W\d_]+|[\W\d_]+$"
     terms = F.transform(words_of(F.lower("text")), lambda w: F.regexp_replace(w, f"(?U){edge}", ""))
-    # only terms that are candidates matter; they are met before anything is shuffled when few enough to broadcast
-    vocabulary = texts.select("h", F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(
-        F.count("*").alias("n_term"))
-    pmi = F.log(F.lit(float(n_texts)) * F.col("n_both") / (F.col("n_value") * F.col("n_term")))
-    share = pmi / F.log(F.greatest(F.lit(float(n_texts)) / F.col("n_value"), F.lit(1.000001)))
-    scored = pairs.join(vocabulary, "term").withColumn("share", share).where(F.col("share") >= rule.threshold)
+    # Only words that may turn out as terms go on, as pairs of hashes: n_term counts distinct texts, as n_texts does.
+    wanted = checkpointed(pairs.select(F.xxhash64("term").alias("w")).distinct())
+    if wanted.count() <= BROADCAST_TERMS:  # 8 bytes each; beyond, the join shuffles both sides
+        wanted = F.broadcast(wanted)
+    held = texts.select("h", F.explode(F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))).alias("w"))
+    counted = held.join(wanted, "w", "left_semi").distinct().groupBy("w").agg(F.count("*").alias("n_term"))
+    vocabulary = pairs.select("term").distinct().withColumn("w", F.xxhash64("term")).join(counted, "w").drop("w")
+    scored = pairs.join(vocabulary, "term").withColumn("share", share("n_term")).where(F.col("share") >= rule.threshold)
     return checkpointed(scored.select("value", "term", "n_both", "n_value", "n_term", "share"))
 
 
@@ -187,7 +195,7 @@ def _term_spans(rule: Disclosure):
         for text, own in zip(texts, terms, strict=True):
             own, base = set(own), [(a, b) for _, a, b, _ in base_findings(text)]
             hits = []
-            for m in re.finditer(r"\S+", text):
+            for m in WORD.finditer(text):
                 word = m[0]
                 if _term(word, rule.min_letters) in own:
                     lead = len(word) - len(re.sub(r"^[\W\d_]+", "", word))

@@ -1,6 +1,7 @@
 """Patterns against the plain expressions, disclosure on planted terms, masking."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -95,6 +96,50 @@ def test_disclosing_terms(spark):
     assert clean[0].text == planted()[0][1] and clean[501].text is None and clean[502].text == ""
 
 
+def plain_disclosing(rows, rule=P.Disclosure()):
+    """Shares from the definition: sets of contexts and of texts, one entity and term after another."""
+    trim = lambda w: re.sub(r"^[\W\d_]+|[\W\d_]+$", "", w.lower())
+    texts, seen = {t or "" for _, t in rows}, set()
+    for text in texts:
+        found = P.base_findings(text)
+        hidden = list(text)
+        for _, a, b, _ in found:
+            hidden[a:b] = "\x00" * (b - a)
+        for kind, a, b, value in found:
+            words = lambda part: [w for w in re.split(r"[\s\x00]+", part) if w]
+            near = words("".join(hidden[:a]))[-rule.reach:] + words("".join(hidden[b:]))[:rule.reach]
+            terms = [t for t in map(trim, near) if sum(map(str.isalpha, t)) >= rule.min_letters]
+            seen.add((f"{kind}:{value}", " ".join(terms)))
+    out = {}
+    for value in {v for v, _ in seen}:
+        own = [set(c.split()) for v, c in seen if v == value]
+        for term in set().union(*own):
+            both, n = sum(term in c for c in own), sum(term in {trim(w) for w in re.split(r"[\x20\x09-\x0D]+", t)} for t in texts)
+            if both >= rule.min_support and len(own) >= rule.min_support:
+                share = math.log(len(texts) * both / (len(own) * n)) / math.log(max(len(texts) / len(own), 1.000001))
+                if share >= rule.threshold:
+                    out[value, term] = (both, len(own), n, round(share, 9))
+    return out
+
+
+def test_disclosing_terms_equal_the_definition(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta,", "Gamma.", "delta", "x1", "42"], k=12))) for i in range(60)]
+    for i in range(40):
+        parts = rng.choices(["alpha", "beta,", "Gamma.", "(Klingsor)", "Zorblax", "a@b.cd", "c@d.ef;", "1.2.3.4", "y" * 500], k=rng.randint(5, 30))
+        rows += [(100 + i, " ".join(parts))] * rng.choice((1, 1, 3))
+    found = {(r.value, r.term): (r.n_both, r.n_value, r.n_term, round(r.share, 9)) for r in P.disclosing_terms(documents_of(spark, rows)).collect()}
+    assert found == plain_disclosing(rows) and len(found) > 3
+
+
+def test_words_within_reach_however_long(spark):
+    """Ten words on each side count, also beside a very long one."""
+    rows = [(i, f"filler text number{chr(97 + i)} without anything") for i in range(20)]
+    rows += [(100 + i, f"Parsifal {'w' * 450} {'ab'[i % 2] * 3}x{chr(97 + i)} mail k.l@m.no end{chr(97 + i)}") for i in range(4)]
+    terms = {(r.value, r.term) for r in P.disclosing_terms(documents_of(spark, rows)).collect()}
+    assert {("email:k.l@m.no", "parsifal"), ("email:k.l@m.no", "w" * 450)} <= terms
+
+
 def test_masking_overlaps(spark):
     df = documents_of(spark, [(1, "mail 1.2.3.4@x.yz, card 4111-1111-1111-1111 now")])
     assert P.sanitise(df).first().text == "mail [EMAIL], card [CARD] now"
