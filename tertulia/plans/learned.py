@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tertulia.fixed_values import BLOCKED_NAME_WORDS, NAME_EXCEPTIONS
 from tertulia.functions.base import exploded
 from tertulia.functions.name_model import count_names, hmm_names, train_names
-from tertulia.operators import date_order, names, phrases, tagging, tokens
+from tertulia.functions import redaction as R
+from tertulia.operators import date_order, leaks, names, phrases, tagging, tokens
 from tertulia.plans import fixtures as fx
 from tertulia.schema import LEXICON
 
@@ -67,6 +68,16 @@ def inferred_moments(spark: SparkSession, d: str) -> DataFrame:
     return date_order.with_inferred_moment(_dated(spark, d)).select("msg_id", "moment")
 
 
+MISSPELT = ["Mirra Libres", "Tena Lassa", "Al Holaa"]
+
+
+def left_names(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the masked messages that nearly are a word of made-up members' names, the same in every chat."""
+    masked = fx.v_decorated(spark, d).select("chat_id", R.redact_text(F.col("message")).alias("message"))
+    chats = spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("chat_id")).distinct()
+    return leaks.left_names(masked, chats.withColumn("sender", F.explode(F.array(*[F.lit(n) for n in MISSPELT]))))
+
+
 QUERIES = {
     "name_model_counts": name_model_counts,
     "hmm_name_spans": hmm_name_spans,
@@ -74,4 +85,5 @@ QUERIES = {
     "adjective_guessed": adjective_guessed,
     "date_order_by_chat": date_order_by_chat,
     "inferred_moments": inferred_moments,
+    "left_names": left_names,
 }

@@ -5,7 +5,12 @@ from __future__ import annotations
 from tertulia import fixed_values as V
 from tertulia.functions.name_model import DIGITS, NEVER, SIZES
 from tertulia.plans import fixtures as fx, oracle as o
-from tertulia.plans.learned import ENDINGS_LEXICON, MORE_PHRASES, PLANTED
+from tertulia.plans.learned import ENDINGS_LEXICON, MISSPELT, MORE_PHRASES, PLANTED
+
+
+def _bytes(x: str) -> str:
+    """A lower-case word with accented letters as capitals: DuckDB's edit distance counts bytes."""
+    return f"translate({x}, 'áéíóúñäöüßàèìòùâêîôûçëïœ', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
 
 
 def _code(x: str, at: int) -> str:
@@ -133,6 +138,15 @@ guesses AS (SELECT u.token, first(t.pos ORDER BY k DESC) AS pos FROM unknown u J
 SELECT c.token AS adjetivo, c.count, g.token IS NOT NULL AS guessed
 FROM counts c LEFT JOIN guesses g ON g.token = c.token AND g.pos = 'ADJ'
 WHERE g.token IS NOT NULL OR c.token IN (SELECT token FROM lexicon WHERE pos = 'ADJ')""",
+        "left_names": f"""WITH {fx.V_DECORATED}, {o.masked("v_decorated", "msg_id, chat_id")},
+words AS (
+  SELECT chat_id, word, count(*) AS count FROM (SELECT chat_id, unnest(regexp_extract_all(lower(message), '\\p{{L}}+')) AS word FROM v_redacted)
+  WHERE length(word) >= 4 GROUP BY ALL),
+names AS (
+  SELECT DISTINCT sender, name_word FROM (SELECT sender, unnest(string_split(lower(sender), ' ')) AS name_word
+    FROM (SELECT unnest({o._list(MISSPELT)}) AS sender)) WHERE length(name_word) >= 4),
+near AS (SELECT *, levenshtein({_bytes('word')}, name_word) AS distance FROM words, names WHERE abs(length(word) - length(name_word)) <= 1)
+SELECT chat_id, sender, name_word, word, CAST(distance AS INTEGER) AS distance, count FROM near WHERE distance <= 1""",
         "date_order_by_chat": f"{_orders()} SELECT * FROM orders",
         "inferred_moments": f"{_orders()} SELECT msg_id, CASE WHEN date_order = 'dmy' THEN d ELSE m END AS moment FROM readings JOIN orders USING (chat_id)",
     }

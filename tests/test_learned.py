@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tertulia.functions import name_model as N
 from tertulia.functions.redaction import capitalised_names, redact_text
-from tertulia.operators import names, phrases, tagging
+from tertulia.operators import leaks, names, phrases, tagging
 from tertulia.operators.date_order import infer_date_order
 from tertulia.operators.temporal import messages_by_day
 from tertulia.schema import LEXICON
@@ -180,3 +180,23 @@ def test_date_orders(spark, block):
     counts = messages_by_day(df, by=["chat_id"], date_order="infer").where("chat_id = 'dmy'").collect()
     want = Counter(datetime.date(2024, day(i)[1], day(i)[0]).weekday() for i in range(0, 300, 7))
     assert {r.day_idx: r["count"] for r in counts} == {k: want[k] for k in range(7)}
+
+
+def test_left_names(spark):
+    """Misspelt names are found by the definition (distance of all pairs), in their own chat only."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abé", k=rng.randint(3, 6)))
+    texts = [(rng.choice(["x", "y", None]), " ".join(word() for _ in range(8))) for _ in range(60)] + [("x", None), ("x", "")]
+    senders = [(c, f"{word().title()} {word().upper()}") for c in ("x", "y", None) for _ in range(6)] + [("x", None)]
+    found = leaks.left_names(spark.createDataFrame(texts, "chat_id string, message string"), spark.createDataFrame(senders, "chat_id string, sender string"))
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        long, short = sorted((a, b), key=len, reverse=True)
+        return len(long) - len(short) == 1 and any(long[:i] + long[i + 1:] == short for i in range(len(long)))
+
+    counts = Counter((c, w) for c, t in texts for w in (t or "").split() if len(w) >= 4)
+    want = {(c, s, n, w, int(n != w), k) for c, s in senders for n in (s or "").lower().split() if len(n) >= 4
+            for (d, w), k in counts.items() if c == d and near(n, w)}
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 20
