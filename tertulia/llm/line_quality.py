@@ -101,7 +101,8 @@ def line_fails(line: Column, rules: Rules) -> Column:
     navigation = (separators >= rules.min_separators) & (n_words <= separators * (rules.words_per_separator + 1))
     boilerplate = F.lit(False)
     if rules.phrases:
-        boilerplate = F.lower(line).rlike(boilerplate_pattern(rules.phrases)) & (n_words <= rules.boilerplate_words)
+        # The cheap test first: only short lines are searched.
+        boilerplate = (n_words <= rules.boilerplate_words) & F.lower(line).rlike(boilerplate_pattern(rules.phrases))
     return punctuation | navigation | boilerplate
 
 

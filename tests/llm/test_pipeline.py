@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 import pytest
 
 from tertulia.llm import line_quality, vector_packing
+from tertulia.sources.staging import shared_folder
 
 from .helpers import EDGES, documents_of
 from .test_mixing import plain_targets
 from .test_native import base_counts
-from .test_packing import check_pieces, plain_ids
+from .test_packing import plain_ids
 from .test_pii import plain_findings
 from .test_simhash import plain_components, plain_simhash
 
@@ -107,5 +108,26 @@ def test_run_equals_the_stages(spark, sf_dir, tmp_path):
 def test_edges(spark, tmp_path, rows):
     documents_of(spark, rows).write.parquet(f"{tmp_path}/in/documents.parquet")
     found = stages(spark, f"{tmp_path}/in", tmp_path / "out")
-    assert found["packing"].count() >= 0 and vector_packing.END == 2
-    assert check_pieces
+    kept = found["mixing"].count()
+    assert (found["packing"].count() > 0) == (kept > 0) == bool(rows)
+    assert vector_packing.END == 2
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like a stage's own results travel unchanged through all stages but the last."""
+    rows = [(i, " ".join(f"word{(i * 7 + j) % 41}{'abcdefg'[j % 7]}" for j in range(40 + i))) for i in range(12)]
+    docs = documents_of(spark, rows, extra=True)
+    for name, stage in importlib.import_module("corpus_pipeline").STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() > 0 and {r.kept for r in docs.collect()} == {"other"}, name
+
+
+def test_nothing_is_left_but_the_last_table(spark, sf_dir):
+    import glob
+    before = set(glob.glob(f"{shared_folder(spark)}/pipeline-*"))
+    importlib.import_module("corpus_pipeline").run(spark, sf_dir).count()
+    left = [p for base in set(glob.glob(f"{shared_folder(spark)}/pipeline-*")) - before for p in glob.glob(f"{base}/*")]
+    assert [p.rsplit("/", 1)[1] for p in left] == ["mixing"]
