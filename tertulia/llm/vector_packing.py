@@ -17,7 +17,6 @@ are separate examples; texts longer than a sequence are cut; an empty table give
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,7 @@ SLICE_ROWS = 512
 NEVER = 1 << 60
 
 # A word of Latin letters with one end mark is the same tokens as the letters, then the mark.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
+PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,]?)$"
 
 
 @dataclass(frozen=True)
@@ -66,79 +65,70 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        self.words = pa.array([], pa.large_string())
         self.table = np.empty(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after another, and how many each has.  Words of letters only are encoded as one text."""
-        plain = all(map(str.isalpha, words))
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(words):
-                return ids, np.diff(ends, prepend=0)
+        """Ids of the words, one after another, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _learn(self, words: list[str]) -> None:
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, which one text can hold: its ids tell where words end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._encode(words)
+
+    @staticmethod
+    def _parts(words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        found = [encode(words.slice(i, 8192).to_numpy(zero_copy_only=False).tolist()) for i in range(0, len(words), 8192)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _learn(self, new: pa.Array) -> None:
         """Adds the ids of words: letters with or without an end mark by their letters, all others whole."""
-        stem_at: dict[str, int] = {}
-        names, at, marks, others = [], [], [], []
-        for w in words:
-            m = PLAIN.match(w)
-            if m:
-                names.append(w)
-                at.append(stem_at.setdefault(m[1].lower(), len(stem_at)))
-                marks.append(self.marks[m[2]] if m[2] else -1)
-            else:
-                others.append(w)
-        stems = list(stem_at)
-        if stems:
-            found = [self._encode(stems[i:i + 2048]) for i in range(0, len(stems), 2048)]
-            ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
-            begins, own, mark = np.cumsum(sizes) - sizes, np.array(at), np.array(marks)
+        parsed = pc.extract_regex(new, PLAIN)
+        plain = pc.is_valid(parsed)
+        named = parsed.filter(plain)
+        if len(named):
+            stems = pc.utf8_lower(named.field("stem")).dictionary_encode()
+            ids, sizes = self._parts(stems.dictionary, self._encode_letters)
+            own = stems.indices.to_numpy()
+            mark = np.select([pc.equal(named.field("mark"), m).to_numpy(zero_copy_only=False) for m in self.marks], list(self.marks.values()), -1)
             n = sizes[own] + (mark >= 0)
             ends = np.cumsum(n)
             last = ends[mark >= 0] - 1
-            take = np.arange(ends[-1]) + np.repeat(begins[own] - (ends - n), n)
+            take = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[own] - (ends - n), n)
             take[last] = 0
             out = ids[take]
             out[last] = mark[mark >= 0]
-            self._add(names, out, n)
-        for i in range(0, len(others), 2048):
-            part = others[i:i + 2048]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._add(part, np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words)), strict=True))
-        self.parts.append(ids)
-        self.sizes.append(sizes)
-
-    def _settled(self) -> None:
-        if self.parts:
-            self.table = np.concatenate((self.table, *self.parts))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.concatenate(self.sizes))))
-            self.parts, self.sizes = [], []
+            self._add(new.filter(plain), out, n)
+        others = new.filter(pc.invert(plain))
+        if len(others):
+            self._add(others, *self._parts(others, self._encode))
+
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.table = np.concatenate((self.table, ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         blank = pa.array(texts, pa.large_string())
         for c in "\t\n\x0b\x0c\r":
-            blank = pc.replace_substring(blank, c, " ")
+            if any(c in t for t in texts):
+                blank = pc.replace_substring(blank, c, " ")
         lists = pc.split_pattern(blank, " ")
         flat = lists.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        new = [w for w in words if w not in self.codes]
-        if len(self.codes) + len(new) > CACHE_WORDS:
-            self._forget()
-            new = words
-        self._learn(new)
-        self._settled()
-        code_of = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        code = code_of[flat.indices.to_numpy()]
+        words = flat.dictionary
+        code = pc.index_in(words, value_set=self.words)
+        if code.null_count:
+            new = words.filter(pc.is_null(code))
+            if len(self.words) + len(new) > CACHE_WORDS:
+                self._forget()
+                new = words
+            self._learn(new)
+            code = pc.index_in(words, value_set=self.words)
+        code = code.to_numpy()[flat.indices.to_numpy()]
         begins = self.ends[code]
         n = self.ends[code + 1] - begins
         ends = np.cumsum(n)
