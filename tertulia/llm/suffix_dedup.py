@@ -41,7 +41,7 @@ LENGTH, K = 50, 24
 WINDOWS = LENGTH - K + 1
 WIDEST = LENGTH + WINDOWS - 1  # bytes of a segment at most
 CHUNK = 1 << 21
-ANCHOR_BYTES, SEGMENT_BYTES, GROUP_BYTES = 48 << 20, 12 << 20, 6 << 20  # text bytes for each bucket or group
+ANCHOR_BYTES, SEGMENT_BYTES, GROUP_BYTES = 48 << 20, 5 << 20, 4 << 20  # text bytes for each bucket or group
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
