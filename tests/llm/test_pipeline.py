@@ -104,12 +104,17 @@ def test_run_equals_the_stages(spark, sf_dir, tmp_path):
     assert pipeline.ORACLE_SQL is None and rows.count() > 0
 
 
-@pytest.mark.parametrize("rows", [EDGES + [(None, None), (3, "again"), (3, "again")], []])
+PLAIN = " ".join(f"plain{chr(97 + i)}" for i in range(25))
+
+
+@pytest.mark.parametrize("rows", [EDGES + [(None, None), (3, "again"), (3, "again")], [*EDGES, (None, PLAIN), (40, f"{PLAIN} end"), (40, f"{PLAIN} end")], []])
 def test_edges(spark, tmp_path, rows):
-    documents_of(spark, rows).write.parquet(f"{tmp_path}/in/documents.parquet")
+    docs = documents_of(spark, rows)
+    docs.write.parquet(f"{tmp_path}/in/documents.parquet")
     found = stages(spark, f"{tmp_path}/in", tmp_path / "out")
-    kept = found["mixing"].count()
-    assert (found["packing"].count() > 0) == (kept > 0) == bool(rows)
+    good = plain_quality(docs.collect())
+    assert found["quality_rules"].count() == len(good)
+    assert (found["packing"].count() > 0) == (found["mixing"].count() > 0) == bool(good)
     assert vector_packing.END == 2
 
 
