@@ -153,7 +153,7 @@ def test_csv_in_splits_equals_the_whole_file_reader(spark, tmp_path, end):
 
 def test_csv_header_and_types(spark, tmp_path):
     (tmp_path / "n.csv").write_text('id,name\n1,"a\nb"\n\n2,\nx,c\n', encoding="utf-8")
-    schema = readers.T.StructType().add("id", "int").add("name", "string")
+    schema = readers.T.StructType().add("id", "integer").add("name", "string")
     assert sorted(map(tuple, readers.csv_records(spark, str(tmp_path / "n.csv"), schema).collect()), key=repr) == [(1, "a\nb"), (2, None), (None, "c")]
     (tmp_path / "w.csv").write_text("id,other\n1,a\n", encoding="utf-8")
     with pytest.raises(Exception, match="CSV header"):
