@@ -64,12 +64,18 @@ def _carried(parsed: DataFrame) -> DataFrame:
     return running_offsets(per_block, ["chat_id"], ["part", "block"], "headers", "before")
 
 
-def preamble_lines(parsed: DataFrame) -> DataFrame:
+def early_blocks(parsed: DataFrame) -> DataFrame:
+    """Blocks that no header of their chat stands before, and their first header's place."""
+    return _carried(parsed).where(F.col("before") == 0).select(*BLOCK, "first_header")
+
+
+def preamble_lines(parsed: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Lines before the first header of their chat, one row each: ``chat_id, part, block, seq, text``.
 
-    An export whose lines no header matches consists of them, so they are never brought together.
+    An export whose lines no header matches consists of them, so they are never brought together.  ``blocks`` is
+    ``early_blocks(parsed)``: staged, its size is known before the lines are joined with it, and a small one moves no text.
     """
-    blocks = _carried(parsed).where(F.col("before") == 0).select(*BLOCK, "first_header")
+    blocks = early_blocks(parsed) if blocks is None else blocks
     early = F.col("first_header").isNull() | (F.col("seq") < F.col("first_header"))
     return parsed.join(blocks, BLOCK).where(early).select(*BLOCK, "seq", "text")
 
@@ -103,9 +109,9 @@ def assemble_messages(parsed: DataFrame) -> DataFrame:
     numbered = (
         pieces.join(_carried(parsed), BLOCK, "left")
         .withColumn("msg_idx", counts + F.col("local_idx"))
-        .withColumn(
-            "at_edge", (F.col("local_idx") == 0) | (F.col("local_idx") == F.col("headers"))
-        )
+        # Never NULL: a condition that drops NULLs would turn the join of one branch into another form, and the
+        # branches would no longer share the shuffle of the lines.
+        .withColumn("at_edge", (F.col("local_idx") == 0) | F.coalesce(F.col("local_idx") == F.col("headers"), F.lit(False)))
     )
     fields = ["chat_id", "msg_idx", "timestamp", "sender", "message"]
     inner = numbered.where(~F.col("at_edge")).select(*fields)
@@ -169,7 +175,8 @@ def message_pieces(parsed: DataFrame, max_chars: int = 1 << 20) -> DataFrame:
         .agg(*told, F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("lines"))
         .withColumn("text", F.array_join(F.col("lines.text"), "\n"))
     )
-    at_edge = (F.col("local_idx") == 0) | (F.col("local_idx") == F.col("headers"))
+    # Never NULL, so that both branches share one shuffle of the lines (see ``assemble_messages``).
+    at_edge = (F.col("local_idx") == 0) | F.coalesce(F.col("local_idx") == F.col("headers"), F.lit(False))
     fields = ["chat_id", "msg_idx", "at", "timestamp", "sender", "text"]
     edges = (
         pieces.where(at_edge).groupBy("chat_id", "msg_idx", "piece")

@@ -40,7 +40,7 @@ def run_anonymize(
     in it keep their pseudonyms, new ones are numbered behind them and appended.
 
     Chats are named by a hash of what named them (the path by default), unless ``hide`` is False.  Masked lines, then numbered messages, are
-    staged so that masking and assembly run once however often the rows are read; both stages
+    staged so that masking and assembly run once however often the rows are read; all stages
     are deleted at the end (they hold the senders' real names).
     """
     raw = readers.read_chat_lines(spark, source, chat_id, part)
@@ -50,13 +50,16 @@ def run_anonymize(
         with Staged(ingest.message_pieces(lines, max_chars), "assembled") as pieces:
             aliases = ingest.pseudonyms_of_lines(lines, **names) if names_table is None else _kept_names(spark, lines, names_table, names)
             first = pieces.where(F.col("at") == 0).select("chat_id", "msg_idx", "timestamp", "sender", F.col("text").alias("message"))
-            writers.write_messages(ingest.pseudonymize_senders(first, aliases), f"{target}/messages")
+            # Staged, the names have a size before the messages are joined with them: few enough, they move no text.
+            with Staged(aliases, "names") as few:
+                writers.write_messages(ingest.pseudonymize_senders(first, few), f"{target}/messages")
             rest = pieces.where(F.col("at") > 0).select("chat_id", "msg_idx", "at", "text")
             rest.repartitionByRange("chat_id", "msg_idx", "at").sortWithinPartitions("chat_id", "msg_idx", "at").write.mode(
                 "overwrite").parquet(f"{target}/continued")
-            messages = readers.read_messages(spark, f"{target}/messages")
+        messages = readers.read_messages(spark, f"{target}/messages")
+        with Staged(ingest.early_blocks(lines), "early") as early:
             writers.write_anonymized_text(
-                messages, f"{target}/text", preamble=ingest.preamble_lines(lines), continued=spark.read.parquet(f"{target}/continued"))
+                messages, f"{target}/text", preamble=ingest.preamble_lines(lines, early), continued=spark.read.parquet(f"{target}/continued"))
     return messages
 
 

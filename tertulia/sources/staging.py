@@ -44,7 +44,7 @@ class Staged:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.parquet(self.path)
 
     def __enter__(self) -> DataFrame:

@@ -1,11 +1,13 @@
 """What keeps the queries' cost in proportion to the input: texts moved once, nothing quadratic in a text."""
 
 import datetime
+import pathlib
 import time
 
 from pyspark.sql import functions as F
 
 from tertulia.functions import name_model as N
+from tertulia.operators import ingest
 from tertulia.plans import fixtures as fx
 
 
@@ -51,3 +53,46 @@ def test_names_of_a_long_text(spark):
     assert time.time() - begin < 20
     steps = {(r.bucket, r.state): r.n for r in rows if r.feature == "step"}
     assert steps == {(0, 0): n + 1, (0, 1): 2, (1, 2): 1, (2, 2): 1, (2, 0): 1}
+
+
+def test_pieces_and_preamble_move_texts_once(spark, tmp_path):
+    """Both branches of the assembly share one shuffle of the lines; few early blocks move no line."""
+    d = tables(spark, tmp_path)
+    ingest.parse_chat_lines(fx.v_lines(spark, d)).write.parquet(f"{d}/lines")
+    lines = spark.read.parquet(f"{d}/lines")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for assembled in (ingest.message_pieces(lines, 50), ingest.assemble_messages(lines)):
+            found = without_broadcast(spark, lambda df=assembled: plan(df))
+            # Scans of the text column in full, not the narrow ones that only count.
+            assert len([x for x in found.splitlines() if "FileScan" in x and "sender#" in x.split("Batched")[0]]) == 1, found
+        ingest.early_blocks(lines).write.parquet(f"{d}/early")
+        found = plan(ingest.preamble_lines(lines, spark.read.parquet(f"{d}/early")))
+        assert "hashpartitioning" not in found and "BroadcastHashJoin" in found, found
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_early_blocks_give_the_same_preamble(spark, tmp_path):
+    rows = [("a", "", 0, 0, "before"), ("a", "", 0, 1, "1/2/25, 10:00 - Ana: hola"), ("a", "", 0, 2, "more"), ("a", "", 1, 3, "tail"),
+            ("b", "", 0, 0, "none here"), ("b", "", 1, 1, "still none"), (None, "", 0, 0, "x"), (None, "", 0, 1, "1/2/25, 10:00 - Eva: si")]
+    lines = ingest.parse_chat_lines(spark.createDataFrame(rows, "chat_id string, part string, block long, seq long, value string"))
+    ingest.early_blocks(lines).write.parquet(f"{tmp_path}/early")
+    found = ingest.preamble_lines(lines, spark.read.parquet(f"{tmp_path}/early"))
+    assert sorted((r.chat_id, r.text) for r in found.collect()) == [("", "x"), ("a", "before"), ("b", "none here"), ("b", "still none")]
+    assert sorted(found.collect()) == sorted(ingest.preamble_lines(lines).collect())
+
+
+def test_counts_are_staged_not_checkpointed(spark, tmp_path):
+    """Only the result is checkpointed; the counts' tables are gone when it is there."""
+    from tertulia.plans.registry import QUERIES
+    from tertulia.sources.staging import shared_folder
+
+    d = tables(spark, tmp_path)
+    held = lambda: {x.name for x in pathlib.Path(shared_folder(spark)).glob("counts-*")}
+    before = held()
+    out = QUERIES["term_weights_by_chat"](spark, d)
+    assert plan(out).count("Scan ExistingRDD") == 1
+    assert held() == before
+    assert sorted({r.chat_id for r in out.collect()}) == ["s0", "s1", "s2"]
