@@ -14,7 +14,7 @@ from tertulia.plans import fixtures as fx, learned, round_trips
 from tertulia.schema import LEXICON
 from tertulia.sources import writers
 from tertulia.sources.readers import read_chat_lines, read_messages_csv
-from tertulia.sources.staging import checkpointed
+from tertulia.sources.staging import Staged, checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,11 +47,11 @@ def _on_words(operator, view=fx.v_messages, **options) -> Query:
 
 
 def _on_counts(operator, by=()) -> Query:
-    """The counts and the vocabulary are checkpointed, so that Spark deletes them with the result's DataFrame."""
+    """The counts and the vocabulary are staged as Parquet, a fraction of a checkpoint's bytes; the result alone is checkpointed."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = tokens.tokenize(fx.v_messages(spark, sf_dir))
-        counts = checkpointed(content.word_and_pair_counts(words, by=by))
-        return operator(counts, unigrams=checkpointed(content.unigrams(counts, by)), by=by)
+        with Staged(content.word_and_pair_counts(words, by=by), "counts") as counts, Staged(content.unigrams(counts, by), "unigrams") as single:
+            return checkpointed(operator(counts, unigrams=single, by=by))
     return run
 
 
