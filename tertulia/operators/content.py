@@ -208,30 +208,36 @@ def _scored_pairs(counts: DataFrame, single: DataFrame, by: Sequence[str] = ())
     )
 
 
+def collocated_pairs(counts: DataFrame, unigrams: DataFrame, by: Sequence[str] = (), min_score: float = 30.0) -> DataFrame:
+    """Pairs above the score with the words they are made of: what both results below start from, to be staged once for the two."""
+    return _scored_pairs(counts, unigrams, by).where(F.col("score") > min_score)
+
+
 def bigram_collocations(
     counts: DataFrame, top_n: int | None = None, min_score: float = 30.0, unigrams: DataFrame | None = None,
-    by: Sequence[str] = (),
+    by: Sequence[str] = (), pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Neighbouring word pairs that occur together more often than chance explains.
 
     ``counts`` comes from ``word_and_pair_counts``, ``unigrams`` from ``unigrams(counts)``, staged when several results share it;
-    both with the same ``by``.
+    both with the same ``by``.  ``pairs`` is ``collocated_pairs`` of them with a ``min_score`` no higher.
     """
-    pairs = _scored_pairs(counts, _vocabulary(counts, by) if unigrams is None else unigrams, by)
+    if pairs is None:
+        pairs = _scored_pairs(counts, _vocabulary(counts, by) if unigrams is None else unigrams, by)
     kept = pairs.where(F.col("score") > min_score).select(*by, "bigram", F.col("n").alias("count"), "score")
     return top_rows(kept, top_n, [F.desc("score"), F.asc("bigram")], by)
 
 
 def term_weights(
     counts: DataFrame, max_terms: int = 200, min_score: float = 30.0, unigrams: DataFrame | None = None,
-    by: Sequence[str] = (),
+    by: Sequence[str] = (), pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Word-cloud weights: words and collocations by count, relative to the largest; ``max_terms`` per group.
 
-    A collocation's count is taken off both of its words.
+    A collocation's count is taken off both of its words.  ``pairs`` as in ``bigram_collocations``.
     """
     single = _vocabulary(counts, by) if unigrams is None else unigrams
-    collocations = _scored_pairs(counts, single, by).where(F.col("score") > min_score)
+    collocations = (_scored_pairs(counts, single, by) if pairs is None else pairs).where(F.col("score") > min_score)
     changes = F.array(
         F.struct(F.col("bigram").alias("term"), F.col("n").alias("n")),
         F.struct(F.col("first_form").alias("term"), (-F.col("n")).alias("n")),

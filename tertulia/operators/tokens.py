@@ -90,6 +90,11 @@ def clean_text_by_sender(
 
 
 def token_counts(tokenized: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, token, count).  Counts of finer groups, of this same form, are summed up instead of words."""
+    if "words" not in tokenized.columns:
+        if {*tokenized.columns} == {*by, "token", "count"}:
+            return tokenized
+        return tokenized.groupBy(*by, "token").agg(F.sum("count").alias("count"))
     words = exploded(tokenized, by, F.col("words"), "token")
     return words.groupBy(*by, "token").agg(F.count("*").alias("count"))
 

@@ -128,20 +128,23 @@ def run_report(
     # Cleaning is the costly part: the words are written once and every text metric reads them.
     tokens.tokenize(messages).drop("message", "timestamp").write.mode("overwrite").parquet(f"{target}/words")
     words = spark.read.parquet(f"{target}/words")
-    texts = {
-        "top_words": tokens.top_words(words, by=by),
-        "top_words_per_member": tokens.top_words_per_member(words, by=by),
-        "adjective_frequency": content.adjective_frequency(words, spanish_adjectives(spark) if lexicon is None else lexicon, by=by),
-    }
-    for name, df in texts.items():
-        df.write.mode("overwrite").parquet(f"{target}/{name}")
-    with Staged(content.word_and_pair_counts(words, by=by), "counts") as counts, Staged(content.unigrams(counts, by), "unigrams") as single:
-        clouds = {
-            "term_weights": content.term_weights(counts, unigrams=single, by=by),
-            "bigram_collocations": content.bigram_collocations(counts, unigrams=single, by=by),
+    # Counted once per member; coarser groups are sums of these counts.
+    with Staged(tokens.token_counts(words, keys), "said") as said:
+        texts = {
+            "top_words": tokens.top_words(said, by=by),
+            "top_words_per_member": tokens.top_words_per_member(said, by=by),
+            "adjective_frequency": content.adjective_frequency(said, spanish_adjectives(spark) if lexicon is None else lexicon, by=by),
         }
-        for name, df in clouds.items():
+        for name, df in texts.items():
             df.write.mode("overwrite").parquet(f"{target}/{name}")
+    with Staged(content.word_and_pair_counts(words, by=by), "counts") as counts, Staged(content.unigrams(counts, by), "unigrams") as single:
+        with Staged(content.collocated_pairs(counts, single, by), "pairs") as pairs:
+            clouds = {
+                "term_weights": content.term_weights(counts, unigrams=single, by=by, pairs=pairs),
+                "bigram_collocations": content.bigram_collocations(counts, unigrams=single, by=by, pairs=pairs),
+            }
+            for name, df in clouds.items():
+                df.write.mode("overwrite").parquet(f"{target}/{name}")
     if spark.read.parquet(f"{target}/top_words").isEmpty():
         log.warning("no text is left after cleaning")
     return [*tables, "emoji_frequency", "top_shared_domains", "words", *texts, *clouds]

@@ -2,6 +2,7 @@
 
 import datetime
 import pathlib
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -96,3 +97,31 @@ def test_counts_are_staged_not_checkpointed(spark, tmp_path):
     assert plan(out).count("Scan ExistingRDD") == 1
     assert held() == before
     assert sorted({r.chat_id for r in out.collect()}) == ["s0", "s1", "s2"]
+
+
+def test_report_counts_words_once(spark, tmp_path, monkeypatch):
+    """The report explodes its words once for all counts of words and scores its pairs once; its tables are those of the operators."""
+    from tertulia.functions.lexicon import spanish_adjectives
+    from tertulia.operators import content, tokens
+    from tertulia.plans import jobs
+
+    rng = random.Random(4)
+    said = [("c" if i % 3 else None, i, "01/02/24, 10:00", f"u{i % 4}" if i % 5 else None,
+             None if i == 9 else " ".join(["buen viaje"] * (i % 3) + rng.choices(["libre", "casa", "casas", "mesa", "perro"], k=9))) for i in range(60)]
+    spark.createDataFrame(said, "chat_id string, msg_idx long, timestamp string, sender string, message string").write.parquet(f"{tmp_path}/in")
+    scored, plain = [], content._scored_pairs
+    monkeypatch.setattr(content, "_scored_pairs", lambda *a, **k: scored.append(1) or plain(*a, **k))
+    jobs.run_report(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert len(scored) == 1
+    by, words = ("chat_id",), spark.read.parquet(f"{tmp_path}/out/words")
+    counts = content.word_and_pair_counts(words, by=by)
+    expected = {
+        "top_words": tokens.top_words(words, by=by), "top_words_per_member": tokens.top_words_per_member(words, by=by),
+        "adjective_frequency": content.adjective_frequency(words, spanish_adjectives(spark), by=by),
+        "term_weights": content.term_weights(counts, by=by), "bigram_collocations": content.bigram_collocations(counts, by=by),
+    }
+    for name, df in expected.items():
+        found = spark.read.parquet(f"{tmp_path}/out/{name}")
+        assert found.dtypes == df.dtypes
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, df.collect())), name
+        assert name == "adjective_frequency" or found.count()
