@@ -119,7 +119,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: the smallest key (NULL last), then the smallest fingerprint and text."""
     names = docs.columns
-    held = docs.select(F.struct(*names).alias("doc"), fingerprint(text).alias("fp"))
+    # never NULL, and said so: the join below would else filter by the fingerprint first and compute it once more for that
+    held = docs.select(F.struct(*names).alias("doc"), F.coalesce(fingerprint(text), F.lit(0)).alias("fp"))
     ids = checkpointed(held.select(F.col(f"doc.{key}").alias("id"), "fp"))
     owners = ids.join(classes(ids, "id").select("fp", "root"), "fp").groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "fp")).alias("w"))

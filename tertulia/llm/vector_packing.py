@@ -300,6 +300,14 @@ def _packed(batches, path: str, limits: Limits, key_type: pa.DataType):
         yield batch()
 
 
+def _released(batches, path: str, limits: Limits, key_type: pa.DataType):
+    """``_packed``; a worker that waits for its next task holds no memory in reserve beside the words it knows."""
+    try:
+        yield from _packed(batches, path, limits, key_type)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def pack(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", prompt: str | None = None,
     limits: Limits = Limits(),
@@ -321,4 +329,4 @@ def pack(
     arrow = to_arrow_type(kind)
     rows = docs.select(
         key, F.coalesce(text, F.lit("")).alias("text"), F.coalesce(prompt, F.lit("")) if prompt else F.lit(""))
-    return rows.mapInArrow(lambda it: _packed(it, tokenizer, limits, arrow), schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(lambda it: _released(it, tokenizer, limits, arrow), schema).withColumnRenamed("key", key)

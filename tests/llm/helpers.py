@@ -29,3 +29,9 @@ def save_tables(spark, folder, rows):
 
 def texts_of(spark, sf_dir):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def python_nodes(df):
+    """The plan's steps that hand rows to Python workers; each one in a stage has a worker of its own in every task."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"(?:ArrowEvalPython|BatchEvalPython|MapInArrow|MapInPandas) \[?(\w+)", plan)

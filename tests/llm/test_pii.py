@@ -10,7 +10,7 @@ import pytest
 from tertulia.llm import pii_disclosure as P
 from tertulia.llm.queries import QUERIES
 
-from .helpers import EDGES, documents_of, save_tables, texts_of
+from .helpers import EDGES, documents_of, python_nodes, save_tables, texts_of
 
 
 def plain_findings(text):
@@ -159,3 +159,16 @@ def test_copies_do_not_hide_disclosing_terms(spark):
     assert (r.n_both, r.n_value, r.n_term) == (3, 3, 3) and abs(r.share - 1) < 1e-9
     clean = [r.text for r in P.sanitise(documents_of(spark, rows)).where("doc_id >= 1000").collect()]
     assert len(clean) == 120 and all("[TERM]" in t and "Zorblax" not in t for t in clean)
+
+
+def test_one_worker_a_task(spark, tmp_path):
+    """Texts are searched once in a task, and base findings masked by the worker that found them."""
+    saved = lambda rows, name: (documents_of(spark, rows).write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
+    few = saved([(1, "mail a@b.cd"), (2, None), (3, "plain")], "few")
+    assert python_nodes(P.find(few)) == python_nodes(P.sanitise(few)) == ["scan"]
+    assert P.disclosing_terms(few).count() == 0
+    assert P.disclosing_terms(few).dtypes == P.disclosing_terms(documents_of(spark, planted())).dtypes
+    many = saved(planted(), "many")
+    # texts without findings, those with some, and those whose terms are looked for
+    assert sorted(python_nodes(P.find(many))) == ["scan"] * 3 + ["spans"]
+    assert sorted(python_nodes(P.sanitise(many))) == ["masked"] + ["scan"] * 3 + ["spans"]

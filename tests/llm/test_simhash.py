@@ -11,7 +11,7 @@ from tertulia.llm import simhash_pivots as S
 from tertulia.llm.graph import components
 from tertulia.llm.queries import QUERIES
 
-from .helpers import EDGES, documents_of, save_tables, texts_of
+from .helpers import EDGES, documents_of, python_nodes, save_tables, texts_of
 
 
 def plain_simhash(text):
@@ -90,3 +90,8 @@ def test_keep_one(spark):
     assert (None, "only here stands this") in kept and (3, "x y z w") in kept and (3, "p q r s") in kept
     assert len([k for k in kept if not (k[1] or "").strip()]) == 1
     assert S.keep_one(df.limit(0)).count() == 0 and S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_one_computes_a_fingerprint_once_in_a_task(spark):
+    """The join's test for NULL keys does not compute it a second time, in a second worker."""
+    assert python_nodes(S.keep_one(documents_of(spark, EDGES))) == ["fingerprint"]
