@@ -31,7 +31,6 @@ _d = rf"[{string.digits}[\u0660-\x{{10FFFF}}&&\p{{Nd}}]]"
 _ALNUM = string.ascii_letters + string.digits
 
 NON_BLANK_RUN = f"{_ns}+"
-BLANK_SEPARATED = "[^ ]+"
 
 # Placeholder for protected text (a private-use character; counted as a word character, so
 # that a title glued to a protected span is not seen as the start of a word).

@@ -61,7 +61,7 @@ def clean_text(text: Column) -> Column:
 
     All white space comes out as blanks, so that the words are what lies between blanks.
     """
-    spaced = blanks_only(F.translate(text, "_", " "))
+    spaced = blanks_only(text, "_")
     bare = F.regexp_replace(spaced, P.WEB_ADDRESS_BLANKS, "$1")
     plain = F.regexp_replace(F.lower(bare), P.SYMBOL_BLANKS, "")
     # Only these five accented letters are left once symbols are gone.

@@ -127,15 +127,14 @@ def word_and_pair_counts(
 ) -> DataFrame:
     """Counts of words by the word that follows in the message: ``(*by, word, next_word, n)``.
 
-    ``next_word`` is NULL at the end of a message and before a stop word.  The word list is
-    zipped with itself, shifted by one, so no window is needed; single words and pairs both
+    ``next_word`` is NULL at the end of a message and before a stop word.  Each word looks up
+    the next one by its position, so no window is needed; single words and pairs both
     come from this one pass and shuffle.  What follows joins the table with itself several
     times: stage it first (``Staged``), or the text is read as often.
     """
     words = _cloud_words(tokenized, min_length, by)
-    shifted = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
-    steps = F.arrays_zip(F.col("words").alias("word"), shifted.alias("next_word"))
-    seen = exploded(words, by, steps, "step").select(*by, "step.word", "step.next_word")
+    seen = exploded(words, [*by, "words"], F.col("words"), "__at", "word").select(
+        *by, "word", F.get("words", F.col("__at") + 1).alias("next_word"))
     follows = F.when(~F.col("next_word").isin(*stopwords), F.col("next_word"))
     return (
         seen.where(~F.col("word").isin(*stopwords))
@@ -152,21 +151,6 @@ def unigrams(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 _vocabulary = unigrams
 
 
-def _within(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Join on ``on`` inside each group; NULL groups match each other."""
-    if not by:
-        return left.join(right, list(on))
-    other = right.withColumnsRenamed({c: f"__{c}" for c in [*by, *on]})
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col(c) == F.col(f"__{c}") for c in on]
-    return left.join(other, same).drop(*[f"__{c}" for c in [*by, *on]])
-
-
-def _pair_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    pairs = counts.where(F.col("next_word").isNotNull())
-    renamed = pairs.select(*by, F.col("word").alias("first_word"), F.col("next_word").alias("word"), "n")
-    return _merge_plurals(renamed, *by, "first_word").drop("stem")
-
-
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     floor = F.lit(1e-10)
     return F.log(F.greatest(p, floor)) * k + F.log(F.greatest(1 - p, floor)) * (n - k)
@@ -185,32 +169,78 @@ def collocation_score(pair: Column, first: Column, second: Column, total: Column
     return F.when((total <= first) | (total <= second), F.lit(0.0)).otherwise(-2 * ratio)
 
 
-def _scored_pairs(counts: DataFrame, single: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Pairs with the counts of both words (plural forms counted with their singular)."""
-    first = single.select(*by, F.col("stem").alias("first_stem"), F.col("word").alias("first_form"), F.col("n").alias("n_first"))
-    second = single.select(*by, F.col("stem").alias("second_stem"), F.col("word").alias("second_form"), F.col("n").alias("n_second"))
-    pairs = (
-        _pair_counts(counts, by)
-        .withColumn("first_stem", _singular(F.col("first_word")))
-        .withColumn("second_stem", _singular(F.col("word")))
-    )
-    joined = _within(_within(pairs, first, ["first_stem"], by), second, ["second_stem"], by)
+# Scores of larger totals may differ from the ratio by the floor under its logarithms.
+_EXACT_TOTAL = 1e9
+
+
+def _entropy(x: Column) -> Column:
+    return x * F.log(F.greatest(x, F.lit(1.0)))
+
+
+def _often(first: Column, most: Column, total: Column, min_score: float) -> Column:
+    """Whether pairs of a first word can score above ``min_score`` by being rarer than chance: no second word has more than ``most``.
+
+    The ratio is largest where the two words never meet and is then at most ``-2 most log(1 - first / (total - most))``.
+    """
+    rest = total - most
+    return F.when((total < _EXACT_TOTAL) & (first < rest), -2 * most * F.log(1 - first / rest) > min_score - 1).otherwise(True)
+
+
+def _may_pass(min_score: float) -> Column:
+    """Whether a pair can score above ``min_score``, before the count of its second word is known.
+
+    For given counts of the pair, the first word and all words the ratio first falls and then rises with the count of the
+    second word.  It is largest at an end: ``often`` says of a very frequent one, and at the pair's own count, the least
+    there is, the ratio is below the expression here.  The margin is far above rounding.  A word that follows itself is kept.
+    """
+    pair, first = F.col("n").cast("double"), F.col("n_first").cast("double")
+    together = 2 * (pair * (F.log("total") + 1) - _entropy(first) + _entropy(first - pair))
+    return F.col("often") | (F.col("first_stem") == F.col("second_stem")) | (together > min_score - 1)
+
+
+def _scored_pairs(counts: DataFrame, single: DataFrame, by: Sequence[str] = (), min_score: float | None = None) -> DataFrame:
+    """Pairs with the counts of both words (plural forms counted with their singular).
+
+    With ``min_score`` pairs that cannot score above it are left out as soon as their first word's count is known: most
+    pairs occur once, and only the others move on to their second word.  The pairs move once, by their first word, for both
+    the merging of plurals and that count; words lead the keys, as sorting compares the start of the first key.
+    """
+    # A struct holds a NULL group like any other, so that plain equality finds it.
+    key = ["__group"] if by else []
+    group = [F.struct(*by).alias("__group")] if by else []
+    first = single.select(*group, F.col("stem").alias("first_stem"), F.col("word").alias("first_form"), F.col("n").alias("n_first"))
+    second = single.select(*group, F.col("stem").alias("second_stem"), F.col("word").alias("second_form"), F.col("n").alias("n_second"))
+    sums = [F.sum("n").cast("double").alias("total"), F.max("n").cast("double").alias("most")]
     if by:
-        joined = _within(joined, single.groupBy(*by).agg(F.sum("n").cast("double").alias("total")), [], by)
-        total = F.col("total")
+        first = first.join(single.groupBy(*group).agg(*sums), key)
     else:
-        total = single.select(F.sum("n").cast("double")).scalar()
+        one = single.select(F.struct(*sums)).scalar()
+        first = first.withColumns({"total": one["total"], "most": one["most"]})
+    if min_score is not None:
+        often = _often(F.col("n_first").cast("double"), F.col("most"), F.col("total"), min_score)
+        first = first.withColumn("often", often)
+    first = first.drop("most")
+    following = (
+        counts.where(F.col("next_word").isNotNull())
+        .select(*group, F.col("word").alias("first_word"), _singular(F.col("word")).alias("first_stem"), F.col("next_word").alias("word"), "n")
+        .repartition("first_stem", *key)
+    )
+    pairs = _merge_plurals(following, *key, "first_stem", "first_word").withColumnRenamed("stem", "second_stem")
+    joined = pairs.join(first, ["first_stem", *key])
+    if min_score is not None:
+        joined = joined.where(_may_pass(min_score))
+    joined = joined.join(second, ["second_stem", *key])
     double = lambda c: F.col(c).cast("double")
     return joined.select(
-        *by, F.concat_ws(" ", "first_word", "word").alias("bigram"),
+        *[F.col(f"__group.{c}").alias(c) for c in by], F.concat_ws(" ", "first_word", "word").alias("bigram"),
         "first_form", "second_form", "n", "n_first", "n_second",
-        collocation_score(double("n"), double("n_first"), double("n_second"), total).alias("score"),
+        collocation_score(double("n"), double("n_first"), double("n_second"), F.col("total")).alias("score"),
     )
 
 
 def collocated_pairs(counts: DataFrame, unigrams: DataFrame, by: Sequence[str] = (), min_score: float = 30.0) -> DataFrame:
     """Pairs above the score with the words they are made of: what both results below start from, to be staged once for the two."""
-    return _scored_pairs(counts, unigrams, by).where(F.col("score") > min_score)
+    return _scored_pairs(counts, unigrams, by, min_score).where(F.col("score") > min_score)
 
 
 def bigram_collocations(
@@ -223,7 +253,7 @@ def bigram_collocations(
     both with the same ``by``.  ``pairs`` is ``collocated_pairs`` of them with a ``min_score`` no higher.
     """
     if pairs is None:
-        pairs = _scored_pairs(counts, _vocabulary(counts, by) if unigrams is None else unigrams, by)
+        pairs = _scored_pairs(counts, _vocabulary(counts, by) if unigrams is None else unigrams, by, min_score)
     kept = pairs.where(F.col("score") > min_score).select(*by, "bigram", F.col("n").alias("count"), "score")
     return top_rows(kept, top_n, [F.desc("score"), F.asc("bigram")], by)
 
@@ -237,7 +267,7 @@ def term_weights(
     A collocation's count is taken off both of its words.  ``pairs`` as in ``bigram_collocations``.
     """
     single = _vocabulary(counts, by) if unigrams is None else unigrams
-    collocations = (_scored_pairs(counts, single, by) if pairs is None else pairs).where(F.col("score") > min_score)
+    collocations = (_scored_pairs(counts, single, by, min_score) if pairs is None else pairs).where(F.col("score") > min_score)
     changes = F.array(
         F.struct(F.col("bigram").alias("term"), F.col("n").alias("n")),
         F.struct(F.col("first_form").alias("term"), (-F.col("n")).alias("n")),

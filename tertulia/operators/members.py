@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.fixed_values import SYSTEM_SENDER
-from tertulia.functions import patterns as P
 from tertulia.functions.base import as_text, blanks_only
 from tertulia.operators.ranking import top_rows
 
@@ -20,7 +19,7 @@ def word_count(messages: DataFrame, null_text: str | None = None) -> Column:
     """Words between white space; a column of that name is reused."""
     if "word_count" in messages.columns:
         return F.col("word_count")
-    return F.regexp_count(blanks_only(as_text(F.col("message"), null_text)), F.lit(P.BLANK_SEPARATED))
+    return F.array_size(F.array_remove(F.split(blanks_only(as_text(F.col("message"), null_text)), " "), ""))
 
 
 def message_size(messages: DataFrame, null_text: str | None = None, reuse: bool = True) -> Column:

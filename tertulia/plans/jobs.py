@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 import sys
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -93,6 +94,33 @@ def run_features(spark: SparkSession, source: str, target: str, multi_line: bool
     return stats
 
 
+# A task that counts words holds nearly each of its rows, so a part of more bytes would not fit the memory of a core.
+PART_BYTES = 16 << 20
+
+
+@contextmanager
+def bounded_parts(spark: SparkSession, df: DataFrame):
+    """While the body runs, tables are read and shuffled in parts whose size does not grow with ``df``: never larger or fewer than set."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    number = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    given = spark.conf.get(number, None)
+    read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(given or spark.conf.get("spark.sql.shuffle.partitions")), 2 * read // PART_BYTES)
+    before = {number: given}
+    spark.conf.set(number, str(parts))
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
+        before[name] = spark.conf.get(name)
+        spark.conf.set(name, f"{min(size(before[name]), PART_BYTES)}b")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def run_report(
     spark: SparkSession, source: str, target: str, lexicon: DataFrame | None = None, by=("chat_id",)
 ) -> list[str]:
@@ -103,6 +131,11 @@ def run_report(
     moments that the member and calendar metrics share, once into words, emojis and links.
     """
     messages = readers.read_messages(spark, source)
+    with bounded_parts(spark, messages):
+        return _report(spark, messages, target, lexicon, by)
+
+
+def _report(spark: SparkSession, messages: DataFrame, target: str, lexicon: DataFrame | None, by) -> list[str]:
     keys = list(dict.fromkeys([*by, "sender"]))
     narrow = temporal.with_moment(messages).select(
         *keys, F.col("moment").alias("timestamp"), F.when(F.col("message").isNotNull(), F.lit("")).alias("message"),
@@ -126,14 +159,14 @@ def run_report(
     for name, metric in (("emoji_frequency", content.emoji_frequency), ("top_shared_domains", content.top_shared_domains)):
         metric(messages, by=by).write.mode("overwrite").parquet(f"{target}/{name}")
     # Cleaning is the costly part: the words are written once and every text metric reads them.
-    tokens.tokenize(messages).drop("message", "timestamp").write.mode("overwrite").parquet(f"{target}/words")
+    tokens.tokenize(messages).drop("message", "timestamp").write.mode("overwrite").option("parquet.block.size", PART_BYTES).parquet(f"{target}/words")
     words = spark.read.parquet(f"{target}/words")
     # Counted once per member; coarser groups are sums of these counts.
-    with Staged(tokens.token_counts(words, keys), "said") as said:
+    with Staged(tokens.token_counts(words, keys), "said") as said, Staged(tokens.token_counts(said, by), "told") as told:
         texts = {
-            "top_words": tokens.top_words(said, by=by),
+            "top_words": tokens.top_words(told, by=by),
             "top_words_per_member": tokens.top_words_per_member(said, by=by),
-            "adjective_frequency": content.adjective_frequency(said, spanish_adjectives(spark) if lexicon is None else lexicon, by=by),
+            "adjective_frequency": content.adjective_frequency(told, spanish_adjectives(spark) if lexicon is None else lexicon, by=by),
         }
         for name, df in texts.items():
             df.write.mode("overwrite").parquet(f"{target}/{name}")

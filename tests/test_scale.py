@@ -125,3 +125,63 @@ def test_report_counts_words_once(spark, tmp_path, monkeypatch):
         assert found.dtypes == df.dtypes
         assert sorted(map(repr, found.collect())) == sorted(map(repr, df.collect())), name
         assert name == "adjective_frequency" or found.count()
+
+
+def test_pairs_left_out_early_could_not_pass(spark):
+    """Leaving out pairs before their second word is known changes no row: rare and frequent words, repeated and NULL groups, plurals."""
+    from tertulia.operators import content, tokens
+
+    rng = random.Random(9)
+    frequent, rare = ["red", "azul", "verde", "mesas", "mesa"], [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    said = []
+    for i in range(900):
+        words = rng.choices(frequent, weights=[9, 5, 3, 1, 1], k=8) + rng.choices(rare, k=2)
+        rng.shuffle(words)
+        said.append((rng.choice(["a", "b", None]), " ".join([*words, "eco", "eco"] if i % 50 == 0 else words)))
+    words = tokens.tokenize(spark.createDataFrame(said, "chat_id string, message string")).localCheckpoint()
+    for by in ([], ["chat_id"]):
+        counts = content.word_and_pair_counts(words, by=by).localCheckpoint()
+        single = content.unigrams(counts, by).localCheckpoint()
+        every = content._scored_pairs(counts, single, by).localCheckpoint()
+        for least in (0.0, 5.0, 12.0, 30.0):
+            kept = content._scored_pairs(counts, single, by, least)
+            want = sorted(map(repr, every.where(F.col("score") > least).collect()))
+            assert sorted(map(repr, kept.where(F.col("score") > least).collect())) == want and want
+        assert kept.count() < 0.7 * every.count()
+
+
+def test_pairs_move_once_for_their_first_word(spark, tmp_path):
+    from tertulia.operators import content
+
+    rows = [("c", "sol", "mar", 3), (None, "sol", None, 2), ("c", "mar", None, 3)]
+    spark.createDataFrame(rows, "chat_id string, word string, next_word string, n long").write.parquet(f"{tmp_path}/counts")
+    counts = spark.read.parquet(f"{tmp_path}/counts")
+    content.unigrams(counts, ["chat_id"]).write.parquet(f"{tmp_path}/single")
+    single = spark.read.parquet(f"{tmp_path}/single")
+    found = without_broadcast(spark, lambda: plan(content.collocated_pairs(counts, single, ["chat_id"])))
+    moves = [x for x in found.splitlines() if "Exchange hashpartitioning" in x]
+    # Pairs by their first word and by their second, the vocabulary for each, its sums by chat and the two sides of their join.
+    assert len(moves) == 6 and sum("first_word" in x for x in moves) == 0, found
+
+
+def test_report_parts_do_not_grow_with_the_input(spark, tmp_path):
+    """Large parts would make a counting task hold more words than its memory; the session's settings come back."""
+    from tertulia.plans import jobs
+
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    read = lambda: [spark.conf.get(n, None) for n in names]
+    spark.range(1000).write.parquet(f"{tmp_path}/in")
+    before, df = read(), spark.read.parquet(f"{tmp_path}/in")
+    with jobs.bounded_parts(spark, df):
+        assert read() == [f"{jobs.PART_BYTES}b", f"{jobs.PART_BYTES}b", spark.conf.get("spark.sql.shuffle.partitions")]
+    assert read() == before
+    large = spark.range(1 << 30)  # eight bytes a row
+    spark.conf.set(names[0], "1m")
+    try:
+        with jobs.bounded_parts(spark, large):
+            assert read() == ["1048576b", f"{jobs.PART_BYTES}b", "1024"]
+            raise KeyError
+    except KeyError:
+        assert read() == ["1m", *before[1:]]
+    finally:
+        spark.conf.unset(names[0])
